@@ -34,7 +34,7 @@ from ._shared import stored
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_300_000
 #: Characters tokenized at a time.
 SLICE_CHARS = 2_000_000
 
@@ -69,15 +69,20 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     if len(cache) + len(new) > CACHE_WORDS:
         cache.clear()
         new = list({w for words in split for w in words})
-    # Words of letters with a final stop or comma are their letters' ids and its id.
-    ended = [w for w in new if w[-1:] in (".", ",") and w[:-1].isalpha()]
-    whole = list({w[:-1] for w in ended}.union({".", ","}, set(new).difference(ended)).difference(cache))
+    # Letters with a final stop or comma are the letters' ids and its id; letters have the
+    # ids of their lower case (but for a capital sigma, whose lower case has two forms).
+    known: dict[str, str] = {}
+    for w in new:
+        stem = w[:-1] if w[-1:] in (".", ",") else w
+        if stem.isalpha():
+            known[w] = stem if "\u03a3" in stem else stem.lower()
+    whole = list({".", ","}.union(known.values(), (w for w in new if w not in known)).difference(cache))
     for at in range(0, len(whole), 50_000):
         part = whole[at : at + 50_000]
         for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
             cache[w] = np.asarray(e.ids, "<u4").tobytes()
-    for w in ended:
-        cache[w] = cache[w[:-1]] + cache[w[-1]]
+    for w, stem in known.items():
+        cache[w] = cache[stem] + cache[w[-1]] if w[-1] in ".," else cache[stem]
     return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
