@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lattice_lm, mixing, near_dup, packing, url_filter
+from . import language_id, lattice_lm, media, mixing, near_dup, packing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_tokens", "weight", "epochs", "copies", "block")
 
 
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
