@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lattice_lm, media, mixing, near_dup, packing, url_filter
+from . import cover_search, language_id, lattice_lm, media, mixing, near_dup, packing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "n_tokens", "weight", "epochs", "copies", "block")
@@ -82,5 +86,22 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM ra
 """
 
 
+_OP6_SQL = """
+WITH parts AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, len(embedding) AS n
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), ints AS (
+  SELECT vec_id, n, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM parts
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.v * d.v) AS BIGINT) AS score
+  FROM ints q JOIN ints d ON q.i = d.i AND q.n = d.n AND q.vec_id <> d.vec_id
+  WHERE q.vec_id % 100 = 0 GROUP BY 1, 2
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_digest_filter": _OP2_SQL}
+    return {"op2_url_digest_filter": _OP2_SQL, "op6_cover_tree_topk": _OP6_SQL}
