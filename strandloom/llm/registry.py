@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_search, language_id, lattice_lm, media, mixing, near_dup, packing, url_filter
+from . import cover_search, language_id, lattice_lm, media, mixing, near_dup, packing, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.capture_history(_table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
+
+
 def op6_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_search.top_k(_table(spark, sf_dir, "embeddings"))
 
