@@ -12,8 +12,16 @@ about 1e-4, and meets in no key with a chance of about 1e-7.
 Pairs are never expanded within a bucket of alike texts.  Each class first takes one star,
 the least class of the buckets it shares most often; star links are confirmed on the full
 sets and joined to components.  Then only classes of one bucket that are in different
-components are still open: they try the bucket's largest component's star again, and what
-remains open is compared pair by pair, exactly, with no cap.
+components are still open: they try the bucket's largest component's star again.  What
+remains open may be many texts that share some passages but are not near-duplicates, so
+their pairs are not listed from the buckets; an exact prefix filter finds those that can
+reach the similarity.  With shingles ordered rarest first, two such texts share one of the
+first quarter of the larger's shingles that is among the first seventh of the smaller's.
+The order is by counts in a fixed number of hash cells; any order serves as well for
+exactness.  Pairs within a component are never formed.  Where more than PAIRWISE texts
+share a prefix shingle, they are dealt into blocks of BLOCK texts, each pair of blocks is
+one small group whose intersections are counted as a matrix product, and only links come
+out, one for each pair of components.
 
 Cases: null and empty texts have empty sets and link with nothing; rows with a null doc_id
 are returned with a null component and kept; rows that repeat a doc_id are one node and are
@@ -23,6 +31,8 @@ ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,12 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from ._shared import salt, stored, with_group_stats
+from ._shared import fresh_path, open_fs, salt, stored, with_group_stats
 from .components import components
 
 SHINGLE = 5
 CHUNKS, CHUNK, ERRORS = 12, 4, 1
 SYMBOLS = CHUNKS * CHUNK
+#: Hash cells in which the open texts' shingles are counted, to order them by rarity.
+CELLS = 1 << 22
+#: Texts of one prefix shingle whose pairs are listed; more are compared in blocks.
+PAIRWISE = 48
+BLOCK = 512
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -113,6 +128,65 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
 
+def _cells(batches):
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for raw in batch.column(1).to_pylist():
+            counts[(np.frombuffer(raw, np.uint64) & np.uint64(CELLS - 1)).astype(np.int64)] += 1
+    some = np.flatnonzero(counts)
+    for at in range(0, len(some), 100_000):
+        part = some[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part])], names=["cell", "n"])
+
+
+@lru_cache(maxsize=1)
+def _rarity(uri: str) -> np.ndarray:
+    import pyarrow.parquet as pq
+
+    files, root = open_fs(uri)
+    table = pq.read_table(root, filesystem=files)
+    counts = np.zeros(CELLS, np.int64)
+    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+    return counts
+
+
+def prefixes(shingles: np.ndarray, rarity: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a partner no larger must have one of, rarest first, and whether
+    each is also among those that a partner no smaller must have one of."""
+    n = len(shingles)
+    seen = rarity[(shingles & np.uint64(CELLS - 1)).astype(np.int64)]
+    order = np.lexsort((shingles, seen))
+    probe = n - -(-percent * n // 100) + 1
+    index = n - -(-2 * percent * n // (100 + percent)) + 1
+    first = order[:probe]
+    shared = seen[first] > 1  # a cell seen once holds a shingle of this text alone
+    return shingles[first[shared]], (np.arange(len(first)) < index)[shared]
+
+
+def _prefix_rows(uri: str):
+    def run(batches):
+        rarity = _rarity(uri)
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shingles = np.frombuffer(raw, np.uint64)
+                key, index = prefixes(shingles, rarity)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(np.full(len(key), i, np.int64)), pa.array(np.full(len(key), len(shingles), np.int64)), pa.array(index)],
+                    names=["key", "id", "size", "indexed"],
+                )
+
+    return run
+
+
+def _prefix_members(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, id, size, indexed): the prefixes of the texts that are still open."""
+    ids = known.select(F.col("id").alias("k_id")).distinct()
+    open_sets = stored(sets.join(ids, F.col("id") == F.col("k_id"), "left_semi"), "nd-open")
+    uri = fresh_path(open_sets.sparkSession, "nd-cells")
+    open_sets.mapInArrow(_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).write.parquet(uri)
+    return open_sets.mapInArrow(_prefix_rows(uri), "key bigint, id bigint, size bigint, indexed boolean")
+
+
 def _confirm(batches):
     for batch in batches:
         ok = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -160,12 +234,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(torn)
     label = components(links)
 
-    for last in (False, True):
-        known = stored(_labelled(members, label), "nd-known")
-        more = stored(_confirmed(_open_pairs(known, last), sets), "nd-links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            label = components(links)
+    known = stored(_labelled(members.select("key", "id"), label), "nd-known")
+    stars = _best_star(known.where("component <> main").select(F.col("id").alias("u"), F.col("star").alias("v")))
+    links, label = _joined(links, label, stored(_confirmed(stars, sets), "nd-links"))
+    known = stored(_labelled(members.select("key", "id"), label), "nd-known")
+    known = stored(_labelled(_prefix_members(known, sets), label), "nd-known")
+    sizes = known.groupBy("key").count().where(F.col("count") > PAIRWISE).select(F.col("key").alias("b_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    crowded = stored(known.join(sizes, F.col("key") == F.col("b_key")).drop("b_key"), "nd-crowded")
+    few = known.join(sizes, F.col("key") == F.col("b_key"), "left_anti")
+    more = stored(_confirmed(_open_pairs(few), sets).unionByName(_block_links(crowded, sets)), "nd-links")
+    links, label = _joined(links, label, more)
 
     found = label.select(F.col("id").alias("l_id"), F.col("component").alias("l_component"))
     done = tagged.select("doc_id", "n_shingles", "rep").join(found, F.col("rep") == F.col("l_id"), "left").select(
@@ -175,11 +253,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _joined(links: DataFrame, label: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if not more.limit(1).count():
+        return links, label
+    links = links.unionByName(more)
+    return links, components(links)
+
+
 def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
     """The members of those keys where several components meet, with their component and
     the key's largest one."""
     found = label.select(F.col("id").alias("l_id"), "component")
-    known = members.select("key", "id").join(found, F.col("id") == F.col("l_id"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    known = members.join(found, F.col("id") == F.col("l_id"), "left").select(*members.columns, F.coalesce("component", "id").alias("component"))
     sized = known.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("star"))
     mixed = (
         sized.groupBy("key")
@@ -190,19 +275,58 @@ def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
     return known.join(mixed, F.col("key") == F.col("m_key")).drop("m_key")
 
 
-def _open_pairs(known: DataFrame, every: bool) -> DataFrame:
-    """Pairs of different components that share a key: with the largest component's star,
-    or (``every``) all of them."""
-    side = known.where("component <> main")
-    if not every:
-        return _best_star(side.select(F.col("id").alias("u"), F.col("star").alias("v")))
-    other = known.select(F.col("key").alias("o_key"), F.col("id").alias("v"), F.col("component").alias("o_component"), (F.col("component") != F.col("main")).alias("o_side"))
-    met = side.select("key", F.col("id").alias("u"), "component").join(
-        other, (F.col("key") == F.col("o_key")) & (F.col("component") != F.col("o_component")) & (~F.col("o_side") | (F.col("u") < F.col("v")))
+def _open_pairs(known: DataFrame) -> DataFrame:
+    """Pairs of different components that may be alike: they share a prefix shingle, the
+    smaller text's being an indexed one, and their sizes allow it."""
+    side = known.where("component <> main").select("key", F.col("id").alias("u"), "component", "size", "indexed")
+    other = known.select(F.col("key").alias("o_key"), F.col("id").alias("v"), F.col("component").alias("o_component"), F.col("size").alias("o_size"), F.col("indexed").alias("o_indexed"), (F.col("component") != F.col("main")).alias("o_side"))
+    smaller = F.when(F.col("size") < F.col("o_size"), F.col("indexed")).when(F.col("size") > F.col("o_size"), F.col("o_indexed")).otherwise(F.col("indexed") | F.col("o_indexed"))
+    alike = F.least("size", "o_size") * 100 >= F.greatest("size", "o_size") * PERCENT
+    met = side.join(
+        other,
+        (F.col("key") == F.col("o_key")) & (F.col("component") != F.col("o_component")) & (~F.col("o_side") | (F.col("u") < F.col("v"))) & alike & smaller,
     )
     return met.select("u", "v").distinct()
 
 
+def _alike(table: pa.Table) -> pa.Table:
+    """Links between the two blocks of a group (or within one), one a pair of components."""
+    rows = table.to_pydict()
+    first, second = rows["first"][0], rows["second"][0]
+    block = np.asarray(rows["block"])
+    sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
+    size = np.asarray([len(x) for x in sets])
+    ids, parts = np.asarray(rows["id"], np.int64), np.asarray(rows["component"], np.int64)
+    a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = seen[column] > 1
+    rank = np.cumsum(seen > 1) - 1
+    owner, column = owner[shared], rank[column[shared]]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, 8192):
+        some = (column >= lo) & (column < lo + 8192)
+        has = np.zeros((len(sets), 8192), np.float32)
+        has[owner[some], column[some] - lo] = 1
+        both += has[a] @ has[b].T
+    ok = (100 * both >= PERCENT * (size[a][:, None] + size[b][None, :] - both)) & (parts[a][:, None] != parts[b][None, :])
+    i, j = np.nonzero(ok)
+    low, high = np.minimum(parts[a[i]], parts[b[j]]), np.maximum(parts[a[i]], parts[b[j]])
+    _, one = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
+    return pa.table({"u": ids[a[i[one]]], "v": ids[b[j[one]]]})
+
+
+def _block_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components among texts that share a crowded prefix shingle."""
+    own = sets.select(F.col("id").alias("s_id"), "set")
+    dealt = crowded.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "id", "component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
+    )
+    met = paired.join(own, F.col("id") == F.col("s_id")).drop("s_id")
+    return met.groupBy("key", "first", "second").applyInArrow(_alike, "u bigint, v bigint")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates, all columns as they were."""
     found = stored(near_duplicates(docs), "nd-found")
