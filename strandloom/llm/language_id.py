@@ -34,6 +34,8 @@ HIDDEN = 8
 WINDOWS_PER_DOC = 4
 PER_LANGUAGE = 500
 MAX_LANGUAGES = 256
+#: Pooled probability under which a document counts as in no learned language.
+REJECT_BELOW = 0.3
 #: Bytes of text in a lockstep batch.
 BATCH_BYTES = 131_072
 
@@ -234,10 +236,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int =
     return train(texts, labels)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score for every row."""
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Columns ``keep`` with lang_pred and score (after ``prefix``) for every row."""
     keep = keep or ["doc_id"]
-    names = [*keep, "lang_pred", "score"]
+    names = [*keep, f"{prefix}lang_pred", f"{prefix}score"]
 
     def run(batches):
         for batch in batches:
@@ -258,7 +260,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
                 yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).slice(lo, hi - lo) for k in range(len(keep))), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=names)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, `{prefix}lang_pred` string, `{prefix}score` double")
+
+
+def drop_rejected(docs: DataFrame, least: float = REJECT_BELOW) -> DataFrame:
+    """docs without those that have no letter or whose best language is below ``least``."""
+    judged = predict(docs, fit(docs), docs.columns, "_lid_")
+    return judged.where(F.col("_lid_lang_pred") != "und").where(F.col("_lid_score") >= least).select(*docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:

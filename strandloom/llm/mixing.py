@@ -73,8 +73,8 @@ def find_exponent(shares: DataFrame, smallest: float, largest: float, max_epochs
     return hi
 
 
-def mix_sources(docs: DataFrame, max_epochs: float | None = 1.5, entropy: float | None = None, budget: int | None = None, cover: bool = True, seed: int = 7) -> DataFrame:
-    """docs with n_tokens, weight, epochs, copies and block.
+def mix_sources(docs: DataFrame, max_epochs: float | None = 1.5, entropy: float | None = None, budget: int | None = None, cover: bool = True, seed: int = 7, prefix: str = "") -> DataFrame:
+    """docs with n_tokens, weight, epochs, copies and block (after ``prefix``).
 
     The budget of tokens is ``budget``; if it is None, then with ``cover`` the least at which
     every source runs through at least once, else the corpus's own number of tokens.
@@ -97,16 +97,16 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 1.5, entropy: float
     weighted = weighted.withColumn("epochs", F.when(F.abs(F.col("epochs") - F.round("epochs")) < 1e-9, F.round("epochs")).otherwise(F.col("epochs")))
     weighted = weighted.withColumn("_extra", (F.col("epochs") - F.floor("epochs")) * F.col("n"))
     plan = stored(_thresholds(keyed, blocks, weighted), "mix-plan")
-    plan = plan.select(F.col("_src").alias("_p_src"), "weight", "epochs", "_last")
+    plan = plan.select(F.col("_src").alias("_p_src"), F.col("weight").alias("_p_weight"), F.col("epochs").alias("_p_epochs"), F.col("_last").alias("_p_last"))
     if n_sources <= MAX_BROADCAST_SOURCES:
         out = keyed.join(F.broadcast(plan), F.col("_src") == F.col("_p_src"), "left")
     else:
         salted = plan.withColumn("_p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = keyed.withColumn("_salt", F.pmod("_h", F.lit(SALTS))).join(salted, (F.col("_src") == F.col("_p_src")) & (F.col("_salt") == F.col("_p_salt")), "left")
-    copies = F.floor("epochs") + F.when(F.col("_h") <= F.col("_last"), 1).otherwise(0)
+    copies = F.floor("_p_epochs") + F.when(F.col("_h") <= F.col("_p_last"), 1).otherwise(0)
     return out.select(
-        *docs.columns, F.col("_tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("epochs", F.lit(1.0)).alias("epochs"),
-        F.when(F.col("_tokens") == 0, 1).otherwise(copies).cast("int").alias("copies"), F.col("_block").alias("block"),
+        *(out[f"`{c}`"] for c in docs.columns), F.col("_tokens").alias(f"{prefix}n_tokens"), F.coalesce("_p_weight", F.lit(0.0)).alias(f"{prefix}weight"), F.coalesce("_p_epochs", F.lit(1.0)).alias(f"{prefix}epochs"),
+        F.when(F.col("_tokens") == 0, 1).otherwise(copies).cast("int").alias(f"{prefix}copies"), F.col("_block").alias(f"{prefix}block"),
     )
 
 
@@ -133,6 +133,12 @@ def _thresholds(keyed: DataFrame, blocks: DataFrame, weighted: DataFrame) -> Dat
     )
 
 
+def mixed_documents(docs: DataFrame, **targets) -> DataFrame:
+    """docs with every row as often as the mix has it."""
+    mixed = mix_sources(docs, prefix="_mix_", **targets)
+    return mixed.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+
+
 def realise(mixed: DataFrame) -> DataFrame:
     """One row for each copy, with ``copy`` and ``position``; ordering by position interleaves
     the sources at their weights."""

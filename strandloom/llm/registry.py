@@ -49,7 +49,7 @@ def op6_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "n_tokens", "weight", "epochs", "copies", "block")
 
 
