@@ -1,6 +1,324 @@
-def queries():
-    return {}
+"""Queries over the derived tables, one for each operator."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import alignment as A
+from ..functions.regions import parse_region
+from ..functions.statistics import fisher_exact
+from ..operators import beta as B
+from ..operators import convert as C
+from ..operators import haplotypes as H
+from ..operators import pileup as P
+from ..operators import regions as R
+from ..operators import sites as S
+from ..operators import summary as M
+from ..operators import variants as V
+from . import derived as D
+from .oracles import ORACLES
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def beta_sites(spark, d):
+    return B.beta(D.haplotypes(spark, d), D.sites(spark, d))
+
+
+@query
+def beta_sites_range(spark, d):
+    return B.site_sums_by_range(D.haplotypes(spark, d), D.raw_sites(spark, d))
+
+
+@query
+def beta_sites_stranded(spark, d):
+    return B.beta(D.haplotypes(spark, d), D.sites(spark, d), stranded=True)
+
+
+@query
+def beta_regions(spark, d):
+    return B.beta(D.haplotypes(spark, d), D.sites(spark, d), D.bed(spark, d))
+
+
+@query
+def beta_regions_compat(spark, d):
+    return B.beta(D.haplotypes(spark, d), D.sites(spark, d), D.bed(spark, d), compat=True)
+
+
+@query
+def beta_regions_stranded(spark, d):
+    return B.beta(D.haplotypes(spark, d), D.sites(spark, d), D.bed(spark, d), stranded=True)
+
+
+@query
+def summary_regions(spark, d):
+    return M.summary_regions(D.haplotypes(spark, d), R.bed_to_closed(D.bed(spark, d)))
+
+
+@query
+def summary_regions_stranded(spark, d):
+    return M.summary_regions(D.haplotypes(spark, d), R.bed_to_closed(D.bed(spark, d)), stranded=True)
+
+
+@query
+def summary_genome(spark, d):
+    return M.summary_genome(D.haplotypes(spark, d), D.sites(spark, d), check=False)
+
+
+@query
+def summary_genome_stranded(spark, d):
+    return M.summary_genome(D.haplotypes(spark, d), D.sites(spark, d), stranded=True, check=False)
+
+
+@query
+def merge_grouped(spark, d):
+    return H.merge(D.haplotypes(spark, d, 0), D.haplotypes(spark, d, 1))
+
+
+@query
+def merge_adjacent(spark, d):
+    return H.merge(D.haplotypes(spark, d, 0), D.haplotypes(spark, d, 1), mode="adjacent")
+
+
+@query
+def hap_union_all(spark, d):
+    return H.union_all(D.haplotypes(spark, d, 0), D.haplotypes(spark, d, 1))
+
+
+@query
+def hap_explode_sites(spark, d):
+    bits = H.explode_sites(D.haplotypes(spark, d), D.sites(spark, d))
+    return bits.groupBy("chr", "beg", "pos", "bit").agg(F.sum("cnt").cast("long").alias("n"))
+
+
+@query
+def sites_rank(spark, d):
+    return S.rank_sites(D.raw_sites(spark, d))
+
+
+@query
+def sites_dedup(spark, d):
+    lines = D.table(spark, d, "lineitem").selectExpr("concat('chr', l_partkey % 5) AS chr", f"{D.site_position('l_partkey div 5')} AS pos")
+    return S.dedup_sites(lines)
+
+
+@query
+def sites_invalid(spark, d):
+    some = D.raw_sites(spark, d)
+    return S.invalid_sites(some.unionByName(some.where("pos % 3 = 0"))).select("chr", "pos", "count")
+
+
+@query
+def consistency_antijoin(spark, d):
+    moved = D.haplotypes(spark, d).withColumn("beg", F.col("beg") + F.when(F.col("cnt") == 3, 1).otherwise(0))
+    return H.missing_starts(moved, D.raw_sites(spark, d))
+
+
+@query
+def aln_flag_filter(spark, d):
+    return D.alignments(spark, d).where(A.usable(F.col("flag"), F.col("seq"))).select("ord", "flag")
+
+
+@query
+def aln_xm_filter(spark, d):
+    return D.alignments(spark, d).where(A.passes_bisulfite_qc(F.col("xm"))).select("ord", "xm")
+
+
+@query
+def aln_strand(spark, d):
+    reads = D.alignments(spark, d).withColumn("wc", A.strand_code(F.col("flag"))).where("wc IS NOT NULL")
+    return reads.select("ord", "flag", A.strand_symbol(F.col("wc")).alias("strand"))
+
+
+@query
+def aln_flag_string(spark, d):
+    names = D.alignments(spark, d).select("flag").distinct().withColumn("names", A.flag_string(F.col("flag")))
+    return names.withColumn("again", A.flag_number(F.col("names")))
+
+
+@query
+def aln_cigar_lengths(spark, d):
+    c = F.col("cigar")
+    return D.alignments(spark, d).select("ord", A.query_length(c).alias("qlen"), A.reference_length(c).alias("rlen"), A.end_position(F.col("flag"), F.col("pos"), c).alias("endpos"))
+
+
+def _bases(spark, d, mode="BS"):
+    return C.site_bases(C.accepted_reads(D.alignments(spark, d)), D.raw_sites(spark, d), mode)
+
+
+@query
+def aln_site_join(spark, d):
+    return _bases(spark, d).select("ord", "site")
+
+
+@query
+def aln_methylation_bs(spark, d):
+    return _bases(spark, d).select("ord", "site", "met", "q")
+
+
+@query
+def aln_methylation_taps(spark, d):
+    return _bases(spark, d, "TAPS").select("ord", "site", "met", "q")
+
+
+@query
+def aln_region_select(spark, d):
+    return C.select_reads(D.alignments(spark, d), R.bed_to_closed(D.bed(spark, d))).select("ord", "chr", "pos")
+
+
+@query
+def convert_single_end(spark, d):
+    return C.convert(D.alignments(spark, d), D.raw_sites(spark, d), paired=False)
+
+
+@query
+def convert_nondirectional(spark, d):
+    return C.convert(D.alignments(spark, d), D.raw_sites(spark, d), directional=False, paired=False)
+
+
+@query
+def mate_pair(spark, d):
+    return C.pair_mates(C.read_haplotypes(_bases(spark, d))).select("ord", "qname", "pair")
+
+
+@query
+def mate_union_max_quality(spark, d):
+    return C.unite_mates(C.pair_mates(C.read_haplotypes(_bases(spark, d))))
+
+
+@query
+def convert_paired(spark, d):
+    return C.convert(D.alignments(spark, d), D.raw_sites(spark, d))
+
+
+@query
+def convert_paired_taps(spark, d):
+    return C.convert(D.alignments(spark, d), D.raw_sites(spark, d), mode="TAPS")
+
+
+@query
+def convert_regions(spark, d):
+    return C.convert(D.alignments(spark, d), D.raw_sites(spark, d), R.bed_to_closed(D.bed(spark, d)))
+
+
+@query
+def mate_evict(spark, d):
+    """Numbers of accepted reads, and pairs whose first mate is given up (every 1000, age 100)."""
+    numbers = C.global_index(C.accepted_reads(D.alignments(spark, d)).select("ord", "qname", "chr"), "ord")
+    names = numbers.groupBy("chr", "qname").agg(F.min("idx").alias("i"), F.max("idx").alias("j"), F.count("*").alias("n")).where("n = 2")
+    return names.select("chr", "qname", "i", "j", C.eviction_breaks(F.col("i"), F.col("j"), 1000, 100).alias("broken"))
+
+
+@query
+def convert_evicting(spark, d):
+    return C.convert(D.alignments(spark, d), D.raw_sites(spark, d), evict=True)
+
+
+@query
+def region_parse(spark, d):
+    names = [f"chr{i}" for i in range(6)]
+    rows = [(t, *parse_region(t, names)[:3]) for t in ("chr1", "chr1:50", "chr1:50-100", "chr2:-50", "chr3:1,000-1,500", "chr3:1k-1.5K", "{chr4}:1e3-15e2")]
+    return spark.createDataFrame(rows, "region string, chr string, beg bigint, end bigint")
+
+
+@query
+def bed_normalise(spark, d):
+    return R.bed_to_closed(D.bed(spark, d))
+
+
+@query
+def region_overlap_semi(spark, d):
+    return R.overlap_semi(D.haplotypes(spark, d), R.bed_to_closed(D.bed(spark, d)))
+
+
+@query
+def region_missed_anti(spark, d):
+    return R.missed_regions(R.bed_to_closed(D.bed(spark, d)), D.haplotypes(spark, d))
+
+
+@query
+def region_compact(spark, d):
+    return R.compact(R.bed_to_closed(D.bed(spark, d)))
+
+
+@query
+def depth_pileup(spark, d):
+    return P.depth(D.alignments(spark, d))
+
+
+@query
+def pileup_bases(spark, d):
+    return P.aligned_positions(D.alignments(spark, d)).groupBy("chr", "position", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def index_stats(spark, d):
+    return P.index_statistics(D.alignments(spark, d))
+
+
+@query
+def overlap_quality(spark, d):
+    bases = _bases(spark, d).select("chr", "qname", F.col("site").alias("position"), "ord", F.coalesce("met", F.lit("?")).alias("base"), "q")
+    return P.reconcile_overlap(bases)
+
+
+@query
+def variant_type(spark, d):
+    kind = V.variant_type(F.col("ref"), F.col("alt"))
+    return D.variants(spark, d).select("id", "ref", "alt", kind["type"].alias("type"), kind["n"].alias("n"))
+
+
+@query
+def variant_is_snp(spark, d):
+    return D.variants(spark, d).select("id", V.is_snp(F.col("ref"), F.array("alt")).alias("snp"))
+
+
+@query
+def genotype_class(spark, d):
+    kind = V.genotype_class(V.parse_genotype(F.col("gt")))
+    return D.genotypes(spark, d).groupBy("gt", kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query
+def allele_count(spark, d):
+    return V.allele_counts(D.genotypes(spark, d).select("variant", V.parse_genotype(F.col("gt")).alias("alleles")))
+
+
+@query
+def variant_synchronized(spark, d):
+    table = D.variants(spark, d)
+    return V.synchronized(table.where("id % 3 <> 0").select("chr", "pos", "ref", "alt"), table.where("id % 3 <> 1").select("chr", "pos", "ref", "alt"))
+
+
+@query
+def fisher_exact_strands(spark, d):
+    """Strand bias of methylation at every site, by Fisher's exact test."""
+    sums = B.site_sums(D.haplotypes(spark, d), D.sites(spark, d), stranded=True)
+    side = lambda s, c: F.coalesce(F.sum(F.when(F.col("strand") == s, F.col(c))), F.lit(0))
+    both = sums.groupBy("chr", "pos").agg(side("+", "meth").alias("a"), side("+", "total").alias("b"), side("-", "meth").alias("c"), side("-", "total").alias("e"))
+    return both.withColumn("t", fisher_exact("a", F.col("b") - F.col("a"), "c", F.col("e") - F.col("c"))).select("chr", "pos", F.round("t.p_two", 6).alias("p_two"))
+
+
+@query
+def streamed_event_haplotypes(spark, d):
+    """The stream's counts over the events table, run until it has read all of it."""
+    from ..streaming.counts import counts_until_done
+
+    return counts_until_done(spark, f"{d}/events.parquet")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
