@@ -52,8 +52,8 @@ def depth(alignments: DataFrame) -> DataFrame:
 
 def sample_depths(alignments: DataFrame, sample: str, names: list[str]) -> DataFrame:
     """Depth by position with a column for each sample."""
-    counted = aligned_positions(alignments.withColumn("ord", F.col("ord"))).join(alignments.select(F.col("ord").alias("_o"), F.col(sample).alias("_sample")), F.col("ord") == F.col("_o"))
-    return counted.groupBy("chr", "position").pivot("_sample", names).agg(F.count("*")).na.fill(0, names)
+    counted = aligned_positions(alignments).join(alignments.select(F.col("ord").alias("_o"), F.col(sample).alias("_sample")), F.col("ord") == F.col("_o"))
+    return counted.groupBy("chr", "position").pivot("_sample", names).agg(F.count(F.lit(1))).na.fill(0, names)
 
 
 def index_statistics(alignments: DataFrame) -> DataFrame:
