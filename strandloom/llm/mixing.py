@@ -1,6 +1,7 @@
 """Temperature mixing of sources.
 
-Shares of tokens p are raised to an exponent a in [0, 1] and normalised: w = p^a / sum p^a.
+Shares of tokens p are raised to an exponent a (0 to 1; up to SHARPEST for a low target
+entropy) and normalised: w = p^a / sum p^a.
 The exponent is bisected (many exponents in each pass over the table of sources) to meet
 either a target entropy or the largest number of epochs that any source may be repeated.
 The weights are realised as block permutations: a source's documents are ordered by a keyed
@@ -27,6 +28,7 @@ from ._shared import SALTS, stored
 
 MAX_BROADCAST_SOURCES = 100_000
 BLOCK_BITS = 16
+SHARPEST = 16.0
 WORDS = r"[^ \t-\r]+"
 
 
@@ -56,7 +58,7 @@ def find_exponent(shares: DataFrame, smallest: float, largest: float, max_epochs
     max_epochs: the rarest source is repeated so often at most.  entropy: the mix's
     entropy in nats is so much at most.  Both fall as the exponent grows.
     """
-    lo, hi = 0.0, 1.0
+    lo, hi = 0.0, 1.0 if entropy is None else SHARPEST
     for _ in range(passes):
         tried = [lo + (hi - lo) * i / grid for i in range(grid + 1)]
         fit = []

@@ -26,8 +26,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-#: Size up to which an index is shipped to every executor as files; larger rule lists are
-#: to be split by host with ``split_rules`` and applied one after the other.
+#: Size up to which an index is one set of files.  A larger rule list becomes several, which
+#: are mapped and probed one after the other; only touched pages of a mapped file use memory.
 MAX_INDEX_BYTES = 2 << 30
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,57 +103,65 @@ class DigestIndex:
 _open: dict[str, DigestIndex] = {}
 
 
-def judge(urls: list[str | None], index: DigestIndex, default: str) -> list[tuple[str, str, str | None, str]]:
+def judge(urls: list[str | None], indexes: list[DigestIndex], default: str) -> list[tuple[str, str, str | None, str]]:
     """(host, path, rule, verdict) of each url."""
     split = [split_url(u) for u in urls]
-    owner, texts, hosts = [], [], []
-    lengths = index.path_lengths.tolist()
-    for i, (host, path) in enumerate(split):
-        if not host and not path:
-            continue
-        paths = [path[:k] for k in lengths if k <= len(path)]
-        if not paths:
-            continue
-        suffix = host
-        while True:
-            for p in paths:
-                owner.append(i)
-                texts.append(suffix + p)
-                hosts.append(len(suffix))
-            dot = suffix.find(".")
-            if dot < 0:
-                break
-            suffix = suffix[dot + 1 :]
-    digests = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
-    row = index.lookup(digests, texts, np.asarray(hosts, np.int64))
     best: dict[int, tuple[int, int, str, str]] = {}
-    for k in np.flatnonzero(row >= 0):
-        i, text = owner[k], texts[k]
-        rank = (len(text), hosts[k])
-        if i not in best or rank > best[i][:2]:
-            best[i] = (*rank, text, "allow" if index.values[row[k]] else "block")
+    for index in indexes:
+        owner, texts, hosts = [], [], []
+        lengths = index.path_lengths.tolist()
+        for i, (host, path) in enumerate(split):
+            paths = [path[:k] for k in lengths if k <= len(path)] if host or path else []
+            suffix = host
+            while paths:
+                for p in paths:
+                    owner.append(i)
+                    texts.append(suffix + p)
+                    hosts.append(len(suffix))
+                dot = suffix.find(".")
+                if dot < 0:
+                    break
+                suffix = suffix[dot + 1 :]
+        digests = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
+        row = index.lookup(digests, texts, np.asarray(hosts, np.int64))
+        for k in np.flatnonzero(row >= 0):
+            i, text = owner[k], texts[k]
+            rank = (len(text), hosts[k])
+            if i not in best or rank > best[i][:2]:
+                best[i] = (*rank, text, "allow" if index.values[row[k]] else "block")
     return [(h, p, best[i][2], best[i][3]) if i in best else (h, p, None, default) for i, (h, p) in enumerate(split)]
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", key: str = "page_id") -> DataFrame:
+def _parts(rules: list[tuple[str, str, str]], limit: int) -> list[list[tuple[str, str, str]]]:
+    """The rules in runs of at most ``limit`` bytes of index."""
+    out, size = [[]], 0
+    for h, p, v in sorted(rules):
+        own = len(h.encode()) + len(p.encode()) + 33
+        if out[-1] and size + own > limit:
+            out.append([])
+            size = 0
+        out[-1].append((h, p, v))
+        size += own
+    return out
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", key: str = "page_id", max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """key, host, path, rule, verdict of every row's ``url``.  A map: nothing is shuffled."""
-    spark = pages.sparkSession
-    size = sum(len(h) + len(p) + 34 for h, p, _ in rules)
-    if size > MAX_INDEX_BYTES:
-        raise ValueError(f"the rules take {size} bytes; split them and apply the parts in turn")
-    name = "urls" + xxhash.xxh3_128_hexdigest(repr(sorted(rules)).encode())
-    with tempfile.TemporaryDirectory() as folder:
-        for path in DigestIndex.build(rules, folder, name):
-            if path.rsplit("/", 1)[-1] not in {f.rsplit("/", 1)[-1] for f in spark.sparkContext.listFiles}:
-                kept = os.path.join(tempfile.mkdtemp(prefix="strandloom-index-"), os.path.basename(path))
-                os.replace(path, kept)
-                spark.sparkContext.addFile(kept)  # Spark serves it to every executor
+    sc = pages.sparkSession.sparkContext
+    names = []
+    for part in _parts(rules, max_index_bytes):
+        names.append("urls" + xxhash.xxh3_128_hexdigest(repr(part).encode()))
+        if not any(f"/{names[-1]}." in f for f in sc.listFiles):
+            for path in DigestIndex.build(part, tempfile.mkdtemp(prefix="strandloom-index-"), names[-1]):
+                sc.addFile(path)  # Spark serves it to every executor
 
     def run(batches):
-        if name not in _open:
-            _open[name] = DigestIndex(SparkFiles.getRootDirectory(), name)
+        for name in names:
+            if name not in _open:
+                _open[name] = DigestIndex(SparkFiles.getRootDirectory(), name)
+        indexes = [_open[name] for name in names]
         for batch in batches:
-            rows = judge(batch.column(1).to_pylist(), _open[name], default)
+            rows = judge(batch.column(1).to_pylist(), indexes, default)
             cols = [pa.array([r[k] for r in rows], pa.string()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[key, "host", "path", "rule", "verdict"])
 
