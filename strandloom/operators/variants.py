@@ -91,6 +91,33 @@ def keep_alleles(ref: Column, alts: Column, keep: Column) -> Column:
     return F.filter(alts, lambda a, i: F.array_contains(keep, i + 1))
 
 
+def remap_numbers(values: Column, number: str, keep: Column) -> Column:
+    """Values of a field with Number=A, R or G after only the kept (1-based) alternates stay.
+
+    Genotype order is by the second allele, then the first: pair (j, k), j <= k, stands at
+    k (k + 1) / 2 + j.
+    """
+    if number == "A":
+        return F.filter(values, lambda _, i: F.array_contains(keep, i + 1))
+    stays = F.concat(F.array(F.lit(0)), keep)
+    if number == "R":
+        return F.filter(values, lambda _, i: F.array_contains(stays, i))
+    if number == "G":
+        pairs = F.flatten(F.transform(stays, lambda k: F.transform(F.filter(stays, lambda j: j <= k), lambda j: (F.floor(k * (k + 1) / 2) + j).cast("int"))))
+        return F.transform(pairs, lambda at: F.get(values, at))
+    return values
+
+
+def targets(table: DataFrame, regions: DataFrame, exclude: bool = False) -> DataFrame:
+    """Records (chr, pos) that lie in any region (closed), or in none."""
+    from .interval_join import point_in_interval
+
+    tagged = table.withColumn("_row", F.monotonically_increasing_id())
+    wanted = regions.select(F.col("chr").alias("_t_chr"), F.col("beg").alias("_t_beg"), F.col("end").alias("_t_end"))
+    hit = point_in_interval(wanted, tagged.select("chr", "pos", "_row"), "_t_chr", F.col("_t_beg"), F.col("_t_end"), "chr", "pos").select(F.col("_row").alias("_hit")).distinct()
+    return tagged.join(hit, F.col("_row") == F.col("_hit"), "left_anti" if exclude else "left_semi").drop("_row")
+
+
 def add_filter(filters: Column, name: str) -> Column:
     """Add a filter: PASS gives way to another, duplicates are ignored."""
     if name == "PASS":

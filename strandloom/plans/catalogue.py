@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
+from ..functions import reads as RD
 from ..functions.regions import parse_region
 from ..functions.statistics import fisher_exact
 from ..operators import beta as B
 from ..operators import convert as C
 from ..operators import haplotypes as H
+from ..operators import likelihood as L
 from ..operators import pileup as P
 from ..operators import regions as R
 from ..operators import sites as S
@@ -308,6 +310,56 @@ def fisher_exact_strands(spark, d):
     return both.withColumn("t", fisher_exact("a", F.col("b") - F.col("a"), "c", F.col("e") - F.col("c"))).select("chr", "pos", F.round("t.p_two", 6).alias("p_two"))
 
 
+@query
+def aln_insertions(spark, d):
+    found = RD.insertions(F.col("pos"), F.col("cigar"), F.col("seq"))
+    return D.alignments(spark, d).select("ord", F.explode(found).alias("i")).select("ord", "i.position", "i.bases")
+
+
+@query
+def aln_mapq_cap(spark, d):
+    reads = D.alignments(spark, d).select("ord", "pos", "cigar", "seq", "qual").withColumn("reference", F.repeat(F.lit("CT"), 60))
+    return reads.select("ord", RD.cap_mapping_quality("pos", "cigar", "seq", "qual", "reference").alias("cap"))
+
+
+@query
+def genotype_likelihood(spark, d):
+    bases = P.aligned_positions(D.alignments(spark, d).where("ord < 400")).where("kind = 'M'")
+    column = bases.select("chr", "position", "base", (F.col("ord") % 40 + 2).cast("int").alias("q"), (F.col("ord") % 2 == 1).alias("reverse"))
+    return L.genotype_likelihoods(column).select("chr", "position", "depth", "genotype", F.round("phred", 4).alias("phred"))
+
+
+@query
+def variant_remove_alleles(spark, d):
+    """Three alternates by record, the second dropped where the id is even."""
+    keep = F.when(F.col("id") % 2 == 0, F.array(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    rows = D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.lit("C"), F.lit("G"), F.lit("T")).alias("alts"))
+    at = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("id") + i)
+    cut = rows.select("id", V.keep_alleles(F.lit("A"), F.col("alts"), keep).alias("alts"), *[V.remap_numbers(at(n), k, keep).alias(k.lower()) for k, n in (("A", 3), ("R", 4), ("G", 10))])
+    return cut.select("id", *[F.array_join(c, ",").alias(c) for c in ("alts", "a", "r", "g")])
+
+
+@query
+def variant_targets(spark, d):
+    return V.targets(D.variants(spark, d), R.bed_to_closed(D.bed(spark, d))).select("id", "chr", "pos")
+
+
+@query
+def variant_targets_excluded(spark, d):
+    return V.targets(D.variants(spark, d), R.bed_to_closed(D.bed(spark, d)), exclude=True).select("id", "chr", "pos")
+
+
+@query
+def list_chromosomes(spark, d):
+    return D.haplotypes(spark, d).select("chr").distinct()
+
+
+@query
+def text_utilities(spark, d):
+    name = F.col("p_name")
+    return D.table(spark, d, "part").select("p_partkey", F.md5(name).alias("md5"), F.split(name, " ")[0].alias("word"), RD.percent_decode(F.replace(name, F.lit(" "), F.lit("%20"))).alias("decoded"), RD.base64_decode(F.base64(name.cast("binary"))).alias("again"))
+
+
 @query
 def streamed_event_haplotypes(spark, d):
     """The stream's counts over the events table, run until it has read all of it."""

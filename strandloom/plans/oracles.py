@@ -283,4 +283,13 @@ r AS (SELECT chr, pos, ref, alt, type, row_number() OVER (PARTITION BY chr, pos,
 SELECT coalesce(l.chr, r.chr) AS chr, coalesce(l.pos, r.pos) AS pos, l.ref AS l_ref, l.alt AS l_alt, r.ref AS r_ref, r.alt AS r_alt
 FROM l FULL OUTER JOIN r ON l.chr = r.chr AND l.pos = r.pos AND l.type = r.type AND l.k = r.k""",
     "streamed_event_haplotypes": "SELECT date_trunc('hour', ts) AS window_start, event_type AS chr, CAST(count(*) AS BIGINT) AS cnt, CAST(sum(CASE WHEN value >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS meth FROM events GROUP BY 1, 2",
+    "aln_insertions": f"WITH {_ALN} SELECT ord, pos + m1 AS position, substr(seq, clip + m1 + 1, ins) AS bases FROM aln",
+    "variant_remove_alleles": """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'C,T' ELSE 'C,G,T' END AS alts,
+  array_to_string([p_partkey + i FOR i IN CASE WHEN p_partkey % 2 = 0 THEN [0, 2] ELSE [0, 1, 2] END], ',') AS a,
+  array_to_string([p_partkey + i FOR i IN CASE WHEN p_partkey % 2 = 0 THEN [0, 1, 3] ELSE [0, 1, 2, 3] END], ',') AS r,
+  array_to_string([p_partkey + i FOR i IN CASE WHEN p_partkey % 2 = 0 THEN [0, 1, 2, 6, 7, 9] ELSE [0, 1, 2, 3, 4, 5, 6, 7, 8, 9] END], ',') AS g FROM part""",
+    "variant_targets": f"WITH {_VAR}, {_BED} SELECT id, chr, pos FROM vars v WHERE EXISTS (SELECT 1 FROM bed b WHERE b.chr = v.chr AND v.pos BETWEEN b.beg + 1 AND b.\"end\")",
+    "variant_targets_excluded": f"WITH {_VAR}, {_BED} SELECT id, chr, pos FROM vars v WHERE NOT EXISTS (SELECT 1 FROM bed b WHERE b.chr = v.chr AND v.pos BETWEEN b.beg + 1 AND b.\"end\")",
+    "list_chromosomes": "SELECT DISTINCT 'chr' || CAST(l_partkey % 5 AS VARCHAR) AS chr FROM lineitem",
+    "text_utilities": "SELECT p_partkey, md5(p_name) AS md5, string_split(p_name, ' ')[1] AS word, p_name AS decoded, p_name AS again FROM part",
 }

@@ -65,6 +65,21 @@ def add_header_line(header: DataFrame, kind: str, tags: dict[str, str]) -> DataF
     return header.unionByName(row)
 
 
+def merge_headers(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The lines of all headers: of lines with one identity (SN, ID, or the whole of the
+    others) the first file's stays."""
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    every = reduce(DataFrame.unionByName, [h.withColumn("_file", F.lit(i)) for i, h in enumerate((first, *others))])
+    name = F.coalesce(F.element_at("tags", "SN"), F.element_at("tags", "ID"), F.when(F.col("type") == "HD", "").otherwise(F.to_json("tags")))
+    order = Window.partitionBy("type", "_name").orderBy("_file", "line")
+    kept = every.withColumn("_name", name).withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
+    rank = F.when(F.col("type") == "HD", 0).when(F.col("type") == "SQ", 1).when(F.col("type") == "RG", 2).when(F.col("type") == "PG", 3).otherwise(4).cast("long")
+    return kept.select((rank * (1 << 40) + F.col("_file") * (1 << 32) + F.col("line")).alias("line"), "type", "tags")
+
+
 def header_lines(header: DataFrame) -> DataFrame:
     """Header text lines in order."""
     fields = F.transform(F.map_entries("tags"), lambda e: F.when(e["key"] == "", e["value"]).otherwise(F.concat(e["key"], F.lit(":"), e["value"])))

@@ -116,3 +116,32 @@ def test_fisher_by_enumeration():
 def test_special_functions():
     assert math.isclose(ST._gamma_p(1.0, 2.0), 1 - math.exp(-2)) and math.isclose(ST._gamma_p(1.0, 0.1), 1 - math.exp(-0.1))
     assert math.isclose(ST._beta(2, 3, 0.4), sum(math.comb(4, k) * 0.4**k * 0.6 ** (4 - k) for k in range(2, 5)))
+
+
+def test_likelihood_model():
+    from strandloom.operators.likelihood import _error_steps, likelihoods
+
+    # the steps are ratios of binomial tails
+    steps = _error_steps(10, 4)
+    tail = [sum(math.comb(4, i) * 0.1**i * 0.9 ** (4 - i) for i in range(k, 5)) for k in range(6)]
+    assert all(math.isclose(steps[k], -10 * math.log10(tail[k + 1] / tail[k]), rel_tol=1e-9) for k in range(4))
+    same = likelihoods(["A"] * 8, [30] * 8, [False, True] * 4)
+    assert same[0, 0] == 0 and same[1, 1] > same[0, 1] > 0
+    mixed = likelihoods(["A", "C"] * 5, [30] * 10, [False] * 10)
+    assert mixed[0, 1] == mixed.min() and not likelihoods([], [], []).any()
+
+
+def test_capped_quality():
+    from strandloom.functions.reads import capped_quality
+
+    assert capped_quality(0, "8M", "ACGTACGT", "IIIIIIII", "ACGTACGT") == 40
+    low = capped_quality(0, "8M", "ACGTACGT", "IIIIIIII", "ACGAACGT")
+    assert 0 < low < 40 and capped_quality(0, "8M", "AAAAAAAA", "IIIIIIII", "CCCCCCCC") == -1
+    assert capped_quality(0, "8M", "AAAAAAAA", "!!!!!!!!", "CCCCCCCC") == 40
+
+
+def test_insertions(spark):
+    from strandloom.functions.reads import insertions
+
+    df = spark.createDataFrame([(9, "2S3M2I1P1I2M1D1M", "TTACGGGTCAA")], "pos bigint, cigar string, seq string")
+    assert [tuple(x) for x in df.select(insertions(df.pos, df.cigar, df.seq)).first()[0]] == [(12, "GG*T")]

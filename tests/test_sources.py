@@ -126,3 +126,9 @@ def test_stream_of_a_folder(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, ts timestamp, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     out = counts_until_done(spark, str(tmp_path / "events.parquet")).collect()
     assert sum(r.cnt for r in out) == 30 and sum(r.meth for r in out) == 20 and len(out) == 6
+
+
+def test_merged_headers(spark):
+    one = sam.parse_header(spark.createDataFrame([("@HD\tVN:1.6", 0), ("@SQ\tSN:a\tLN:1", 1)], "value string, line bigint"))
+    two = sam.parse_header(spark.createDataFrame([("@HD\tVN:1.5", 0), ("@SQ\tSN:b\tLN:2", 1), ("@SQ\tSN:a\tLN:9", 2)], "value string, line bigint"))
+    assert [r.value for r in sam.header_lines(sam.merge_headers(one, two)).collect()] == ["@HD\tVN:1.6", "@SQ\tSN:a\tLN:1", "@SQ\tSN:b\tLN:2"]
