@@ -297,6 +297,7 @@ def allele_count(spark, d):
 
 @query
 def variant_synchronized(spark, d):
+    """Two tables that share a third of their records: all but every first, all but every second."""
     table = D.variants(spark, d)
     return V.synchronized(table.where("id % 3 <> 0").select("chr", "pos", "ref", "alt"), table.where("id % 3 <> 1").select("chr", "pos", "ref", "alt"))
 
@@ -324,8 +325,11 @@ def aln_mapq_cap(spark, d):
 
 @query
 def genotype_likelihood(spark, d):
-    bases = P.aligned_positions(D.alignments(spark, d).where("ord < 400")).where("kind = 'M'")
-    column = bases.select("chr", "position", "base", (F.col("ord") % 40 + 2).cast("int").alias("q"), (F.col("ord") % 2 == 1).alias("reverse"))
+    """The ten genotypes at every site that reads cover, from all their bases there."""
+    bases = P.aligned_positions(D.alignments(spark, d)).where("kind = 'M'")
+    sites = D.raw_sites(spark, d).select(F.col("chr").alias("s_chr"), F.col("pos").alias("s_pos"))
+    at_sites = bases.join(sites, (F.col("chr") == F.col("s_chr")) & (F.col("position") == F.col("s_pos")))
+    column = at_sites.select("chr", "position", "base", (F.col("ord") % 40 + 2).cast("int").alias("q"), (F.col("ord") % 2 == 1).alias("reverse"))
     return L.genotype_likelihoods(column).select("chr", "position", "depth", "genotype", F.round("phred", 4).alias("phred"))
 
 
