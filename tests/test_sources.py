@@ -132,3 +132,34 @@ def test_merged_headers(spark):
     one = sam.parse_header(spark.createDataFrame([("@HD\tVN:1.6", 0), ("@SQ\tSN:a\tLN:1", 1)], "value string, line bigint"))
     two = sam.parse_header(spark.createDataFrame([("@HD\tVN:1.5", 0), ("@SQ\tSN:b\tLN:2", 1), ("@SQ\tSN:a\tLN:9", 2)], "value string, line bigint"))
     assert [r.value for r in sam.header_lines(sam.merge_headers(one, two)).collect()] == ["@HD\tVN:1.6", "@SQ\tSN:a\tLN:1", "@SQ\tSN:b\tLN:2"]
+
+
+def test_bcf(spark, tmp_path):
+    from strandloom.sources import bcf
+
+    head = '##fileformat=VCFv4.2\n##FILTER=<ID=q10,Description="x">\n##contig=<ID=1>\n##contig=<ID=2>\n##INFO=<ID=DP,Number=1,Type=Integer,Description="x">\n##INFO=<ID=AF,Number=A,Type=Float,Description="x">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="x">\n##FORMAT=<ID=PL,Number=G,Type=Integer,Description="x">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n'
+    rows = [
+        {"chr": "2", "pos": 10, "id": None, "ref": "A", "alts": ["C", "GGGGGGGGGGGGGGGGGGGG"], "qual": 30.0, "filters": ["PASS"], "info": {"DP": [5], "AF": [0.5, None]}, "calls": {"GT": [[2, 4], [0, 5]], "PL": [[1, None, 3], [4, 5, 6]]}},
+        {"chr": "1", "pos": 99, "id": "rs1", "ref": "T", "alts": [], "qual": None, "filters": [], "info": {}, "calls": {}},
+    ]
+    (tmp_path / "a.bcf").write_bytes(bcf.encode(head, rows))
+    got = [r.asDict(recursive=True) for r in bcf.read_bcf(spark, str(tmp_path / "a.bcf")).collect()]
+    assert got[0] == {"chr": "2", "pos": 10, "id": None, "ref": "A", "alts": ["C", "G" * 20], "qual": 30.0, "filters": ["PASS"], "info": {"DP": "5", "AF": "0.5,."}, "samples": {"A": {"GT": "0/1", "PL": "1,.,3"}, "B": {"GT": ".|1", "PL": "4,5,6"}}}
+    assert got[1]["id"] == "rs1" and got[1]["qual"] is None and got[1]["alts"] == [] and got[1]["filters"] == []
+
+
+def test_stream_of_mates(spark, tmp_path):
+    import datetime as dt
+
+    from strandloom.streaming.mates import pair_stream
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "chr string, qname string, ord bigint, ts timestamp"
+    batches = [[("c", "a", 0, at(0)), ("c", "b", 1, at(1))], [("c", "a", 2, at(2)), ("d", "b", 3, at(3))], [("c", "z", 4, at(9000))], [("c", "z", 5, at(9001))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = pair_stream(stream, "ts").writeStream.format("memory").queryName("mates").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {tuple(r) for r in spark.table("mates").collect()}
+    assert ("c", "a", 0, 2) in got and ("c", "z", 4, 5) in got and ("c", "b", 1, None) in got and ("d", "b", 3, None) in got and len(got) == 4
