@@ -35,11 +35,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while a table is stored.
+BATCH_BYTES = "8m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Python functions in its plan get Arrow batches of at most BATCH_BYTES meanwhile.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_CONF, None)
+    spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_CONF)
+        else:
+            spark.conf.set(_BATCH_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +70,21 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def tidy() -> None:
+    """Give a task's freed memory back: Python workers live on for other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def salt(*cols) -> F.Column:
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 

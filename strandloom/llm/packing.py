@@ -20,6 +20,7 @@ tokenized whole; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from . import texthash
+from ._shared import stored, tidy
+from .word_bpe import LONGEST, WordBpe
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 1_300_000
-#: Characters tokenized at a time.
-SLICE_CHARS = 2_000_000
+#: Bytes of text whose distinct words are tokenized together.
+CHUNK_BYTES = 48_000_000
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -46,7 +47,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        _tokenizers[path] = (Tokenizer.from_file(path), WordBpe.load(path))
     return _tokenizers[path]
 
 
@@ -56,45 +57,109 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian uint32 ids of each text, as the tokenizer gives them.
+def _joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the spans' elements, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
-    The vocabulary's pre-tokenizer never joins across a blank or a line feed, and
-    neither does its normaliser, so a text's ids are those of its blank-separated
-    stretches in turn.  Each distinct stretch is tokenized once per worker.
+
+def _letters(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes belong to ASCII or Latin-1 letters, and the bytes in lower case."""
+    lead = buffer == 0xC3
+    second = np.zeros(len(buffer), bool)
+    second[1:] = lead[:-1] & (buffer[1:] >= 0x80) & (buffer[1:] <= 0xBF) & (buffer[1:] != 0x97) & (buffer[1:] != 0xB7)
+    first = np.zeros(len(buffer), bool)
+    first[:-1] = second[1:]
+    upper = (buffer >= 65) & (buffer <= 90)
+    small = buffer + np.where(upper | (second & (buffer <= 0x9E)), 32, 0).astype(np.uint8)
+    return ((small >= 97) & (small <= 122) & (buffer < 128)) | first | second, small
+
+
+def _distinct_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, place, count) of blank-free stretches of text.
+
+    Letters, alone or with a final stop or comma, take the vectorised encoder (a final mark
+    is a token of its own); all other stretches go to the library.
+    """
+    tok, letters = _tokenizer(path)
+    size = end - start
+    raw = data[_joined(start, size)]
+    stop = np.cumsum(size)
+    begin = stop - size
+    good, small = _letters(raw)
+    count = np.concatenate([[0], np.cumsum(good)])
+    n_letters = count[stop] - count[begin]
+    last = raw[stop - 1] if len(stop) else raw[:0]
+    marked = (n_letters == size - 1) & ((last == 46) | (last == 44)) & ~good[stop - 1]
+    stem = size - marked
+    easy = (n_letters == stem) & (stem > 0) & (stem <= LONGEST) & (letters is not None)
+    place, n_ids = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    flats, total = [], 0
+    if easy.any():
+        at, to = begin[easy], (begin + stem)[easy]
+        _, first, inverse = np.unique(texthash.span_hashes(small, at, to), return_index=True, return_inverse=True)
+        ids, where, k = letters.encode(small, at[first], (to - at)[first])
+        marks = {c: tok.encode(chr(c), add_special_tokens=False).ids for c in (44, 46)}
+        k, where = k[inverse], where[inverse]
+        more = marked[easy].astype(np.int64)
+        own = k + more
+        ends = np.cumsum(own)
+        flat = np.zeros(int(ends[-1]), np.int64)
+        flat[_joined(ends - own, k)] = ids[_joined(where, k)]
+        tail = ends[more == 1] - 1
+        flat[tail] = np.where(last[easy][more == 1] == 44, marks[44][0], marks[46][0])
+        place[easy], n_ids[easy] = ends - own, own
+        flats.append(flat)
+        total = len(flat)
+    hard = np.flatnonzero(~easy)
+    for lo in range(0, len(hard), 50_000):
+        some = hard[lo : lo + 50_000]
+        texts = [raw[begin[i] : stop[i]].tobytes().decode("utf-8", "replace") for i in some]
+        encoded = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        own = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        place[some], n_ids[some] = total + np.cumsum(own) - own, own
+        flats.append(np.fromiter(itertools.chain.from_iterable(encoded), np.int64, int(own.sum())))
+        total += int(own.sum())
+    return np.concatenate(flats) if flats else np.zeros(0, np.int64), place, n_ids
+
+
+def encode_rows(offsets: np.ndarray, data: np.ndarray, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, ids, ends): the tokenizer's ids of each row, slice by slice.
+
+    The vocabulary's pre-tokenizer never joins across white space, and neither does its
+    normaliser, so a text's ids are those of its stretches between blanks, in turn; case is
+    folded by the normaliser, so stretches that differ in A-Z only are one.  Each distinct
+    stretch of a chunk is tokenized once.  Slices with marks of special tokens, which are
+    matched before normalisation, go to the library text by text.
     """
-    tok, cache = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words}.difference(cache))
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = list({w for words in split for w in words})
-    # Letters with a final stop or comma are the letters' ids and its id; letters have the
-    # ids of their lower case (but for a capital sigma, whose lower case has two forms).
-    known: dict[str, str] = {}
-    for w in new:
-        stem = w[:-1] if w[-1:] in (".", ",") else w
-        if stem.isalpha():
-            known[w] = stem if "\u03a3" in stem else stem.lower()
-    whole = list({".", ","}.union(known.values(), (w for w in new if w not in known)).difference(cache))
-    for at in range(0, len(whole), 50_000):
-        part = whole[at : at + 50_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = np.asarray(e.ids, "<u4").tobytes()
-    for w, stem in known.items():
-        cache[w] = cache[stem] + cache[w[-1]] if w[-1] in ".," else cache[stem]
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
-
-
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_CHARS:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    for a, b in texthash.slices(offsets, CHUNK_BYTES):
+        kept = []
+        for lo, hi in texthash.slices(offsets[a : b + 1]):
+            own = offsets[a + lo : a + hi + 1]
+            part = data[own[0] : own[-1]]
+            if ((part[:-1] == 60) & (part[1:] == 124)).any():
+                kept.append((lo, hi, None))
+                continue
+            h, row, start, end = texthash.words(own, data)
+            seen, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            kept.append((lo, hi, (seen, start[first], end[first], inverse.astype(np.int32), np.cumsum(np.bincount(row, minlength=hi - lo)))))
+        found = [k[2] for k in kept if k[2] is not None]
+        if found:
+            _, first, inverse = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
+            ids, place, count = _distinct_ids(data, np.concatenate([f[1] for f in found])[first], np.concatenate([f[2] for f in found])[first], path)
+        at = 0
+        for lo, hi, f in kept:
+            if f is None:
+                own = offsets[a + lo : a + hi + 1]
+                texts = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(own, own[1:])]
+                encoded = [e.ids for e in _tokenizer(path)[0].encode_batch_fast(texts, add_special_tokens=False)]
+                yield a + lo, a + hi, np.fromiter(itertools.chain.from_iterable(encoded), np.int64), np.cumsum([len(e) for e in encoded])
+                continue
+            w = inverse[at : at + len(f[0])][f[3]]
+            at += len(f[0])
+            k = count[w]
+            tokens = np.concatenate([[0], np.cumsum(k)])
+            yield a + lo, a + hi, ids[_joined(place[w], k)], tokens[f[4]]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -105,27 +170,30 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _slices(texts):
+            offsets, data = texthash.buffers(batch.column(1))
+            for lo, hi, ids, ends in encode_rows(offsets, data, path):
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, raw in enumerate(encode_texts(texts[lo:hi], path), lo):
-                    raw += end
-                    for p, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
+                raw_ids = ids.astype("<u4")
+                at = 0
+                for i, stop in enumerate(ends.tolist(), lo):
+                    raw = raw_ids[at:stop].tobytes() + end
+                    at = stop
+                    for p, x in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[x : x + 4 * capacity]
                         row.append(i)
                         piece.append(p)
-                        start.append(at // 4)
+                        start.append(x // 4)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
                         if keep_ids:
                             kept.append(np.frombuffer(part, "<u4").astype("i4"))
-                cols = [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
                     cols.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        tidy()
 
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)

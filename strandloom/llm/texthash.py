@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text hashed at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -65,6 +65,16 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+def span_hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, the same wherever it lies; A-Z count as a-z."""
+    n = len(part)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[part] * _power(_BASE, n), out=sums[1:])
+    h = (sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start]
+    return mix(h + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start, end) of every word; start and end index ``data``."""
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -82,11 +92,7 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends[:-1] &= ~word[1:] | first[1:n]
     start = np.flatnonzero(begins)
     end = np.flatnonzero(ends) + 1
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[part] * _power(_BASE, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power(_INVERSE, n)[start]
-    h = mix(h + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    h = span_hashes(part, start, end)
     row = np.searchsorted(edges, start, "right") - 1
     return h, row, start + lo, end + lo
 

@@ -201,8 +201,13 @@ def test_tokens_equal_the_tokenizer():
     path = packing.default_tokenizer_path()
     tok = Tokenizer.from_file(path)
     texts = ["ΣΑΣ. ΌΔΟΣ, İstanbul Å ß ẞ", "a,, b.. .c ,d ..", "x y z\tw\r\nq", "it's IT'S don't, 12 1a2b", "<|endoftext|> a<|startoftext|>b", "", "\n\n", "ﬁ ½ ² ǅ ŉ", "é É. \u0301x", "日本語。テスト, ok", "A. B, c.d. E"]
-    for text, raw in zip(texts, packing.encode_texts(texts, path)):
-        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    texts += ["×a a× ÷. É,É é., ÀÉÎÕÜßÿ. ẞ. a" * 3, "Word word, WORD. wOrd", "\x0b\x0cq\x1cz\u00a0y\u2003x", "z" * 50 + " " + "é" * 21 + ". " + "é" * 20]
+    for group in (texts, [t for t in texts if "<|" not in t]):
+        offsets, data = texthash.buffers(pa.array(group + [None]))
+        for lo, hi, ids, ends in packing.encode_rows(offsets, data, path):
+            got = np.split(ids, ends[:-1])
+            for text, own in zip((group + [""])[lo:hi], got):
+                assert own.tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
 def test_packing_places_every_piece(spark):
