@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import texthash
+from ._shared import tidy
 
 WINDOW = 64
 HIDDEN = 8
@@ -258,6 +259,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, prefix
                         label.append(model.languages[best[i]])
                         score.append(float(min(1.0, p[i, best[i]])))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).slice(lo, hi - lo) for k in range(len(keep))), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=names)
+        tidy()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, `{prefix}lang_pred` string, `{prefix}score` double")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from ._shared import fresh_path, open_fs, salt, stored, with_group_stats
+from ._shared import fresh_path, open_fs, salt, stored, tidy, with_group_stats
 from .components import components
 
 SHINGLE = 5
@@ -106,6 +106,7 @@ def _sketch(batches):
                 ],
                 names=["doc_id", "n_shingles", "set_key", "sig"],
             )
+    tidy()
 
 
 def _keys(batches):
@@ -126,17 +127,19 @@ def _sets(batches):
         for lo, hi in texthash.slices(offsets):
             sets = texthash.shingle_sets(offsets[lo : hi + 1], data, SHINGLE)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+    tidy()
 
 
 def _cells(batches):
-    counts = np.zeros(CELLS, np.int64)
+    counts = np.zeros(CELLS, np.int32)
     for batch in batches:
         for raw in batch.column(1).to_pylist():
             counts[(np.frombuffer(raw, np.uint64) & np.uint64(CELLS - 1)).astype(np.int64)] += 1
     some = np.flatnonzero(counts)
     for at in range(0, len(some), 100_000):
         part = some[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], names=["cell", "n"])
+    tidy()
 
 
 @lru_cache(maxsize=1)
@@ -145,8 +148,8 @@ def _rarity(uri: str) -> np.ndarray:
 
     files, root = open_fs(uri)
     table = pq.read_table(root, filesystem=files)
-    counts = np.zeros(CELLS, np.int64)
-    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+    counts = np.zeros(CELLS, np.int32)
+    counts[table["cell"].to_numpy()] = np.minimum(table["n"].to_numpy(), 1 << 30)
     return counts
 
 
@@ -191,6 +194,7 @@ def _confirm(batches):
     for batch in batches:
         ok = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+    tidy()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
