@@ -31,12 +31,25 @@ def missed_regions(regions: DataFrame, table: DataFrame, width: int = BIN) -> Da
     return regions.join(hit, on, "left_anti")
 
 
+def _carried(df: DataFrame, value: str, order: list[str], out: str, current: bool) -> DataFrame:
+    """Add the running maximum of ``value`` within (chr, ordered), up to the current row or
+    the one before.  Maxima run within position bins, on top of the bins' own running
+    maxima, so that no chromosome is ordered by one task."""
+    inner = Window.partitionBy("chr", "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    before = Window.partitionBy("chr").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy("chr", "_bin").agg(F.max(value).alias("_top")).select(F.col("chr").alias("_c"), F.col("_bin").alias("_b"), F.max("_top").over(before).alias("_top"))
+    run = df.withColumn("_run", F.max(value).over(inner))
+    met = run.join(tops, (F.col("chr") == F.col("_c")) & (F.col("_bin") == F.col("_b")))
+    return met.withColumn(out, F.greatest("_run", "_top")).drop("_run", "_top", "_c", "_b")
+
+
 def compact(regions: DataFrame, gap: int = 1) -> DataFrame:
     """Merge closed intervals that overlap or touch."""
-    order = Window.partitionBy("chr").orderBy("beg", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = regions.withColumn("_new", F.when(F.col("beg") <= reach + gap, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("chr", "_run").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).select("chr", "beg", "end")
+    binned = regions.select("chr", "beg", "end", F.floor(F.col("beg") / (1 << 20)).alias("_bin"))
+    reached = _carried(binned, "end", ["beg", "end"], "_reach", False)
+    marked = reached.withColumn("_start", F.when(F.col("_reach").isNull() | (F.col("beg") > F.col("_reach") + gap), F.col("beg")))
+    islands = _carried(marked, "_start", ["beg", "end"], "_island", True)
+    return islands.groupBy("chr", "_island").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).select("chr", "beg", "end")
 
 
 def listed(regions: DataFrame) -> DataFrame:

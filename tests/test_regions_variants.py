@@ -55,6 +55,15 @@ def test_overlaps_at_random(spark):
 def test_compact(spark):
     df = spark.createDataFrame([("c", 1, 5), ("c", 6, 8), ("c", 3, 4), ("c", 10, 12), ("d", 1, 2)], "chr string, beg bigint, end bigint")
     assert sorted(map(tuple, R.compact(df).collect())) == [("c", 1, 8), ("c", 10, 12), ("d", 1, 2)]
+    rng = random.Random(6)
+    rows = [(f"c{rng.randint(0, 1)}", b := rng.randint(1, 5 << 20), b + rng.choice([3, 400, 90_000, 2 << 20])) for _ in range(60)]
+    want = []
+    for c, b, e in sorted(rows):
+        if want and want[-1][0] == c and b <= want[-1][2] + 1:
+            want[-1] = (c, want[-1][1], max(e, want[-1][2]))
+        else:
+            want.append((c, b, e))
+    assert sorted(map(tuple, R.compact(spark.createDataFrame(rows, "chr string, beg bigint, end bigint")).collect())) == want
     assert [r.end for r in R.listed(spark.createDataFrame([("c", 1, 5), ("c", 1, 9)], "chr string, beg bigint, end bigint")).collect()] == [9, 5]
 
 
