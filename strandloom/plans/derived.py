@@ -70,7 +70,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, chr, pos, ref, alt from part."""
     return table(spark, sf_dir, "part").selectExpr(
-        "p_partkey AS id", "concat('chr', p_partkey % 5) AS chr", "100 + p_partkey div 5 AS pos",
+        "p_partkey AS id", "concat('chr', p_partkey % 5) AS chr", "100 + 37 * (p_partkey div 5) AS pos",
         "substr('ACGTTACG', cast(1 + p_partkey % 4 AS int), cast(1 + p_partkey % 3 AS int)) AS ref",
         "CASE p_partkey % 23 WHEN 0 THEN '*' WHEN 1 THEN '<X>' WHEN 2 THEN '<DEL>' WHEN 3 THEN '.' WHEN 4 THEN concat(substr('ACGTTACG', cast(1 + p_partkey % 4 AS int), cast(1 + p_partkey % 3 AS int)), ']chr1:5]') ELSE substr('acGTCAGTTACC', cast(1 + p_partkey % 7 AS int), cast(1 + p_partkey % 4 AS int)) END AS alt",
     )

@@ -175,7 +175,7 @@ chosen AS (SELECT a.* FROM aln a WHERE EXISTS (SELECT 1 FROM bed b WHERE b.chr =
 
 _VAR = """
 vars AS (
-  SELECT p_partkey AS id, 'chr' || CAST(p_partkey % 5 AS VARCHAR) AS chr, 100 + p_partkey // 5 AS pos, substr('ACGTTACG', 1 + p_partkey % 4, 1 + p_partkey % 3) AS ref,
+  SELECT p_partkey AS id, 'chr' || CAST(p_partkey % 5 AS VARCHAR) AS chr, 100 + 37 * (p_partkey // 5) AS pos, substr('ACGTTACG', 1 + p_partkey % 4, 1 + p_partkey % 3) AS ref,
     CASE p_partkey % 23 WHEN 0 THEN '*' WHEN 1 THEN '<X>' WHEN 2 THEN '<DEL>' WHEN 3 THEN '.' WHEN 4 THEN substr('ACGTTACG', 1 + p_partkey % 4, 1 + p_partkey % 3) || ']chr1:5]'
       ELSE substr('acGTCAGTTACC', 1 + p_partkey % 7, 1 + p_partkey % 4) END AS alt
   FROM part
