@@ -17,8 +17,9 @@ text.  Character references are decoded; white space becomes one space; blocks f
 page order, joined by one space.
 
 Cases: null and empty html give an empty text; text outside every tag belongs to the root;
-unclosed, misnested and unknown tags are read as browsers do, roughly; pages of any length
-and depth are read whole; repeated rows are read each; an empty table gives an empty result;
+unclosed, misnested and unknown tags are read as browsers do, roughly; a head without an end
+tag ends at the first tag or text that cannot stand in it; pages of any length and depth are
+read whole; repeated rows are read each; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -45,6 +46,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup, and those that never hold main text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SILENT = frozenset("script style head title template noscript iframe object svg math canvas audio video select option textarea noembed noframes datalist".split())
+#: Start tags that may stand in a head; any other one ends it, as text does.
+_IN_HEAD = frozenset("html head title base basefont bgsound link meta script style noscript noframes template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Start tags that end an open element of the second set, up to the third.
 _CLOSES = {
@@ -155,15 +158,20 @@ def parse(source: str) -> Dom:
                 dom.linked[at] += n
             dom.stops[at] += raw.count(". ") + raw.count(", ") + raw.rstrip().endswith((".", "!", "?"))
 
+    def shown(raw):
+        if stack[-1][0] == "head" and raw.strip(" \t\n\f\r"):
+            pop()
+        text(raw)
+
     stack.append(("#root", node("html", frozenset(), None)))
     open_tags["#root"] = 1
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
         if m is None:
-            text(source[at:])
+            shown(source[at:])
             break
-        text(source[at : m.start()])
+        shown(source[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -172,6 +180,8 @@ def parse(source: str) -> Dom:
             continue
         tag = name.lower()
         if m[1] or m[4]:
+            if stack[-1][0] == "head" and tag in ("body", "html", "br"):
+                pop()
             if open_tags.get(tag):
                 while stack[-1][0] != tag:
                     pop()
@@ -179,6 +189,15 @@ def parse(source: str) -> Dom:
             elif tag in ("p", "br"):
                 dom.pieces.append((-1, " "))
             continue
+        if open_tags.get("head"):
+            if tag == "body" and not open_tags.get("template"):
+                while open_tags["head"]:
+                    pop()
+            elif stack[-1][0] == "head":
+                if tag not in _IN_HEAD:
+                    pop()
+                elif tag in ("html", "head"):
+                    continue
         attrs = m[3] if m[2] else m[6]
         inline = tag in INLINE
         if not inline:

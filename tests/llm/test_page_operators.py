@@ -65,6 +65,24 @@ def test_extraction(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_head_without_end_tag(spark):
+    body = PAGE_HTML[PAGE_HTML.index("<nav>"):]
+    heads = [
+        PAGE_HTML.replace("</head>", ""), PAGE_HTML.replace("</head><body>", ""), PAGE_HTML.replace("<html><head>", "<head><html><head>").replace("</head>", ""),
+        "<head><meta charset=x><link rel=y><noscript><img src=z><p>None here.</p></noscript><template><div>Nor here, no.</div></template>\n<body>" + body,
+        "<head><title>T</title><noscript>Never ended.<body>" + body, "<head><title>T</title></br>" + body, "<head><title>T</title><img src=z>" + body,
+    ]
+    bare = ["<head><title>T</title>Bare text, as it stands here.", "<head><title>T</title><!-- x --></body>Bare text, as it stands here.", "<head><title>T</title>\n<b>Bare</b> text, as it stands here."]
+    same = ["<head><title>T</title></head>" + b[b.index("</title>") + 8 :] for b in bare]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(heads + bare + same)], PAGE)
+    found = [r.text for r in sorted(html_extract.extract_pages(pages).collect(), key=lambda r: r.page_id)]
+    assert found[: len(heads)] == ["Café & bar One two three. Four <five>."] * len(heads)
+    assert found[len(heads) : len(heads) + 3] == found[len(heads) + 3 :]
+    assert all(html_extract.parse(b).pieces and "".join(t for n, t in html_extract.parse(b).pieces if n >= 0).strip() == "Bare text, as it stands here." for b in bare)
+    made, model = html_extract.labelled_pages(40, seed=5), html_extract.default_model()
+    assert html_extract.extract([p.replace("</head>", "") for p in made], model) == html_extract.extract(made, model)
+
+
 def brute_rule(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     if not m:
