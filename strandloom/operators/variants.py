@@ -132,16 +132,30 @@ def remove_filter(filters: Column, name: str, to_pass: bool = True) -> Column:
 
 
 def synchronized(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Full outer merge of two variant tables (chr, pos, ref, alt) on place and type, rows
-    with equal alleles first."""
-    from pyspark.sql import Window
+    """Full outer merge of two variant tables (chr, pos, ref, alt) on place and type.
 
-    def numbered(df, side):
-        kind = variant_type(F.col("ref"), F.col("alt"))["type"]
-        order = Window.partitionBy("chr", "pos", "_kind").orderBy("ref", "alt")
-        return df.withColumn("_kind", kind).withColumn("_n", F.row_number().over(order)).select(*[F.col(c).alias(f"{side}_{c}") for c in (*df.columns, "_kind", "_n")])
+    At each position rows with equal alleles meet first, repeated ones in turn, then rows whose
+    alleles differ in case only; of what is left, rows of one type meet in the order of their
+    alleles.  Other rows, and those without a place, stay alone.
+    """
+    from pyspark.sql import Window
 
-    a, b = numbered(left, "l"), numbered(right, "r")
-    on = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in ("chr", "pos", "_kind", "_n")]
-    met = a.join(b, on, "full_outer")
-    return met.select(F.coalesce("l_chr", "r_chr").alias("chr"), F.coalesce("l_pos", "r_pos").alias("pos"), "l_ref", "l_alt", "r_ref", "r_alt")
+    sides = [df.select("chr", "pos", "ref", "alt", F.lit(side).alias("_right")) for df, side in ((left, False), (right, True))]
+    # all that follows is within a position: one shuffle
+    rows = sides[0].unionByName(sides[1]).repartition("chr", "pos").withColumn("_round", F.lit(None).cast("int"))
+    kind = variant_type(F.col("ref"), F.col("alt"))["type"]
+    keys = [F.array("ref", "alt"), F.array(F.upper("ref"), F.upper("alt")), F.array(kind.cast("string"))]
+    group = ["chr", "pos", "_round", "_key", "_n"]
+    for at, key in enumerate(keys):
+        rows = rows.withColumn("_key", F.when(F.col("_round").isNull(), key).otherwise(F.col("_key")) if at else key)
+        turn = F.row_number().over(Window.partitionBy("chr", "pos", "_round", "_key", "_right").orderBy("ref", "alt"))
+        rows = rows.withColumn("_n", F.when(F.col("_round").isNull(), turn).otherwise(F.col("_n")) if at else turn)
+        pair = Window.partitionBy(*group)
+        meets = F.col("_round").isNull() & F.col("chr").isNotNull() & F.col("pos").isNotNull() & (F.min("_right").over(pair) != F.max("_right").over(pair))
+        if at == len(keys) - 1:
+            meets &= kind.isNotNull()
+        rows = rows.withColumn("_round", F.when(meets, at).otherwise(F.col("_round")))
+    alone = F.when(F.col("_round").isNull(), F.col("_right"))
+    one = lambda c, side: F.max(F.when(F.col("_right") == side, F.col(c)))
+    met = rows.groupBy(*group, alone.alias("_alone")).agg(one("ref", False).alias("l_ref"), one("alt", False).alias("l_alt"), one("ref", True).alias("r_ref"), one("alt", True).alias("r_alt"))
+    return met.select("chr", "pos", "l_ref", "l_alt", "r_ref", "r_alt")

@@ -98,6 +98,19 @@ def test_variant_types(spark):
     assert not both.select(V.is_snp(both.ref, both.alts)).first()[0]
 
 
+def test_synchronized_pairs_equal_alleles_first(spark):
+    left = [("c", 1, "A", "C"), ("c", 1, "A", "T"), ("c", 2, "A", "C"), ("c", 2, "A", "G"), ("c", 3, "A", "C"), ("c", 3, "A", "C"), ("c", 4, "A", "AT"), ("c", 5, "A", "C"), ("c", 5, "A", "c"), (None, 6, "A", "C"), ("d", 1, "A", "C"), ("c", 7, "A", None), ("c", 8, "A", "C")]
+    right = [("c", 1, "A", "T"), ("c", 2, "A", "T"), ("c", 2, "A", "G"), ("c", 3, "A", "C"), ("c", 4, "A", "C"), ("c", 5, "a", "c"), ("c", 5, "A", "c"), (None, 6, "A", "C"), ("c", 7, "A", None), ("c", 8, "A", "G"), ("c", 8, "A", "T")]
+    want = [
+        ("c", 1, "A", "C", None, None), ("c", 1, "A", "T", "A", "T"), ("c", 2, "A", "C", "A", "T"), ("c", 2, "A", "G", "A", "G"), ("c", 3, "A", "C", "A", "C"), ("c", 3, "A", "C", None, None),
+        ("c", 4, "A", "AT", None, None), ("c", 4, None, None, "A", "C"), ("c", 5, "A", "C", "a", "c"), ("c", 5, "A", "c", "A", "c"), (None, 6, "A", "C", None, None), (None, 6, None, None, "A", "C"),
+        ("d", 1, "A", "C", None, None), ("c", 7, "A", None, "A", None), ("c", 8, "A", "C", "A", "G"), ("c", 8, None, None, "A", "T"),
+    ]
+    tables = [spark.createDataFrame(x, "chr string, pos bigint, ref string, alt string") for x in (left, right)]
+    assert sorted(map(tuple, V.synchronized(*tables).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, V.synchronized(*tables[::-1]).collect()), key=str) == sorted(((c, p, *b, *a) for c, p, *x in want for a, b in [(x[:2], x[2:])]), key=str)
+
+
 def test_genotypes_and_filters(spark):
     cases = {"0/0": 0, "1|1": 1, "0/2": 2, "1/2": 3, "0": 4, "1": 5, "./1": 6, ".": 6, "0/1/1": 2}
     df = spark.createDataFrame([(k,) for k in cases], "gt string")
