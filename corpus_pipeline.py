@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs.  All but the last keep the columns of documents:
 
-1. language ID: documents without a letter or in no learned language go;
+1. language ID: documents without a letter or in no learned language go (without a labelled
+   training document none is learned, and only those without a letter go);
 2. MinHash near-dedup: of each group of near-duplicates the smallest doc_id stays;
 3. temperature mixing: every document stays, those of small sources may come twice;
 4. best-two-fit packing: pieces of at most 2048 tokens and their places in sequences.
@@ -18,6 +19,7 @@ from strandloom.llm._shared import stored
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without a learned language only null texts and texts without a letter are rejected."""
     return language_id.drop_rejected(docs)
 
 

@@ -265,9 +265,28 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, prefix
     return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, `{prefix}lang_pred` string, `{prefix}score` double")
 
 
+def with_letter(docs: DataFrame) -> DataFrame:
+    """docs whose text has a letter."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([t is not None and _LETTER.search(t) is not None for t in batch.column(at).to_pylist()], pa.bool_()))
+        tidy()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def drop_rejected(docs: DataFrame, least: float = REJECT_BELOW) -> DataFrame:
-    """docs without those that have no letter or whose best language is below ``least``."""
-    judged = predict(docs, fit(docs), docs.columns, "_lid_")
+    """docs without those that have no letter or whose best language is below ``least``.
+
+    If no language could be learned, nothing is judged: only null texts and texts without a
+    letter go.
+    """
+    model = fit(docs)
+    if not model.languages:
+        return with_letter(docs)
+    judged = predict(docs, model, docs.columns, "_lid_")
     return judged.where(F.col("_lid_lang_pred") != "und").where(F.col("_lid_score") >= least).select(*docs.columns)
 
 

@@ -187,6 +187,16 @@ def pa_lit_null():
     return F.lit(None).cast("string")
 
 
+def test_nothing_is_judged_without_a_learned_language(spark):
+    rows = [(1, "ab cd.", None, "s", 1), (2, None, None, "s", 0), (3, "12 !!", None, "s", 0), (4, "", None, "s", 0), (None, "é", None, "s", 1), (1, "ab cd.", None, "s", 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    kept = L.drop_rejected(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.text in ("ab cd.", "é"))
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    only = spark.createDataFrame([(held, "ab cd.", "xx", "s", 1)], DOC)
+    assert [r.doc_id for r in L.drop_rejected(only).collect()] == [held] and L.drop_rejected(docs.limit(0)).count() == 0
+
+
 def test_equal_texts_get_equal_labels(spark):
     rng = random.Random(4)
     text = prose(rng, 50)
