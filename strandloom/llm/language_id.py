@@ -8,8 +8,9 @@ out with the window last.
 
 The network is trained in numpy by backpropagation through time (Adam, position-wise cross
 entropy) on a bounded sample: for each language at most ``per_language`` training documents,
-taken by the order of a hash of doc_id, and from each WINDOWS_PER_DOC windows at hashed
-places of the whole text.  At most MAX_LANGUAGES languages (the most frequent) are learned.
+fewer if there are so many languages that the sample would pass SAMPLE_DOCS (one each at
+least: every language is learned), those with letters first and then by the order of a hash
+of doc_id, and from each WINDOWS_PER_DOC windows at hashed places of the whole text.
 
 Cases: a null text, or one with no letter, is ``und`` with score 0; without any labelled
 training row everything is ``und``; a null doc_id counts as the empty string for the fold;
@@ -34,7 +35,10 @@ WINDOW = 64
 HIDDEN = 8
 WINDOWS_PER_DOC = 4
 PER_LANGUAGE = 500
-MAX_LANGUAGES = 256
+#: Training documents in all.
+SAMPLE_DOCS = 128_000
+#: Languages up to which batches are of full size; with more they shrink.
+FULL_BATCH_LANGUAGES = 256
 #: Pooled probability under which a document counts as in no learned language.
 REJECT_BELOW = 0.3
 #: Bytes of text in a lockstep batch.
@@ -170,7 +174,9 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: i
     for i, t in enumerate(texts):
         rows[: len(t), i] = np.frombuffer(t[:WINDOW], np.uint8)
         mask[: len(t), i] = 1
-    target = np.asarray([languages.index(x) for x in labels])
+    place = {x: i for i, x in enumerate(languages)}
+    target = np.asarray([place[x] for x in labels])
+    batch = max(1, min(batch, 8 * FULL_BATCH_LANGUAGES * batch // len(languages)))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.params()]
     step, total = 0, epochs * -(-len(texts) // batch)
     for _ in range(epochs):
@@ -197,7 +203,8 @@ def document_probabilities(model: Model, offsets: np.ndarray, data: np.ndarray)
     start = offsets[owner] + (np.arange(len(owner)) - first[owner]) * WINDOW
     end = offsets[owner + 1]
     total = np.zeros((n, len(model.languages)))
-    step = max(1, BATCH_BYTES // WINDOW)
+    languages = max(len(model.languages), FULL_BATCH_LANGUAGES)
+    step = max(1, BATCH_BYTES * FULL_BATCH_LANGUAGES // languages // WINDOW)
     for at in range(0, len(owner), step):
         s, e, own = start[at : at + step], end[at : at + step], owner[at : at + step]
         place = s[None, :] + np.arange(WINDOW)[:, None]
@@ -212,21 +219,22 @@ def document_probabilities(model: Model, offsets: np.ndarray, data: np.ndarray)
     return total / np.maximum(sizes, 1)[:, None]
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Train on the labelled documents of the training fold (crc32 of doc_id mod 4 is not 2)."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
+    languages = usable.select("lang").distinct().count()
+    share = max(1, min(per_language, sample_docs // max(1, languages)))
     span = F.greatest(F.lit(1), F.length("text") - WINDOW)
     windows = [F.substring("text", (F.pmod(F.xxhash64(F.lit(k), "doc_id"), span) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_PER_DOC)]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(99), "doc_id"), "doc_id")
+    blank = ~F.exists("windows", lambda w: F.rlike(w, F.lit(r"\p{L}")))
+    order = Window.partitionBy("lang").orderBy("blank", F.xxhash64(F.lit(99), "doc_id"), "doc_id")
     sample = (
         usable.select("doc_id", "lang", F.array(*windows).alias("windows"))
+        .withColumn("blank", blank)
         .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_language)  # each task keeps so many a language at most
+        .where(F.col("rank") <= share)  # each task keeps so many a language at most
         .select("lang", "rank", "windows")
     )
-    if max_languages:
-        common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select(F.col("lang").alias("c_lang"))
-        sample = sample.join(F.broadcast(common), F.col("lang") == F.col("c_lang"))
     texts, labels = [], []
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["rank"])):
         for w in row["windows"]:
@@ -237,6 +245,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int =
     return train(texts, labels)
 
 
+def _slices(offsets: np.ndarray, languages: int):
+    """Ranges of rows of about a million bytes, and of a bounded number of probabilities."""
+    rows = max(1, 10_000 * FULL_BATCH_LANGUAGES // max(languages, 1))
+    for lo, hi in texthash.slices(offsets, 1_000_000):
+        for at in range(lo, hi, rows):
+            yield at, min(at + rows, hi)
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Columns ``keep`` with lang_pred and score (after ``prefix``) for every row."""
     keep = keep or ["doc_id"]
@@ -245,7 +261,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, prefix
     def run(batches):
         for batch in batches:
             offsets, data = texthash.buffers(batch.column(0))
-            for lo, hi in texthash.slices(offsets, 1_000_000):
+            for lo, hi in _slices(offsets, len(model.languages)):
                 texts = batch.column(0).slice(lo, hi - lo).to_pylist()
                 if model.languages:
                     p = document_probabilities(model, offsets[lo : hi + 1], data)

@@ -187,6 +187,36 @@ def pa_lit_null():
     return F.lit(None).cast("string")
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 5) if i % 3 else "12 !!", f"l{i % 300:03d}", "s", 1) for i in range(1, 3600)]
+    rows += [(10_000 + i, "12 !!" if i < 40 else prose(rng, 5), "rare", "s", 1) for i in range(60)]
+    taken = []
+    monkeypatch.setattr(L, "train", lambda texts, labels: taken.extend(labels) or L.Model(sorted(set(labels)), *[None] * 4))
+    lettered = {r[2] for r in rows if "12" not in r[1] and zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert len(lettered) == 201  # more than the sample has room for below
+    docs = spark.createDataFrame(rows, DOC)
+    for options, most in (({}, 500), ({"sample_docs": 900}, 2), ({"sample_docs": 50}, 1)):
+        taken.clear()
+        assert set(L.fit(docs, **options).languages) == lettered == set(taken)
+        assert max(Counter(taken).values()) <= most * L.WINDOWS_PER_DOC
+    # with room for 300 languages and more, none is left out
+    many = spark.createDataFrame([(i, prose(rng, 5), f"l{i % 300:03d}", "s", 1) for i in range(6000)], DOC)
+    assert len(L.fit(many).languages) == 300
+
+
+def test_slices_shrink_with_many_languages():
+    rng = np.random.default_rng(1)
+    few = L.train([], ["a", "b"], hidden=3)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 5, 64, 700, 3)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    whole = L.document_probabilities(few, offsets, data)
+    many = L.Model([str(i) for i in range(400_000)], few.x, few.u, few.v, few.b)
+    assert np.allclose(L.document_probabilities(many, offsets, data)[:, :2], whole[:, :2])
+    assert [r for r in L._slices(offsets, 2)] == [(0, 5)] and [r for r in L._slices(offsets, 1_280_000)] == [(0, 2), (2, 4), (4, 5)]
+
+
 def test_nothing_is_judged_without_a_learned_language(spark):
     rows = [(1, "ab cd.", None, "s", 1), (2, None, None, "s", 0), (3, "12 !!", None, "s", 0), (4, "", None, "s", 0), (None, "é", None, "s", 1), (1, "ab cd.", None, "s", 1)]
     docs = spark.createDataFrame(rows, DOC)
