@@ -337,6 +337,20 @@ def test_grey_image():
     assert image.rgb()[0, 0].tolist() == [128] * 3 and image.rgb()[0, 8].tolist() == [138] * 3
 
 
+def test_media_are_stored(spark):
+    from pathlib import Path
+
+    from strandloom.llm._shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "strandloom"
+    before = set(folder.glob("media-*"))
+    docs = spark.createDataFrame([(1, "Some text."), (2, None), (1, "Some text."), (None, "é" * 5000)], "doc_id bigint, text string")
+    got = sorted(map(str, media.media_digests(docs).collect()))
+    (made,) = set(folder.glob("media-*")) - before
+    table = spark.read.parquet(str(made))
+    assert table.columns == ["doc_id", "media"] and table.count() == 4 and sorted(map(str, media.decode_media(table).collect())) == got
+
+
 def test_media_round_trip(spark):
     rng = random.Random(1)
     texts = [None, "", "a", "é" * 32, "x" * 64, "y" * 65, "".join(chr(rng.randint(32, 900)) for _ in range(5000)), "\x00\x00", "ÿ" * 100_000]
