@@ -141,10 +141,11 @@ def mixed_documents(docs: DataFrame, **targets) -> DataFrame:
     return mixed.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
-def realise(mixed: DataFrame) -> DataFrame:
+def realise(mixed: DataFrame, seed: int = 7) -> DataFrame:
     """One row for each copy, with ``copy`` and ``position``; ordering by position interleaves
-    the sources at their weights."""
-    share = (F.xxhash64(F.lit(11), F.col("doc_id")) / F.lit(2.0**64)) + F.lit(0.5)
+    the sources at their weights.  ``seed`` is that of ``mix_sources``: each pass runs through
+    the permutation, so a last part of a pass, the head of it, ends near 1 as the others do."""
+    share = (F.xxhash64(F.lit(seed), F.col("doc_id")) / F.lit(2.0**64)) + F.lit(0.5)
     return (
         mixed.where("copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

@@ -362,6 +362,23 @@ def test_mixing_to_an_entropy_and_a_budget(spark):
     assert all(0 <= r.position <= 1 + 1e-9 for r in placed if r.epochs == int(r.epochs))
 
 
+def test_copies_have_positions_at_the_weights(spark, tmp_path):
+    from strandloom.llm import registry
+
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 10), None, "a" if i % 4 else "b", 1) for i in range(4000)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op7_temperature_mixing(spark, str(tmp_path)).collect()
+    copies = {r.doc_id: r.copies for r in got}
+    assert Counter(r.doc_id for r in got) == copies and len(copies) == len(rows) and set(copies.values()) == {1, 2}
+    assert {(r.doc_id, r.copy) for r in got} == {(d, c) for d, n in copies.items() for c in range(n)}
+    assert all(0 <= r.position <= 1.05 for r in got)
+    share = sum(r.source == "b" for r in got) / len(got)
+    for k in range(5):
+        part = [r.source == "b" for r in got if k / 5 <= r.position < (k + 1) / 5]
+        assert abs(sum(part) / len(part) - share) < 0.06
+
+
 def test_language_model(spark):
     rng = random.Random(8)
     texts = [(i, prose(rng, rng.randint(0, 40), "abcé")) for i in range(80)] + [(80, None), (81, ""), (82, "Z" * 3000 + " ab"), (2, "aa bb"), (None, "ab Ab")]
