@@ -73,3 +73,13 @@ def missing_starts(table: DataFrame, sites: DataFrame) -> DataFrame:
     """Haplotypes that do not begin on a site."""
     start = sites.select(F.col("chr").alias("_s_chr"), F.col("pos").alias("_s_pos"))
     return table.join(start, (F.col("chr") == F.col("_s_chr")) & (F.col("beg") == F.col("_s_pos")), "left_anti")
+
+
+def wrong_ends(table: DataFrame, sites: DataFrame) -> DataFrame:
+    """Haplotypes that begin on a site (ranked) but whose last walked site is not their end;
+    those that run past the last site of their chromosome are not tested."""
+    start = sites.select(F.col("chr").alias("_s_chr"), F.col("pos").alias("_s_pos"), F.col("rk").alias("_s_rk"))
+    last = sites.select(F.col("chr").alias("_l_chr"), F.col("pos").alias("_l_pos"), F.col("rk").alias("_l_rk"))
+    walked = table.where(F.length("hap") > 0).join(start, (F.col("chr") == F.col("_s_chr")) & (F.col("beg") == F.col("_s_pos"))).withColumn("_rk", F.col("_s_rk") + F.length("hap") - 1)
+    met = walked.join(last, (F.col("chr") == F.col("_l_chr")) & (F.col("_rk") == F.col("_l_rk")))
+    return met.where(F.col("_l_pos") != F.col("end")).select(*table.columns)

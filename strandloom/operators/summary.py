@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .haplotypes import check_strand, missing_starts
+from .haplotypes import check_strand, missing_starts, wrong_ends
 from .interval_join import overlapping
 from .sites import rank_sites
 
@@ -48,14 +48,20 @@ def summary_regions(haplotypes: DataFrame, regions: DataFrame, stranded: bool =
     return out.select("ord", "chr", "beg", "end", "strand", *[F.coalesce(m, F.lit(0)).cast("long").alias(m) for m in MEASURES])
 
 
-def summary_genome(haplotypes: DataFrame, sites: DataFrame, stranded: bool = False, check: bool = True) -> DataFrame:
+def summary_genome(haplotypes: DataFrame, sites: DataFrame, stranded: bool = False, check: bool = True, check_ends: bool = False) -> DataFrame:
     """Measures of every covered site: each read's whole vector counts at every site that
-    it spans.  ``check`` raises ValueError if a haplotype does not begin on a site."""
+    it spans.  ``check`` raises ValueError if a haplotype does not begin on a site,
+    ``check_ends`` if the last site that it walks is not its end (unless it runs past its
+    chromosome's last site)."""
     ranked = sites if "rk" in sites.columns else rank_sites(sites)
     if check:
         bad = missing_starts(haplotypes, ranked).limit(3).collect()
         if bad:
             raise ValueError(f"haplotypes that do not begin on a site: {[tuple(r) for r in bad]}")
+    if check_ends:
+        bad = wrong_ends(haplotypes, ranked).limit(3).collect()
+        if bad:
+            raise ValueError(f"haplotypes that do not end on the last site that they walk: {[tuple(r) for r in bad]}")
     table = check_strand(haplotypes) if stranded else haplotypes
     start = ranked.select(F.col("chr").alias("_s_chr"), F.col("pos").alias("_s_pos"), F.col("rk").alias("_s_rk"))
     # equal haplotypes add up before they are dealt to sites

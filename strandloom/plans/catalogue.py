@@ -73,12 +73,12 @@ def summary_regions_stranded(spark, d):
 
 @query
 def summary_genome(spark, d):
-    return M.summary_genome(D.haplotypes(spark, d), D.sites(spark, d), check=False)
+    return M.summary_genome(D.haplotypes(spark, d), D.sites(spark, d), check_ends=True)
 
 
 @query
 def summary_genome_stranded(spark, d):
-    return M.summary_genome(D.haplotypes(spark, d), D.sites(spark, d), stranded=True, check=False)
+    return M.summary_genome(D.haplotypes(spark, d), D.sites(spark, d), stranded=True, check_ends=True)
 
 
 @query

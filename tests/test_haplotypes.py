@@ -112,6 +112,25 @@ def test_genome_needs_sites(spark):
         M.summary_genome(haps(spark, [("chr1", 101, 138, "11", 1, "+")]), sites(spark))
 
 
+def test_genome_needs_ends(spark):
+    right = [("chr1", 100, 138, "11", 1, "+"), ("chr1", 175, 999, "0110", 1, "-"), ("chr1", 210, 210, "1", 1, "+")]  # the second runs past the last site
+    assert M.summary_genome(haps(spark, right), sites(spark), check_ends=True).count() == 4
+    for wrong in (("chr1", 100, 175, "11", 1, "+"), ("chr1", 138, 139, "0", 2, "-")):
+        with pytest.raises(ValueError, match="do not end"):
+            M.summary_genome(haps(spark, [*right, wrong]), sites(spark), check_ends=True)
+
+
+def test_queries_check_their_haplotypes(spark, monkeypatch):
+    from strandloom.plans import catalogue
+
+    for stray in (("chr1", 101, 138, "11", 1, "+"), ("chr1", 100, 175, "11", 1, "+")):
+        monkeypatch.setattr(catalogue.D, "haplotypes", lambda *_, stray=stray: haps(spark, [stray]))
+        monkeypatch.setattr(catalogue.D, "sites", lambda *_: rank_sites(sites(spark)))
+        for name in ("summary_genome", "summary_genome_stranded"):
+            with pytest.raises(ValueError, match="do not"):
+                catalogue.queries()[name](spark, "")
+
+
 def test_ranks_over_many_bins(spark):
     positions = [5, 1 << 20, (1 << 20) + 1, 3 << 20, 9 << 20]
     got = {r.pos: r.rk for r in rank_sites(sites(spark, positions)).collect()}
