@@ -104,6 +104,17 @@ def pair_mates(haplotypes: DataFrame, numbers: DataFrame | None = None, every: i
     return haplotypes.join(pairs, F.col("ord") == F.col("_p_ord")).drop("_p_ord")
 
 
+def mate_meetings(numbers: DataFrame, every: int = EVICT_EVERY, age: int = EVICT_AGE) -> DataFrame:
+    """chr, qname, i, j and ``broken`` for every accepted read (ord, chr, qname, idx) that comes
+    when one of its name has waited: i waits, j comes, and broken tells whether i was given up
+    before, so that j waits in its place.  Names have any number of reads."""
+    paired = pair_mates(numbers.select("ord", "chr", "qname"), numbers, every, age).join(numbers.select(F.col("ord").alias("_o"), "idx"), F.col("ord") == F.col("_o"))
+    sized = paired.withColumn("_size", F.count("*").over(Window.partitionBy("chr", "qname", "pair")))
+    order = Window.partitionBy("chr", "qname").orderBy("ord")
+    before = sized.withColumns({"i": F.lag("idx").over(order), "_pair": F.lag("pair").over(order), "_alone": F.lag("_size").over(order) == 1})
+    return before.where((F.col("pair") == F.col("_pair")) | F.col("_alone")).select("chr", "qname", "i", F.col("idx").alias("j"), (F.col("pair") != F.col("_pair")).alias("broken"))
+
+
 def unite_mates(paired: DataFrame) -> DataFrame:
     """Haplotype instances: mates whose site spans overlap become one, each site taking the
     call of the better quality (ties: the first mate's); others stay as they are."""

@@ -220,6 +220,13 @@ def mate_evict(spark, d):
     return names.select("chr", "qname", "i", "j", C.eviction_breaks(F.col("i"), F.col("j"), 1000, 100).alias("broken"))
 
 
+@query
+def mate_evict_all(spark, d):
+    """mate_evict for names with any number of accepted reads; no SQL twin, as each is walked."""
+    numbers = C.global_index(C.accepted_reads(D.alignments(spark, d)).select("ord", "qname", "chr"), "ord")
+    return C.mate_meetings(numbers, 1000, 100)
+
+
 @query
 def convert_evicting(spark, d):
     return C.convert(D.alignments(spark, d), D.raw_sites(spark, d), evict=True)

@@ -119,6 +119,32 @@ def test_convert_equals_the_procedure(spark, seed, mode, directional, evict):
     assert Counter({(r.chr, r.beg, r.end, r.hap, r.strand): r.cnt for r in got}) == simulate(reads, sites, mode, directional, evict)
 
 
+def test_mates_of_long_names_meet_as_walked(spark):
+    rng = random.Random(5)
+    reads = [(2 * i, rng.choice("ab"), f"q{rng.randint(0, 60)}", i) for i in range(300)]
+    want, waiting = [], {}
+    for _, c, q, i in reads:
+        if (c, q) not in waiting:
+            waiting[c, q] = i
+            continue
+        first = waiting.pop((c, q))
+        gone = any(n - 1 - first > 9 for n in range(20, i + 2, 20) if n > first)  # after each 20 reads those older than 9 go
+        want.append((c, q, first, i, gone))
+        if gone:
+            waiting[c, q] = i
+    numbers = spark.createDataFrame(reads, "ord bigint, chr string, qname string, idx bigint")
+    got = [tuple(r) for r in C.mate_meetings(numbers, 20, 10).collect()]
+    assert sorted(got) == sorted(want) and len({x[-1] for x in want}) == 2
+
+
+def test_query_of_all_names_holds_the_pairs(spark):
+    from strandloom.plans import catalogue
+
+    data = "/root/testdata/sf0.001"
+    two, whole = ({tuple(r) for r in catalogue.queries()[n](spark, data).collect()} for n in ("mate_evict", "mate_evict_all"))
+    assert two < whole and len({r[1] for r in whole - two}) > 0
+
+
 def test_regions_choose_reads_whole(spark):
     table = spark.createDataFrame([(0, "a", 0, "c", 99, "CT" * 20, "*", None, None), (1, "b", 0, "c", 500, "CT" * 20, "*", None, None)], ALN)
     sites = spark.createDataFrame([("c", 100), ("c", 138), ("c", 510)], "chr string, pos bigint")
