@@ -10,13 +10,16 @@ forest and pass messages level by level in numpy.
 The parameters are fitted by maximum likelihood (gradients are observed minus expected
 features, by the same message passing) to labelled pages.  ``labelled_pages`` makes these:
 layouts with articles among menus, headers, footers, sidebars, notices, adverts, forms and
-comments, where each part carries its label in a ``data-y`` attribute that is no feature.
+comments, also without any element around the article or without any tag at all.  There each
+part carries its label in a ``data-y`` attribute, which is read in fitting only and is neither a
+feature nor looked at in other pages.
 
 Scripts, styles, markup comments, head and other elements without visible text never make
 text.  Character references are decoded; white space becomes one space; blocks follow in
 page order, joined by one space.
 
-Cases: null and empty html give an empty text; text outside every tag belongs to the root;
+Cases: null and empty html give an empty text; text outside every tag belongs to the root,
+which is judged as any element is, so a page of plain text or of bare paragraphs is its text;
 unclosed, misnested and unknown tags are read as browsers do, roughly; a head without an end
 tag ends at the first tag or text that cannot stand in it; pages of any length and depth are
 read whole; repeated rows are read each; an empty table gives an empty result;
@@ -99,7 +102,7 @@ class Dom:
     pieces: list[tuple[int, str]] = field(default_factory=list)  # node, text; -1 marks a break
 
 
-def _hints(attrs: str) -> tuple[frozenset, int | None, bool]:
+def _hints(attrs: str, labelled: bool) -> tuple[frozenset, int | None, bool]:
     found, label, named = set(), None, False
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
@@ -110,7 +113,7 @@ def _hints(attrs: str) -> tuple[frozenset, int | None, bool]:
                 k = _HINT.get(w.lower())
                 if k is not None:
                     found.add(k)
-        elif name == "data-y":
+        elif labelled and name == "data-y" and value in ("0", "1"):
             label = int(value)
         elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             found.add(10)
@@ -118,8 +121,12 @@ def _hints(attrs: str) -> tuple[frozenset, int | None, bool]:
     return frozenset(found), label, named
 
 
-def parse(source: str) -> Dom:
-    """Read a page into nodes and text pieces."""
+#: Marks the text outside every tag of a labelled page as content.
+BARE = "<!--data-y=1-->"
+
+
+def parse(source: str, labelled: bool = False) -> Dom:
+    """Read a page into nodes and text pieces, and labels if it is a ``labelled`` one."""
     dom = Dom()
     stack: list[tuple[str, int]] = []  # open tags and the node that their text goes to
     open_tags: dict[str, int] = {}
@@ -163,7 +170,7 @@ def parse(source: str) -> Dom:
             pop()
         text(raw)
 
-    stack.append(("#root", node("html", frozenset(), None)))
+    stack.append(("#root", node("html", frozenset(), int(labelled and source.startswith(BARE)))))
     open_tags["#root"] = 1
     at, end = 0, len(source)
     while at < end:
@@ -228,7 +235,7 @@ def parse(source: str) -> Dom:
             continue
         if tag in ("html", "body") and open_tags.get(tag):
             continue
-        hints, label, named = _hints(attrs) if attrs else (frozenset(), None, False)
+        hints, label, named = _hints(attrs, labelled) if attrs else (frozenset(), None, False)
         own = stack[-1][1] if inline and not named else node(tag, hints, label)
         stack.append((tag, own))
         open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -237,7 +244,10 @@ def parse(source: str) -> Dom:
     return dom
 
 
-N_FEATURES = 1 + len(TAG_GROUPS) + 1 + len(HINTS) + 14
+N_FEATURES = 1 + len(TAG_GROUPS) + 1 + len(HINTS) + 19
+#: Kinds of element that hold text themselves, and those that also only hold others.
+_BLOCKS, _BOXES = (4, 5, 6, 7, 8, 14, 15, 16), (2, 3)
+_BODY = _GROUP["body"]
 
 
 def features(doms: list[Dom]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,6 +280,18 @@ def features(doms: list[Dom]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     plain = x[:, 2 + len(TAG_GROUPS) + 7] == 0  # not a comment
     x[:, at + 12] = (group <= 1) & plain
     x[:, at + 13] = np.isin(group, (3, 4, 5)) & (x[:, at + 11] == 0)
+    # text in the body itself, and blocks right below it without a name
+    x[:, at + 14] = (group == _BODY) & (own > 0)
+    x[:, at + 15] = (group == _BODY) & (own >= 25)
+    top = (parent >= 0) & (group[parent] == _BODY) & (x[:, at + 11] == 0)
+    x[:, at + 16] = top & (np.isin(group, _BLOCKS) | (np.isin(group, _BOXES) & (own > 0)))
+    # the same where nothing but blocks of text makes up the page; this and the next are rare in
+    # training, so weighted for the ridge not to hide them
+    page = np.repeat(np.arange(len(doms)), np.diff(base))
+    boxed = np.bincount(page, weights=~np.isin(group, (*_BLOCKS, _BODY)) | (x[:, at + 11] > 0), minlength=len(doms)) > 0
+    # all text in the body itself
+    x[:, at + 18] = 4 * ((x[:, at + 14] > 0) & (own == np.bincount(page, weights=own, minlength=len(doms))[page]))
+    x[:, at + 17] = 3 * (~boxed[page] & ((x[:, at + 14] > 0) | (x[:, at + 16] > 0)))
     kind = np.where(np.isin(group, (5, 4, 6, 7, 8, 15, 16)), 1, np.where(np.isin(group, (9, 10, 11, 12, 13)), 2, np.where(x[:, at + 11] > 0, 3, 0)))
     return x, parent, kind
 
@@ -330,9 +352,9 @@ class Model:
         return sum_product(phi, self.pairs, parent, kind)[0][:, 1]
 
 
-def fit(pages: list[str], steps: int = 250, rate: float = 0.15, ridge: float = 2e-3) -> Model:
+def fit(pages: list[str], steps: int = 250, rate: float = 0.15, ridge: float = 5e-4) -> Model:
     """Maximum likelihood on pages whose parts carry ``data-y`` labels."""
-    doms = [parse(p) for p in pages]
+    doms = [parse(p, True) for p in pages]
     x, parent, kind = features(doms)
     y = np.asarray([v for d in doms for v in d.label])
     has = parent >= 0
@@ -354,8 +376,9 @@ def fit(pages: list[str], steps: int = 250, rate: float = 0.15, ridge: float = 2
     return model
 
 
-def labelled_pages(n: int = 500, seed: int = 3) -> list[str]:
-    """Made-up pages whose parts carry their labels."""
+def labelled_pages(n: int = 500, seed: int = 3, bare_pages: int = 0) -> list[str]:
+    """Made-up pages whose parts carry their labels; ``bare_pages`` more have no element around
+    the article, or no tag at all."""
     rng = random.Random(seed)
     pick = rng.choice
 
@@ -462,12 +485,27 @@ def labelled_pages(n: int = 500, seed: int = 3) -> list[str]:
         if rng.random() < 0.3:
             body = named("div", ["page", "wrapper", "container"], body)
         pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style></head><body>{body}" + ("</body></html>" if rng.random() < 0.9 else ""))
+
+    def other(found):  # everything but the article, labelled throughout
+        return "".join(re.sub(r"^(<\w+)((?:(?!data-y)[^>])*)>", r'\1\2 data-y="0">', f()) for f, chance in found if rng.random() < chance)
+
+    for k in range(bare_pages):
+        bare = rng.random() < 0.2
+        if k % 3 == 0:  # text and line breaks, or text alone
+            lines = [prose(1, 6) for _ in range(rng.randint(1, 6))] if rng.random() < 0.7 else [words(1, 3)]
+            text = pick(["\n", "<br>", "<br><br>\n", " "]).join(lines)
+            pages.append(BARE + text if rng.random() < 0.6 else f'<html><head><title>{words(2, 6)}</title></head><body data-y="1">{text}</body></html>')
+            continue
+        parts = [f"<h1>{words(1, 9)}</h1>"] * (rng.random() < 0.5) + [part() for _ in range(rng.randint(1, 8))] if rng.random() < 0.8 else [f"<p>{words(1, 4)}</p>"]
+        inner = "".join(re.sub(r"^<(\w+)", r'<\1 data-y="1"', p) for p in parts)
+        body = other(((header, 0.2), (menu, 0.3), (advert, 0.2))) + inner + other(((comments, 0.15), (sidebar, 0.15), (footer, 0.3)))
+        pages.append(body if k % 3 == 1 else f"<html><head><title>{words(2, 6)}</title></head><body>{body}</body></html>")
     return pages
 
 
 @lru_cache(maxsize=1)
 def default_model() -> Model:
-    return fit(labelled_pages())
+    return fit(labelled_pages(bare_pages=120))
 
 
 def extract(pages: list[str | None], model: Model) -> list[str]:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -40,7 +41,7 @@ def test_sum_product_equals_enumeration():
 def test_extraction_on_unseen_layouts():
     model = html_extract.default_model()
     pages = html_extract.labelled_pages(120, seed=991)
-    doms = [html_extract.parse(p) for p in pages]
+    doms = [html_extract.parse(p, True) for p in pages]
     odds, label, size = model.marginals(doms), np.asarray([v for d in doms for v in d.label]), np.asarray([v for d in doms for v in d.own])
     right = (odds >= 0.5) == label
     assert right.mean() > 0.95 and (right * size).sum() / size.sum() > 0.93
@@ -83,6 +84,48 @@ def test_head_without_end_tag(spark):
     assert html_extract.extract([p.replace("</head>", "") for p in made], model) == html_extract.extract(made, model)
 
 
+def brute_text(page, model):
+    """The text of a small page by enumeration of all its labellings."""
+    dom = html_extract.parse(page)
+    x, parent, kind = html_extract.features([dom])
+    n, score = len(parent), x @ model.weights
+    total, own = 0.0, np.zeros(n)
+    for y in itertools.product((0, 1), repeat=n):
+        w = math.exp(sum(score[i] * y[i] for i in range(n)) + sum(model.pairs[kind[i], y[parent[i]], y[i]] for i in range(n) if parent[i] >= 0))
+        total += w
+        own += w * np.asarray(y)
+    return " ".join("".join(t if i < 0 or own[i] >= total / 2 else " " for i, t in dom.pieces).split())
+
+
+def test_small_pages_equal_enumeration():
+    model = html_extract.default_model()
+    pages = [p for p in html_extract.labelled_pages(150, seed=21, bare_pages=60) if 0 < len(html_extract.parse(p).tag) <= 13]
+    pages += [PAGE_HTML, "Text only.", "<p>One.<p>Two, in more words."]
+    assert len(pages) > 40
+    assert html_extract.extract(pages, model) == [brute_text(p, model) for p in pages]
+
+
+def test_labels_are_read_in_fitting_only(spark):
+    odd = ["top", "12.5", "0", "1", "", "é"]
+    plain = "<article><h1>Title of it</h1><p>Words in a row, and more of them.</p></article><footer>&copy; us</footer>"
+    rows = [(i, "u", plain.replace("<article", f'<article data-y="{y}"').replace("<footer", f'<footer data-y="{y}"')) for i, y in enumerate(odd)]
+    got = html_extract.extract_pages(spark.createDataFrame([*rows, (9, "u", plain), (10, "u", html_extract.BARE + plain)], PAGE)).collect()
+    assert {r.text for r in got} == {"Title of it Words in a row, and more of them."}
+    assert [html_extract.parse(h).label for _, _, h in rows] == [[0] * 5] * len(rows)
+
+
+def test_pages_without_containers(spark):
+    texts = {
+        "Just some plain text, no tags at all.": None, "one &amp; two": "one & two", "Line one.<br>Line two, longer.": "Line one. Line two, longer.",
+        "<p>One paragraph here.<p>Two, with more words in it.": "One paragraph here. Two, with more words in it.", "<p>Hi</p>": "Hi",
+        "<html><body>Text in the body only. And more.</body></html>": "Text in the body only. And more.",
+        "<html><head><title>T</title></head><body><h1>Title here</h1><p>A bare paragraph, with words.</p></body></html>": "Title here A bare paragraph, with words.",
+    }
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(texts)], PAGE)
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert [got[i] for i in range(len(texts))] == [w or h for h, w in texts.items()]
+
+
 def brute_rule(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     if not m:
