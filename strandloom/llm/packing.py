@@ -97,7 +97,7 @@ def _distinct_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, path: st
     flats, total = [], 0
     if easy.any():
         at, to = begin[easy], (begin + stem)[easy]
-        _, first, inverse = np.unique(texthash.span_hashes(small, at, to), return_index=True, return_inverse=True)
+        first, inverse = texthash.exact_groups(texthash.span_hashes(small, at, to), at, to, small)
         ids, where, k = letters.encode(small, at[first], (to - at)[first])
         marks = {c: tok.encode(chr(c), add_special_tokens=False).ids for c in (44, 46)}
         k, where = k[inverse], where[inverse]
@@ -141,12 +141,13 @@ def encode_rows(offsets: np.ndarray, data: np.ndarray, path: str) -> Iterator[tu
                 kept.append((lo, hi, None))
                 continue
             h, row, start, end = texthash.words(own, data)
-            seen, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            kept.append((lo, hi, (seen, start[first], end[first], inverse.astype(np.int32), np.cumsum(np.bincount(row, minlength=hi - lo)))))
+            first, inverse = texthash.exact_groups(h, start, end, data)
+            kept.append((lo, hi, (h[first], start[first], end[first], inverse.astype(np.int32), np.cumsum(np.bincount(row, minlength=hi - lo)))))
         found = [k[2] for k in kept if k[2] is not None]
         if found:
-            _, first, inverse = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
-            ids, place, count = _distinct_ids(data, np.concatenate([f[1] for f in found])[first], np.concatenate([f[2] for f in found])[first], path)
+            begins, stops = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+            first, inverse = texthash.exact_groups(np.concatenate([f[0] for f in found]), begins, stops, data)
+            ids, place, count = _distinct_ids(data, begins[first], stops[first], path)
         at = 0
         for lo, hi, f in kept:
             if f is None:

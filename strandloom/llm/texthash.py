@@ -1,8 +1,11 @@
 """Vectorised word and shingle hashes over Arrow string columns.
 
 Words are runs of bytes other than blank and 0x09-0x0D, after lower-casing A-Z.  A word's
-hash is a 64-bit polynomial over random byte values, taken from prefix sums over the
-whole buffer (so its cost is a few array passes, not one call a word) and finalised.
+hash is a 64-bit sum of random byte values times random weights, one for each place in the
+word (so that no pattern of bytes makes two words meet, as it does with powers of one base),
+taken from prefix sums over the whole buffer: its cost is a few array passes, not one call a
+word.  Where the identity of words matters, ``exact_groups`` and ``same_bytes`` compare the
+bytes of words of one hash.
 """
 
 from __future__ import annotations
@@ -18,15 +21,14 @@ SLICE_BYTES = 1_000_000
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-for _c in range(ord("A"), ord("Z") + 1):
-    _BYTE[_c] = _BYTE[_c + 32]
+_BYTE = _rng.integers(0, (1 << 64) - 1, 256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BYTE = _BYTE[_LOWER]
 _SEP = np.zeros(256, bool)
 _SEP[[32, *range(9, 14)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _ORDER = _rng.integers(1, 1 << 63, 6, dtype=np.uint64) * U(2) + U(1)
-_powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
+_places = [np.zeros(0, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,13 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers[base]
-    if len(have) < n:
-        grown = np.full(max(n, 2 * len(have)), base, np.uint64)
-        grown[0] = 1
-        have = _powers[base] = np.cumprod(grown)
-    return have[:n]
+def _weights(n: int) -> np.ndarray:
+    """Random weights of the first n places of a word, the same in every process."""
+    if len(_places[0]) < n:
+        _places[0] = mix((np.arange(max(n, 2 * len(_places[0]), 1024), dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15))
+    return _places[0]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +66,67 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def span_hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each span of bytes, the same wherever it lies; A-Z count as a-z."""
+    """A hash of each span of bytes, the same wherever it lies; A-Z count as a-z.  Spans are in
+    order and do not overlap."""
     n = len(part)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    place = np.zeros(n, np.int64)
+    place[start[start < n]] = start[start < n]
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(n), place, out=place)
+    # bytes between spans have a place too, which may be high: any weight will do for them
+    longest = int((end - start).max())
+    np.minimum(place, max(longest - 1, 0), out=place)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[part] * _power(_BASE, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start]
-    return mix(h + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    np.cumsum(_BYTE[part] * _weights(longest)[place], out=sums[1:])
+    return mix(sums[end] - sums[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
+def _eight(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next eight bytes (fewer if ``left`` is less) from each place, in lower case."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        on = np.flatnonzero(left > k)
+        if not len(on):
+            break
+        out[on] |= _LOWER[data[at[on] + k]].astype(np.uint64) << U(8 * k)
+    return out
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, o_start: np.ndarray, o_end: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` has the bytes of its span of ``other``; A-Z count as a-z."""
+    size = end - start
+    same = size == o_end - o_start
+    at, step = np.flatnonzero(same), 0
+    while len(at):
+        if step == 256:  # few words are as long: compare them whole
+            for i in at:
+                a, b = data[start[i] + step : end[i]], other[o_start[i] + step : o_end[i]]
+                same[i] = bool((_LOWER[a] == _LOWER[b]).all())
+            break
+        left = size[at] - step
+        same[at] &= _eight(data, start[at] + step, left) == _eight(other, o_start[at] + step, left)
+        at, step = at[same[at] & (left > 8)], step + 8
+    return same
+
+
+def exact_groups(h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, inverse) of spans that are equal byte by byte (A-Z as a-z): the first span of each
+    group, in order of hashes, and each span's group.  ``h`` are hashes of the spans."""
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    own = first[inverse]
+    rest = np.flatnonzero(own != np.arange(len(h)))
+    wrong = rest[~same_bytes(data, start[rest], end[rest], data, start[own[rest]], end[own[rest]])]
+    if len(wrong):
+        more: dict[bytes, int] = {}
+        for i in wrong:
+            inverse[i] = more.setdefault(_LOWER[data[start[i] : end[i]]].tobytes(), len(first) + len(more))
+        firsts = np.full(len(more), len(h), np.int64)
+        np.minimum.at(firsts, inverse[wrong] - len(first), wrong)
+        first = np.concatenate([first, firsts])
+    return first, inverse
 
 
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -140,6 +140,40 @@ def test_word_hashes_do_not_depend_on_place():
     assert part.tolist() == h[2:5].tolist()
 
 
+def thue_morse(n=2048):
+    """Two words that any polynomial hash modulo 2^64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_hash_stay_apart(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse()
+    offsets, data = texthash.buffers(pa.array([f"{a} {b}"]))
+    h = texthash.words(offsets, data)[0]
+    assert h[0] != h[1]
+    texts = [(0, a), (1, b), (2, f"q r s t {a}"), (3, f"q r s t {b}"), (4, a.upper())]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+
+    rng = random.Random(3)
+    mixed = [prose(rng, 200, "abé").replace("a", rng.choice("aA")) for _ in range(6)] + [f"{a} {b}, {a}.", "x" * 3000 + " " + "x" * 2999 + "y", "Ab aB ab ba"]
+    path = packing.default_tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    plain = texthash.span_hashes
+    for few in (None, 4, 1):  # with few different hashes the bytes alone tell words apart
+        monkeypatch.setattr(texthash, "span_hashes", plain if few is None else lambda *x, few=few: plain(*x) % np.uint64(few))
+        offsets, data = texthash.buffers(pa.array(mixed))
+        for lo, hi, ids, ends in packing.encode_rows(offsets, data, path):
+            for text, own in zip(mixed[lo:hi], np.split(ids, ends[:-1])):
+                assert own.tolist() == tok.encode(text, add_special_tokens=False).ids
+        h, _, start, end = texthash.words(offsets, data)
+        first, inverse = texthash.exact_groups(h, start, end, data)
+        word = [data[x:y].tobytes().lower() for x, y in zip(start, end)]
+        assert [word[i] for i in first[inverse]] == word and len(first) == len(set(word))
+
+
 def test_language_gradient_is_right():
     rng = np.random.default_rng(0)
     model = L.train([], ["a", "b"], hidden=3)
