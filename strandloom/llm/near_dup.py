@@ -1,6 +1,8 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-Every text becomes its set of distinct five-word shingles (64-bit hashes).  Equal sets form
+Every text becomes its set of distinct five-word shingles: 64-bit hashes of randomly weighted
+sums, which no pattern of words makes equal; two given shingles meet with a chance of 2^-63.
+Equal sets form
 a class; each class has a MinHash signature of CHUNKS x CHUNK symbols of 16 bits.  Two
 signatures that differ in at most ``ERRORS * CHUNKS + CHUNKS - 1`` symbols agree, by the
 pigeonhole principle, in some chunk up to ERRORS symbols; a chunk's key is therefore
@@ -19,14 +21,15 @@ reach the similarity.  With shingles ordered rarest first, two such texts share
 first quarter of the larger's shingles that is among the first seventh of the smaller's.
 The order is by counts in a fixed number of hash cells; any order serves as well for
 exactness.  Pairs within a component are never formed.  Where more than PAIRWISE texts
-share a prefix shingle, they are dealt into blocks of BLOCK texts, each pair of blocks is
-one small group whose intersections are counted as a matrix product, and only links come
-out, one for each pair of components.
+share a prefix shingle, they are dealt into blocks of about BLOCK texts (fewer long ones:
+about BLOCK_SHINGLES in all), each pair of blocks is one small group whose intersections are
+counted as a matrix product, and only links come out, one for each pair of components.
 
 Cases: null and empty texts have empty sets and link with nothing; rows with a null doc_id
 are returned with a null component and kept; rows that repeat a doc_id are one node and are
-linked by any of their texts; an empty table gives an empty result; extra columns are
-ignored.
+linked by any of their texts, and of these rows ``drop_near_duplicates`` keeps the one with the
+least text (nulls first; rows of one text are told apart by a hash of their other columns); an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import texthash
 from ._shared import fresh_path, open_fs, salt, stored, tidy, with_group_stats
@@ -50,7 +54,7 @@ SYMBOLS = CHUNKS * CHUNK
 CELLS = 1 << 22
 #: Texts of one prefix shingle whose pairs are listed; more are compared in blocks.
 PAIRWISE = 48
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -227,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("key").alias("s_key"), "least")
     members = stored(keys.join(shared, F.col("key") == F.col("s_key")).select("key", "id", "least"), "nd-members")
     open_ids = members.select(F.col("id").alias("o_id")).distinct()
-    texts = docs.join(open_ids.hint("shuffle_hash"), F.col("doc_id") == F.col("o_id"), "left_semi")
+    texts = docs.join(open_ids, F.col("doc_id") == F.col("o_id"), "left_semi")
     sets = stored(texts.mapInArrow(_sets, "id bigint, set binary"), "nd-sets")
 
     stars = _best_star(members.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")))
@@ -243,7 +247,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links, label = _joined(links, label, stored(_confirmed(stars, sets), "nd-links"))
     known = stored(_labelled(members.select("key", "id"), label), "nd-known")
     known = stored(_labelled(_prefix_members(known, sets), label), "nd-known")
-    sizes = known.groupBy("key").count().where(F.col("count") > PAIRWISE).select(F.col("key").alias("b_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    sized = known.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where(F.col("n") > PAIRWISE)
+    sizes = sized.select(F.col("key").alias("b_key"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     crowded = stored(known.join(sizes, F.col("key") == F.col("b_key")).drop("b_key"), "nd-crowded")
     few = known.join(sizes, F.col("key") == F.col("b_key"), "left_anti")
     more = stored(_confirmed(_open_pairs(few), sets).unionByName(_block_links(crowded, sets)), "nd-links")
@@ -295,17 +300,15 @@ def _open_pairs(known: DataFrame) -> DataFrame:
 
 def _alike(table: pa.Table) -> pa.Table:
     """Links between the two blocks of a group (or within one), one a pair of components."""
-    rows = table.to_pydict()
-    first, second = rows["first"][0], rows["second"][0]
-    block = np.asarray(rows["block"])
-    sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
+    first, second, block, ids, parts = (table[c].to_numpy() for c in ("first", "second", "block", "id", "component"))
+    a, b = np.flatnonzero(block == first[0]), np.flatnonzero(block == second[0])
+    chunks = table["set"].chunks  # read where they lie, without a copy
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in chunks for x in c]
     size = np.asarray([len(x) for x in sets])
-    ids, parts = np.asarray(rows["id"], np.int64), np.asarray(rows["component"], np.int64)
-    a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
     _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
     shared = seen[column] > 1
-    rank = np.cumsum(seen > 1) - 1
+    rank = (np.cumsum(seen > 1) - 1).astype(np.int32)
     owner, column = owner[shared], rank[column[shared]]
     both = np.zeros((len(a), len(b)), np.float32)
     for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, 8192):
@@ -317,6 +320,7 @@ def _alike(table: pa.Table) -> pa.Table:
     i, j = np.nonzero(ok)
     low, high = np.minimum(parts[a[i]], parts[b[j]]), np.maximum(parts[a[i]], parts[b[j]])
     _, one = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
+    tidy()
     return pa.table({"u": ids[a[i[one]]], "v": ids[b[j[one]]]})
 
 
@@ -335,9 +339,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates, all columns as they were."""
     found = stored(near_duplicates(docs), "nd-found")
     gone = found.where("NOT kept").select(F.col("doc_id").alias("g_id")).distinct()
-    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("g_id"), "left_anti")
+    out = docs.join(gone, docs["doc_id"].cast("long") == F.col("g_id"), "left_anti")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
-        same = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        out = same.unionByName(out.where("doc_id IS NULL"))
+        plain = [c for c in out.columns if not isinstance(out.schema[c].dataType, T.MapType)]
+        order = F.struct("text", F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+        same = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in out.columns]), order).alias("_row"))
+        out = same.select("_row.*").unionByName(out.where("doc_id IS NULL"))
     return out

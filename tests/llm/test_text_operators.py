@@ -79,9 +79,10 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     texts = near_texts(rng)
     want = brute_components(texts)
-    for pairwise, block in ((48, 512), (4, 16)):
+    for pairwise, block, shingles in ((48, 512, 1_000_000), (4, 16, 1_000_000), (4, 512, 300)):
         monkeypatch.setattr(near_dup, "PAIRWISE", pairwise)
         monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", shingles)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(documents(spark, texts)).collect()}
         assert got == want
 
@@ -96,6 +97,13 @@ def test_near_duplicates_edges(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_of_rows_of_one_id_the_least_text_stays(spark):
+    rows = [(1, "b b"), (1, "a a"), (1, "c c"), (2, None), (2, "z"), (3, "q w e r t y u"), (3, "q w e r t y u")]
+    for parts in (1, 5):
+        kept = near_dup.drop_near_duplicates(documents(spark, rows).repartition(parts)).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a a"), (2, None), (3, "q w e r t y u")]
+
+
 def pa_lit():
     from pyspark.sql import functions as F
 
