@@ -95,6 +95,31 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM ra
 """
 
 
+_OP5_SQL = """
+WITH raw AS (
+  SELECT page_id, lower(coalesce(url, '')) AS u, encode(coalesce(html, '')) AS payload FROM pages
+), hashed AS (
+  SELECT page_id, u, octet_length(payload) AS payload_bytes, sha1(payload) AS hex,
+    min(page_id) OVER (PARTITION BY payload) AS first,
+    regexp_matches(u, '^[a-z][a-z0-9+.-]*://') AS absolute,
+    regexp_extract(u, '(?s)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)(.*)$', 1) AS host,
+    regexp_extract(u, '(?s)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)(.*)$', 2) AS rest
+  FROM raw
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to,
+  CASE WHEN absolute THEN array_to_string(list_reverse(string_split(split_part(host, ':', 1), '.')), ',')
+      || CASE WHEN strpos(host, ':') > 0 AND split_part(host, ':', 2) <> '' THEN ':' || substr(host, strpos(host, ':') + 1) ELSE '' END
+      || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END
+    ELSE u END AS urlkey,
+  '20240101000000' AS timestamp
+FROM hashed
+"""
+
+
 _OP6_SQL = """
 WITH parts AS (
   SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, len(embedding) AS n
@@ -113,4 +138,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_digest_filter": _OP2_SQL, "op6_cover_tree_topk": _OP6_SQL}
+    return {"op2_url_digest_filter": _OP2_SQL, "op5_warc_index_merge": _OP5_SQL, "op6_cover_tree_topk": _OP6_SQL}

@@ -4,10 +4,15 @@ Pages are written as WARC/1.1 records, each its own gzip member, by as many task
 them, into archives in the shared folder.  Of equal payloads the smallest page_id is a
 response and the others revisit it.  The archives are then read back from start to end: each
 record's payload and digest are checked, and its capture entries are sorted by URL key,
-timestamp and page_id into a local run.  The runs are merged by k-way loser trees: ranges
-of keys, split at sampled keys, are merged each by one task, which reads of every run only
-the row groups that its range touches; more runs than FAN_IN are first merged in passes.
-Taken in range order the result is one capture history in global order.
+timestamp and page_id into a local run.  The runs are merged by k-way loser trees by ranges of
+keys, split at sampled keys: a task merges one range and reads of its runs only the row groups
+that the range touches.  More runs than FAN_IN are first merged in passes, each of whose tasks
+merges FAN_IN runs over a block of neighbouring ranges into a run of that block, so that no
+task grows with the corpus.  Taken in range order the result is one capture history in global
+order.
+
+A url stands in its record as it is; one with control or other unprintable characters, or with
+blanks at an end, stands percent-encoded beside a mark that has the reader decode it.
 
 Archive and run names are unique to a task attempt and only those that a finished attempt
 reports are read, so a lost executor's leavings do no harm.
@@ -28,7 +33,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +45,10 @@ ARCHIVE_BYTES = 1 << 30
 RUN_ROWS = 500_000
 RANGE_ROWS = 100_000
 FAN_IN = 64
-MAX_SAMPLES = 16_384
+#: Entries that a task of a pass merges, about.
+PASS_ROWS = 2_000_000
+#: A run hands on the key of every such entry; of these about so many for each range are used.
+SAMPLE_EVERY, SAMPLES = 512, 8
 CAPTURED = "20240101000000"
 
 ENTRY = "urlkey string, timestamp string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, archive string, offset bigint, length bigint"
@@ -49,6 +57,10 @@ _ENTRY = pa.schema(
 )
 
 
+#: Characters that stand for themselves in a percent-encoded url.
+_PLAIN = "".join(map(chr, range(33, 127))).replace("%", "")
+
+
 def url_key(url: str | None) -> str:
     """Sort key of a url: host labels reversed, then the rest, in lower case."""
     m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)(.*)", (url or "").lower(), re.S)
@@ -79,7 +91,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="".join(map(chr, range(33, 127))).replace("%", "")))
+        if url.isprintable() and url == url.strip():
+            head.append("WARC-Target-URI: " + url)
+        else:
+            head += ["WARC-Target-URI: " + quote(url, safe=_PLAIN), "X-Target-URI-Encoded: percent"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if revisit:
@@ -157,13 +172,20 @@ def parse(raw: bytes) -> dict:
         if "sha1:" + sha != fields["WARC-Payload-Digest"]:
             raise ValueError(f"damaged payload in {fields['WARC-Record-ID']}")
     refers = fields.get("X-Refers-To-Page")
-    page = fields.get("X-Page-Id")
-    return {"page_id": None if page is None else int(page), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": sha, "record_type": kind, "refers_to": None if refers is None else int(refers), "timestamp": re.sub(r"\D", "", fields["WARC-Date"])}
+    page, url = fields.get("X-Page-Id"), fields.get("WARC-Target-URI")
+    if "X-Target-URI-Encoded" in fields:
+        url = unquote(url)
+    return {"page_id": None if page is None else int(page), "url": url, "payload_bytes": size, "payload_digest": sha, "record_type": kind, "refers_to": None if refers is None else int(refers), "timestamp": re.sub(r"\D", "", fields["WARC-Date"])}
+
+
+def cut_key(e: dict) -> tuple:
+    """The key by which ranges are cut: a null page_id comes last."""
+    return e["urlkey"], e["timestamp"], e["page_id"] is None, e["page_id"] or 0
 
 
 def order_key(e: dict) -> tuple:
-    """Global order of entries; nulls last."""
-    return e["urlkey"], e["timestamp"], e["page_id"] is None, e["page_id"] or 0, e["archive"], e["offset"]
+    """Global order of entries: the cut key, then the place in the archives."""
+    return *cut_key(e), e["archive"], e["offset"]
 
 
 class LoserTree:
@@ -209,13 +231,16 @@ class LoserTree:
             self.tree[0] = i
 
 
-def _write_run(files, folder: str, entries: Iterable[dict]) -> tuple[str, int, list]:
-    """A run file of sorted entries with small row groups, and some of its keys."""
+_KEY = pa.struct([("urlkey", pa.string()), ("timestamp", pa.string()), ("absent", pa.bool_()), ("page", pa.int64())])
+
+
+def _write_run(files, folder: str, entries: Iterable[dict], sample_every: int = SAMPLE_EVERY) -> tuple[str, int, list]:
+    """A run file of sorted entries with small row groups, and the key of every
+    ``sample_every``-th entry."""
     import pyarrow.parquet as pq
 
     path = posixpath.join(folder, f"{uuid.uuid4().hex}.parquet")
     n, keys, batch = 0, [], []
-    step = 1
     with pq.ParquetWriter(open_fs(path)[1], _ENTRY, filesystem=files) as out:
 
         def flush():
@@ -224,10 +249,8 @@ def _write_run(files, folder: str, entries: Iterable[dict]) -> tuple[str, int, l
                 batch.clear()
 
         for e in entries:
-            if n % step == 0:
-                keys.append([e["urlkey"], e["timestamp"], "" if e["page_id"] is None else f"{e['page_id']:020d}"])
-                if len(keys) == 512:  # thin out evenly: a run hands on 256 to 512 keys at most
-                    keys, step = keys[::2], step * 2
+            if n % sample_every == 0:
+                keys.append(dict(zip(("urlkey", "timestamp", "absent", "page"), cut_key(e))))
             n += 1
             batch.append(e)
             if len(batch) == 4096:
@@ -237,7 +260,7 @@ def _write_run(files, folder: str, entries: Iterable[dict]) -> tuple[str, int, l
 
 
 def _read_run(uri: str, lo, hi) -> Iterator[tuple[tuple, dict]]:
-    """A run's entries with lo <= (urlkey, timestamp, page) < hi; None is open."""
+    """A run's entries with lo <= cut key < hi; None is open."""
     import pyarrow.parquet as pq
 
     files, path = open_fs(uri)
@@ -248,19 +271,21 @@ def _read_run(uri: str, lo, hi) -> Iterator[tuple[tuple, dict]]:
         if stats is not None and stats.has_min_max and ((lo and stats.max < lo[0]) or (hi and stats.min > hi[0])):
             continue
         for e in file.read_row_group(g).to_pylist():
-            key = (e["urlkey"], e["timestamp"], "" if e["page_id"] is None else f"{e['page_id']:020d}")
+            key = cut_key(e)
             if (lo is None or key >= lo) and (hi is None or key < hi):
                 yield order_key(e), e
 
 
-_RUN = "run string, n bigint, keys array<array<string>>"
+#: A run and the ranges that it lies in, [lo, hi); the runs of the archives lie in all.
+_RUN = "run string, n bigint, keys array<struct<urlkey:string,timestamp:string,absent:boolean,page:bigint>>, lo bigint, hi bigint"
 
 
 def _run_batch(done: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.list_(pa.list_(pa.string())))], names=["run", "n", "keys"])
+    kinds = (pa.string(), pa.int64(), pa.list_(_KEY), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], names=["run", "n", "keys", "lo", "hi"])
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, run_rows: int = RUN_ROWS, sample_every: int = SAMPLE_EVERY) -> DataFrame:
     """Read archives back into sorted runs; (run, n, keys), a stored table."""
     folder = fresh_path(archives.sparkSession, "warc-runs")
 
@@ -271,7 +296,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
         def close():
             entries.sort(key=order_key)
-            done.append(_write_run(files, folder, entries))
+            done.append((*_write_run(files, folder, entries, sample_every), 0, None))
             entries.clear()
 
         for batch in batches:
@@ -280,7 +305,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     for offset, length, raw in members(stream):
                         e = parse(raw)
                         entries.append(e | {"urlkey": url_key(e["url"]), "archive": path, "offset": offset, "length": length})
-                        if len(entries) >= RUN_ROWS:
+                        if len(entries) >= run_rows:
                             close()
         if entries:
             close()
@@ -290,36 +315,55 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return stored(archives.select("archive").repartition(n).mapInArrow(run, _RUN), "warc-runs")
 
 
-def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
+def _cuts(runs: DataFrame, parts: int) -> list[tuple]:
+    """At most parts - 1 keys that split the runs' entries into ranges of about one size, from
+    about SAMPLES keys for each range."""
+    keys = runs.select("run", F.posexplode("keys").alias("at", "k"))
+    thin = max(1, keys.count() // (SAMPLES * parts))
+    some = keys.where(F.pmod(F.xxhash64("run", "at"), F.lit(thin)) == 0) if thin > 1 else keys
+    found = sorted((k["urlkey"], k["timestamp"], k["absent"], k["page"]) for (k,) in some.select("k").collect())
+    return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+
+
+def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS, pass_rows: int = PASS_ROWS) -> DataFrame:
     """The entries of all runs in global order (partition by partition)."""
     spark = runs.sparkSession
-    while (count := runs.count()) > fan_in:
+    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cuts = _cuts(runs, max(1, -(-total // range_rows)))
+    ranges = list(zip([None, *cuts], [*cuts, None]))
+    runs = runs.withColumn("hi", F.coalesce("hi", F.lit(len(ranges))))
+    block = 1 << (len(ranges) - 1).bit_length()  # neighbouring ranges that one run covers
+    deep = runs.count()  # runs that meet in a range
+    while deep > fan_in:
         folder = fresh_path(spark, "warc-runs")
+        groups = -(-deep // fan_in)
+        # halve the blocks until a task's share of fan_in runs is small enough
+        share = total / groups
+        while block > 1 and share * block / len(ranges) > pass_rows:
+            block //= 2
 
-        def merge(batches, folder=folder):
+        def merge(batches, folder=folder, block=block):
             files, root = open_fs(folder)
             files.create_dir(root, recursive=True)
             for batch in batches:
-                for group in batch.column(0).to_pylist():
-                    yield _run_batch([_write_run(files, folder, LoserTree([_read_run(r, None, None) for r in group]))])
-
-        groups = -(-count // fan_in)
-        dealt = runs.select("run", F.expr(f"pmod(xxhash64(run), {groups})").alias("g")).groupBy("g").agg(F.collect_list("run").alias("runs"))
-        runs = stored(dealt.select("runs").repartition(groups, "runs").mapInArrow(merge, _RUN), "warc-runs")
-    listed = [r["run"] for r in runs.select("run").collect()]  # FAN_IN at most
-    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(1, -(-total // range_rows))
-    share = max(1, MAX_SAMPLES // max(1, count))
-    sampled = runs.select(F.explode(F.expr(f"filter(keys, (x, i) -> i % greatest(1, size(keys) div {share}) = 0)")).alias("k"))
-    keys = sorted(tuple(r["k"]) for r in sampled.collect())  # bounded by FAN_IN * 512
-    cuts = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
-    ranges = list(zip([None, *cuts], [*cuts, None]))
+                for at, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    lo, hi = at * block, min(len(ranges), (at + 1) * block)
+                    merged = LoserTree([_read_run(r, ranges[lo][0], ranges[hi - 1][1]) for r in group])
+                    yield _run_batch([(*_write_run(files, folder, merged), lo, hi)])
+
+        each = runs.withColumn("at", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")))
+        dealt = each.withColumn("g", F.expr(f"pmod(xxhash64(run), {groups})")).groupBy("at", "g").agg(F.collect_list("run").alias("runs"))
+        tasks = max(1, groups * -(-len(ranges) // block))
+        runs = stored(dealt.select("at", "runs").repartition(tasks, "at", "runs").mapInArrow(merge, _RUN), "warc-runs")
+        deep = groups
+    # FAN_IN runs a block at most, and blocks of about PASS_ROWS entries
+    listed = [(r["lo"], r["hi"], r["run"]) for r in runs.select("lo", "hi", "run").collect()]
 
     def run(batches):
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 rows = []
-                for e in LoserTree([_read_run(r, *ranges[i]) for r in listed]):
+                for e in LoserTree([_read_run(r, *ranges[i]) for lo, hi, r in listed if lo <= i < hi]):
                     rows.append(e)
                     if len(rows) == 10_000:
                         yield pa.RecordBatch.from_pylist(rows, _ENTRY)

@@ -181,14 +181,35 @@ def test_warc(spark):
     assert {r.record_type for r in warc.capture_history(pages, min_revisit=1 << 30).collect()} == {"response"}
 
 
+def test_urls_come_back_as_they_were(spark):
+    urls = ["http://a/a%20b?q=%41%zz", "http://a/é/ü?x=%C3%A9", "http://b.a/ ", " http://b.a/", "http://a/x\ny: z\r\nWARC-Type: no", "http://a/\t\x00\x85\u2028%0A", "HTTP://U:p@Host.Example.com:8080/P?q#f", "", None, "no scheme: x", "http://日本/", "a" * 70_000, "http://a: b/%"]
+    pages = spark.createDataFrame([(i, u, str(i)) for i, u in enumerate(urls)] + [(99, urls[0], "99")], PAGE)
+    got = warc.capture_history(pages).collect()
+    assert {r.page_id: r.url for r in got} == {**dict(enumerate(urls)), 99: urls[0]}
+    assert {r.page_id: r.urlkey for r in got if r.page_id < 99} == {i: warc.url_key(u) for i, u in enumerate(urls)}
+    assert warc.url_key(urls[6]) == "com,example,host:8080)/p?q#f"
+
+
+def test_one_order_for_cuts_and_merge(spark):
+    ids = [None, -5, -40, 3, 20, 100, 7, -1, 0]
+    pages = spark.createDataFrame([(i, "http://one/", f"{i} {k}") for k in range(40) for i in ids], PAGE).repartition(7)
+    runs = warc.read_archives(warc.write_archives(pages), run_rows=50, sample_every=3)
+    for options in ({}, {"fan_in": 2, "range_rows": 30, "pass_rows": 60}, {"fan_in": 3, "range_rows": 5, "pass_rows": 10}):
+        got = [(r.page_id is None, r.page_id or 0) for r in warc.merge_runs(runs, **options).collect()]
+        assert got == sorted(got) and len(got) == 40 * len(ids)
+
+
 def test_index_merge_in_passes_and_ranges(spark):
     pages = spark.createDataFrame([(i, f"http://h{i % 13}.com/{i % 7}", str(i)) for i in range(300)], PAGE).repartition(9)
-    runs = warc.read_archives(warc.write_archives(pages))
-    assert runs.count() > 1
+    runs = warc.read_archives(warc.write_archives(pages), run_rows=23, sample_every=2)
+    assert runs.count() > 8
     merged = warc.merge_runs(runs, fan_in=2, range_rows=40)
     assert merged.rdd.getNumPartitions() > 2
     rows = [(r.urlkey, r.timestamp, r.page_id) for r in merged.collect()]
     assert rows == sorted(rows) and len(rows) == 300
+    # each pass merges by ranges, and none loses or repeats an entry
+    for fan_in, range_rows, pass_rows in ((2, 10, 20), (2, 300, 1), (3, 7, 1000), (64, 1, 1)):
+        assert [(r.urlkey, r.timestamp, r.page_id) for r in warc.merge_runs(runs, fan_in, range_rows, pass_rows).collect()] == rows
 
 
 def test_loser_tree():
