@@ -40,8 +40,8 @@ BATCH_BYTES = "8m"
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (with ``options``) and read it back.
 
     Python functions in its plan get Arrow batches of at most BATCH_BYTES meanwhile.
     """
@@ -50,7 +50,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(_BATCH_CONF, None)
     spark.conf.set(_BATCH_CONF, BATCH_BYTES)
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_BATCH_CONF)

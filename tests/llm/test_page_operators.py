@@ -407,10 +407,14 @@ def test_media_are_stored(spark):
     from strandloom.llm._shared import shared_dir
 
     folder = Path(shared_dir(spark).removeprefix("file://")) / "strandloom"
-    before = set(folder.glob("media-*"))
+    before = set(folder.glob("media-*")) | set(folder.glob("tensors-*"))
     docs = spark.createDataFrame([(1, "Some text."), (2, None), (1, "Some text."), (None, "é" * 5000)], "doc_id bigint, text string")
     got = sorted(map(str, media.media_digests(docs).collect()))
     (made,) = set(folder.glob("media-*")) - before
+    (tensors,) = set(folder.glob("tensors-*")) - before
+    rows = spark.read.parquet(str(tensors)).collect()
+    assert len(rows) == 4 and all(len(r.rgb) == r.height * r.width * 3 for r in rows) and max(r.height for r in rows) > 16
+    assert all(media.features(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)) == r.feature for r in rows)
     table = spark.read.parquet(str(made))
     assert table.columns == ["doc_id", "media"] and table.count() == 4 and sorted(map(str, media.decode_media(table).collect())) == got
 
