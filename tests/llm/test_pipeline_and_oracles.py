@@ -27,7 +27,7 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     got, want = registry.queries()[name](spark, DATA), con.sql(registry.oracle_sql()[name]).df()
     columns = sorted(want.columns)
