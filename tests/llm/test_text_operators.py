@@ -269,6 +269,80 @@ def test_nothing_is_judged_without_a_learned_language(spark):
     assert [r.doc_id for r in L.drop_rejected(only).collect()] == [held] and L.drop_rejected(docs.limit(0)).count() == 0
 
 
+def naive_probabilities(model, raw):
+    """Mean probabilities of a text, byte by byte, from single states."""
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+
+    def state(side, seen):
+        x, u = model.x[side].astype(float), model.u[side].astype(float)
+        k = u.shape[1]
+        h = np.zeros(k)
+        for c in seen:
+            rec = u @ h
+            z, r = sigmoid(x[c, :k] + rec[:k]), sigmoid(x[c, k : 2 * k] + rec[k : 2 * k])
+            n = np.tanh(x[c, 2 * k :] + r * rec[2 * k :])
+            h = n + z * (h - n)
+        return h
+
+    total = 0
+    for i in range(len(raw)):
+        lo = i // L.WINDOW * L.WINDOW
+        before = raw[max(0, lo - L.CONTEXT) : i + 1]
+        behind = raw[i : min(len(raw), lo + L.WINDOW + L.CONTEXT)]
+        logits = model.v @ np.concatenate([state(0, before), state(1, behind[::-1])]) + model.b
+        p = np.exp(logits - logits.max())
+        total = total + p / p.sum()
+    return total / max(1, len(raw))
+
+
+def test_windows_equal_a_network_by_position():
+    rng = np.random.default_rng(8)
+    model = L.train([], ["a", "b", "c"], hidden=3)
+    sizes = [0, 1, 2, 31, 191, 192, 193, 230, 400, 700]
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in sizes]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    got = L.document_probabilities(model, offsets, np.frombuffer(b"".join(texts), np.uint8))
+    assert np.allclose(got, [naive_probabilities(model, t) if t else np.zeros(3) for t in texts], atol=1e-5)
+
+
+def test_windows_end_at_characters():
+    text = "aé日本𝄞z".encode() * 3
+    for a in range(len(text)):
+        for b in range(a, len(text) + 1):
+            cut = L._at_characters(text[a:b])
+            assert cut in text[a:b] and (len(text[a:b]) < 8 or len(cut) >= b - a - 6)
+            cut.decode()
+
+
+def test_held_out_accuracy_on_the_given_tables(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(path)
+    judged = L.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    right, seen = Counter(r.lang for r in judged if r.lang == r.lang_pred), Counter(r.lang for r in judged)
+    assert len(seen) == 4 and min(seen.values()) >= 15 and all(right[x] / n >= 0.93 for x, n in seen.items())
+
+
+def test_two_languages_and_one_are_judged(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30, ["abcde", "stuvw"][i % 2]), ["xx", "yy"][i % 2], "s", 1) for i in range(120)]
+    rows += [(500, prose(rng, 30, "klmnoäöü"), None, "s", 1), (501, "7 8 9", None, "s", 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    assert {r.doc_id for r in L.drop_rejected(docs).collect()} >= set(range(120))
+    assert {r.doc_id for r in L.drop_rejected(docs, margin=0.999).collect()} <= set(range(120))
+    one = docs.withColumn("lang", F_lit_if_known())
+    assert {r.doc_id for r in L.drop_rejected(one).collect()} == {*range(120), 500}
+
+
+def F_lit_if_known():
+    from pyspark.sql import functions as F
+
+    return F.when(F.col("lang").isNotNull(), F.lit("xx"))
+
+
 def test_equal_texts_get_equal_labels(spark):
     rng = random.Random(4)
     text = prose(rng, 50)
