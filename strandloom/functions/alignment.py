@@ -65,6 +65,18 @@ def cigar_parts(cigar: Column) -> Column:
     )
 
 
+def cigar_runs(cigar: Column) -> Column:
+    """array<struct<op, len, r, q>>: every run with its first reference and query offsets."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("r"), zero.alias("q"), F.expr("cast(array() as array<struct<op:string,len:bigint,r:bigint,q:bigint>>)").alias("out"))
+    step = lambda a, p: F.struct(
+        (a["r"] + F.when(F.lit("MDN=X").contains(p["op"]), p["len"]).otherwise(0)).alias("r"),
+        (a["q"] + F.when(F.lit("MIS=X").contains(p["op"]), p["len"]).otherwise(0)).alias("q"),
+        F.concat(a["out"], F.array(F.struct(p["op"].alias("op"), p["len"].alias("len"), a["r"].alias("r"), a["q"].alias("q")))).alias("out"),
+    )
+    return F.aggregate(cigar_parts(cigar), start, step)["out"]
+
+
 def _cigar_length(cigar: Column, ops: str) -> Column:
     parts = F.filter(cigar_parts(cigar), lambda p: F.lit(ops).contains(p["op"]))
     return F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["len"])

@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from decimal import Decimal
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 POS_MAX = (1 << 63) - 1
 _NUMBER = re.compile(r"([+-]?)([\d,]*)(?:\.(\d*))?(?:[eE]([+-]?\d+))?([kKmMgG]?)")
 _SCALE = {"": 1, "k": 10**3, "m": 10**6, "g": 10**9}
@@ -87,6 +91,19 @@ def parse_region(text: str, names: list[str], one_coord: bool = False, as_list:
     return name, beg, end, rest
 
 
+def parse_regions(text: Column, names: list[str], one_coord: bool = False) -> Column:
+    """struct<chr, beg, end> of a column of regions, as ``parse_region`` reads one; null for null.
+    ``names`` are those of a file's header."""
+
+    @F.pandas_udf("chr string, beg bigint, end bigint")
+    def parsed(column: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if t is None else parse_region(t, names, one_coord)[:3] for t in column]
+        frame = pd.DataFrame(rows, columns=["chr", "beg", "end"], index=column.index)
+        return frame.astype({"beg": "Int64", "end": "Int64"})
+
+    return parsed(text)
+
+
 def parse_summary_region(text: str) -> tuple[str, int, int]:
     """chr:beg-end, 1-based and closed, as the summary command takes it."""
     m = re.fullmatch(r"(.+):(\d+)-(\d+)", text)

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,19 @@ from pyspark.sql import types as T
 _DOUBLE = T.DoubleType()
 _FISHER = T.StructType([T.StructField(n, _DOUBLE) for n in ("p", "p_left", "p_right", "p_two")])
 
+#: Factorials up to here are looked up; Stirling's series is exact to double beyond.
+_TABLE = 20
+
+
+def log_factorial(n) -> Column:
+    """ln n! of a whole-number column, n >= 0, without Python."""
+    n = F.col(n) if isinstance(n, str) else n
+    x = n.cast("double")
+    table = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(_TABLE)])
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < _TABLE, F.get(table, n.cast("int"))).otherwise(series)
+
+
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
@@ -30,6 +44,8 @@ def _gamma_p(s: float, z: float) -> float:
     """Regularised lower incomplete gamma: the series, or the continued fraction's rest."""
     if z <= 0:
         return 0.0
+    if s <= 0:  # all of the mass lies at zero
+        return 1.0
     scale = math.exp(-z + s * math.log(z) - math.lgamma(s))
     if z < s + 1:
         term = total = 1.0 / s

@@ -1,75 +1,80 @@
-"""Genotype likelihoods of pileup columns under a dependent-error model."""
+"""Genotype likelihoods of pileup columns under a dependent-error model.
+
+A column's bases are summed by base, strand and quality first, so that a position of any depth
+is a few hundred rows at most.  The cost of one more error among n bases of one quality depends
+on (quality, n, errors so far) only: it is worked out once for each such triple that occurs and
+met by an equi-join.  What a base costs is summed in partial aggregates; no task needs a column
+as a whole.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-ALLELES = "ACGT"
-# Fixed constants of the model: dependency between errors on a strand, and its floor.
-DEPENDENCY, FLOOR = 0.17, 0.03
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..functions.statistics import log_factorial
 
-def _log_choose(n: int) -> np.ndarray:
-    lf = np.asarray([math.lgamma(k + 1) for k in range(n + 1)])
-    return lf[n] - lf - lf[::-1]
+ALLELES = "ACGT"
+# Fixed constants of the model: dependency between errors on a strand, its floor, the range of
+# qualities, and ten over the logarithm of ten.
+DEPENDENCY, FLOOR, LEAST_Q, MOST_Q, PHRED = 0.17, 0.03, 4, 63, 4.343
 
 
-def _error_steps(quality: int, n: int) -> np.ndarray:
-    """For k errors so far, the phred cost of one more among n bases of one quality."""
+def error_costs(quality: int, n: int) -> np.ndarray:
+    """For k = 0 .. n - 1 errors so far, the phred cost of one more among n bases of one quality:
+    the ratio of the binomial tails from k + 1 and from k on."""
     e = 10 ** (-quality / 10)
     k = np.arange(n + 1)
-    log_p = _log_choose(n) + k * math.log(e) + (n - k) * math.log1p(-e)
-    tail = np.logaddexp.accumulate(log_p[::-1])[::-1]  # log P(at least k errors)
-    return np.append(-10 / math.log(10) * (tail[1:] - tail[:-1]), np.inf)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    log_p = logs[n] - logs - logs[::-1] + k * math.log(e) + (n - k) * math.log1p(-e)
+    tail = np.logaddexp.accumulate(log_p[::-1])[::-1]
+    return -10 / math.log(10) * np.diff(tail)
 
 
-def likelihoods(bases: list[str], quals: list[int], reverse: list[bool], dependency: float = DEPENDENCY) -> np.ndarray:
-    """(4, 4) phred-scaled likelihoods of the genotypes of a column.
-
-    Bases come best quality first; each further one on the same strand counts less.
-    """
-    n, m = len(bases), len(ALLELES)
-    out = np.zeros((m, m))
-    if not n:
-        return out
-    clipped = [min(63, max(4, q)) for q in quals]
-    order = sorted(range(n), key=lambda i: (clipped[i], reverse[i], bases[i]), reverse=True)
-    steps = {q: _error_steps(q, n) for q in set(clipped)}
-    count, cost, strand = np.zeros(m, int), np.zeros(m), {}
-    for i in order:
-        b = ALLELES.find(bases[i])
-        if b < 0:
-            continue
-        key = (b, reverse[i])
-        weight = (1 - dependency) ** strand.get(key, 0) * (1 - FLOOR) + FLOOR
-        cost[b] += weight * steps[clipped[i]][count[b]]
-        count[b] += 1
-        strand[key] = strand.get(key, 0) + 1
-    for j in range(m):
-        for k in range(j, m):
-            value = cost.sum() - cost[j] - (cost[k] if k != j else 0)
-            if k != j:
-                both = int(count[j] + count[k])
-                value += -4.343 * (math.lgamma(both + 1) - math.lgamma(count[k] + 1) - math.lgamma(both - count[k] + 1) - math.log(2) * both)
-            out[j, k] = out[k, j] = max(0.0, value)
-    return out
+def _costs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for quality, n, last in frame.itertuples(index=False):
+            cost = error_costs(int(quality), int(n))[: int(last) + 1]
+            yield pd.DataFrame({"c_q": quality, "c_n": n, "c_k": np.arange(len(cost)), "cost": cost})
 
 
 def genotype_likelihoods(pileup: DataFrame) -> DataFrame:
-    """Of pileup rows (chr, position, base, q, reverse): the ten genotypes' likelihoods of each
-    position.  Columns of any depth are used whole."""
+    """Of pileup rows (chr, position, base, q, reverse): depth and the ten genotypes' phred-scaled
+    likelihoods of each position.
+
+    Within a base the best quality comes first, at one quality the reverse strand; each further
+    base on the same strand weighs less.  Other letters count in the depth only.
+    """
+    place = ["chr", "position"]
+    q = F.least(F.greatest("q", F.lit(LEAST_Q)), F.lit(MOST_Q)).cast("int")
+    same = pileup.select(*place, "base", q.alias("q"), "reverse").groupBy(*place, "base", "q", "reverse").agg(F.count("*").alias("m"))
+    by_base = Window.partitionBy(*place, "base").orderBy(F.desc("q"), F.desc("reverse")).rowsBetween(Window.unboundedPreceding, -1)
+    by_strand = Window.partitionBy(*place, "base", "reverse").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("m").over(w), F.lit(0))
+    ranked = same.withColumns({"n": F.sum("m").over(Window.partitionBy(*place)), "_k": before(by_base), "_j": before(by_strand)})
+    known = ranked.where(F.col("base").isin(*ALLELES))
+    costs = known.groupBy("q", "n").agg(F.max(F.col("_k") + F.col("m") - 1).alias("last")).mapInPandas(_costs, "c_q int, c_n bigint, c_k bigint, cost double")
+    each = known.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("_at", F.col("_k") + F.col("_i"))
+    met = each.join(costs, (F.col("q") == F.col("c_q")) & (F.col("n") == F.col("c_n")) & (F.col("_at") == F.col("c_k")))
+    weight = F.pow(F.lit(1 - DEPENDENCY), F.col("_j") + F.col("_i")) * (1 - FLOOR) + FLOOR
+    spent = met.groupBy(*place).agg(*[F.coalesce(F.sum(F.when(F.col("base") == b, weight * F.col("cost"))), F.lit(0.0)).alias(f"cost_{b}") for b in ALLELES])
+    depth = same.groupBy(*place).agg(F.sum("m").alias("depth"), *[F.coalesce(F.sum(F.when(F.col("base") == b, F.col("m"))), F.lit(0)).alias(f"n_{b}") for b in ALLELES])
+    spent = spent.select(F.col("chr").alias("_chr"), F.col("position").alias("_position"), *[f"cost_{b}" for b in ALLELES])
+    whole = depth.join(spent, (F.col("chr") == F.col("_chr")) & (F.col("position") == F.col("_position")), "left").na.fill(0.0, [f"cost_{b}" for b in ALLELES])
+    total = sum((F.col(f"cost_{b}") for b in ALLELES), F.lit(0.0))
 
-    def column(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        q = likelihoods(rows["base"], rows["q"], rows["reverse"])
-        pairs = [(j, k) for j in range(4) for k in range(j, 4)]
-        return pa.table({
-            "chr": [rows["chr"][0]] * 10, "position": [rows["position"][0]] * 10, "depth": [len(rows["base"])] * 10,
-            "genotype": [ALLELES[j] + ALLELES[k] for j, k in pairs], "phred": [float(q[j, k]) for j, k in pairs],
-        })
+    def phred(a: str, b: str):
+        if a == b:
+            return total - F.col(f"cost_{a}")
+        both = F.col(f"n_{a}") + F.col(f"n_{b}")
+        chance = log_factorial(both) - log_factorial(f"n_{a}") - log_factorial(f"n_{b}") - math.log(2) * both
+        return total - F.col(f"cost_{a}") - F.col(f"cost_{b}") - PHRED * chance
 
-    return pileup.select("chr", "position", "base", "q", "reverse").groupBy("chr", "position").applyInArrow(column, "chr string, position bigint, depth bigint, genotype string, phred double")
+    pairs = [(a, b) for i, a in enumerate(ALLELES) for b in ALLELES[i:]]
+    rows = F.array(*[F.struct(F.lit(a + b).alias("genotype"), F.greatest(phred(a, b), F.lit(0.0)).alias("phred")) for a, b in pairs])
+    return whole.select(*place, "depth", F.explode(rows).alias("g")).select(*place, "depth", "g.genotype", "g.phred")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import reads as RD
-from ..functions.regions import parse_region
+from ..functions.regions import parse_regions
 from ..functions.statistics import fisher_exact
 from ..operators import beta as B
 from ..operators import convert as C
@@ -222,7 +222,7 @@ def mate_evict(spark, d):
 
 @query
 def mate_evict_all(spark, d):
-    """mate_evict for names with any number of accepted reads; no SQL twin, as each is walked."""
+    """mate_evict for names with any number of accepted reads."""
     numbers = C.global_index(C.accepted_reads(D.alignments(spark, d)).select("ord", "qname", "chr"), "ord")
     return C.mate_meetings(numbers, 1000, 100)
 
@@ -232,11 +232,23 @@ def convert_evicting(spark, d):
     return C.convert(D.alignments(spark, d), D.raw_sites(spark, d), evict=True)
 
 
+@query
+def convert_evicting_far(spark, d):
+    """Eviction that matters: mates lie far apart (every 1000, age 100)."""
+    return C.convert(D.far_alignments(spark, d), D.raw_sites(spark, d), evict=True, every=1000, age=100)
+
+
+@query
+def mate_evict_far(spark, d):
+    """Every meeting of mates that lie far apart, and whether the first was given up before."""
+    numbers = C.global_index(C.accepted_reads(D.far_alignments(spark, d)).select("ord", "qname", "chr"), "ord")
+    return C.mate_meetings(numbers, 1000, 100)
+
+
 @query
 def region_parse(spark, d):
-    names = [f"chr{i}" for i in range(6)]
-    rows = [(t, *parse_region(t, names)[:3]) for t in ("chr1", "chr1:50", "chr1:50-100", "chr2:-50", "chr3:1,000-1,500", "chr3:1k-1.5K", "{chr4}:1e3-15e2")]
-    return spark.createDataFrame(rows, "region string, chr string, beg bigint, end bigint")
+    names = [f"chr{i}" for i in range(5)]
+    return D.region_strings(spark, d).select("id", "region", parse_regions(F.col("region"), names).alias("r")).select("id", "region", "r.*")
 
 
 @query
@@ -326,8 +338,8 @@ def aln_insertions(spark, d):
 
 @query
 def aln_mapq_cap(spark, d):
-    reads = D.alignments(spark, d).select("ord", "pos", "cigar", "seq", "qual").withColumn("reference", F.repeat(F.lit("CT"), 60))
-    return reads.select("ord", RD.cap_mapping_quality("pos", "cigar", "seq", "qual", "reference").alias("cap"))
+    reads = D.alignments(spark, d).select("ord", "cigar", "seq", "qual").withColumn("reference", F.repeat(F.lit("CT"), 60))
+    return RD.cap_mapping_quality(reads).select("ord", "cap")
 
 
 @query

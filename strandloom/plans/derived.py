@@ -67,6 +67,22 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def far_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments in another order: of every third name the second mates come some 1,400
+    reads later."""
+    moved = "(ord % 2 = 1 AND (ord div 2) % 3 = 0)"
+    return alignments(spark, sf_dir).withColumn("ord", F.expr(f"CASE WHEN {moved} THEN (ord + 1400) * 4 + 1 ELSE ord * 4 END"))
+
+
+def region_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and region from supplier, in all the ways to write one."""
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "concat('chr', s_suppkey % 5) AS c", "310 + s_suppkey % 677 AS a").selectExpr(
+        "id",
+        """CASE id % 6 WHEN 0 THEN c WHEN 1 THEN concat(c, ':', a) WHEN 2 THEN concat(c, ':', a, '-', a + 283) WHEN 3 THEN concat(c, ':-', a)
+             WHEN 4 THEN concat(c, ':7,', a, '-8,', a) ELSE concat('{', c, '}:', a, 'k-', a + 1, '.5K') END AS region""",
+    )
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, chr, pos, ref, alt from part."""
     return table(spark, sf_dir, "part").selectExpr(

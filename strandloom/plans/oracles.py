@@ -159,6 +159,98 @@ instances AS (
 )"""
 
 
+_FAR = """
+far AS (SELECT * EXCLUDE (ord), CASE WHEN ord % 2 = 1 AND (ord // 2) % 3 = 0 THEN (ord + 1400) * 4 + 1 ELSE ord * 4 END AS ord FROM aln)"""
+
+
+def _walked(rows: str) -> str:
+    """The reads of a name in turn: ``waits`` is the number of the read that waits after each."""
+    return f"""walk AS (
+  SELECT chr, qname, ord, rn, idx, CAST(0 AS BIGINT) AS pair, idx AS waits, CAST(NULL AS BIGINT) AS met, false AS broken FROM {rows} WHERE rn = 1
+  UNION ALL
+  SELECT n.chr, n.qname, n.ord, n.rn, n.idx, CASE WHEN w.waits + 101 > n.idx + 1 OR ((w.waits + 101 + 999) // 1000) * 1000 > n.idx + 1 THEN w.pair ELSE w.pair + 1 END,
+    CASE WHEN w.waits IS NOT NULL AND ((w.waits + 101 + 999) // 1000) * 1000 > n.idx + 1 THEN NULL ELSE n.idx END, w.waits,
+    w.waits IS NOT NULL AND ((w.waits + 101 + 999) // 1000) * 1000 <= n.idx + 1
+  FROM walk w JOIN {rows} n ON n.chr = w.chr AND n.qname = w.qname AND n.rn = w.rn + 1
+)"""
+
+
+def _evicting() -> str:
+    """Pairs by a buffer that gives up, every 1000 accepted reads, those that waited for 100."""
+    base = _paired("BS", "far").replace(_ALN, _ALN + "," + _FAR)
+    head, rest = base.split("pairs AS (", 1)
+    rest = rest.split("),\ngrouped AS", 1)[1]
+    counted = """counted AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS idx FROM accepted),
+turns AS (SELECT n.*, c.idx FROM (SELECT * EXCLUDE (rn), rn + 1 AS rn FROM numbered) n JOIN counted c ON c.ord = n.ord),"""
+    return f"WITH RECURSIVE {head}{counted}\n{_walked('turns')},\npairs AS (SELECT t.*, w.pair FROM turns t JOIN walk w ON w.ord = t.ord),\ngrouped AS{rest} {_COUNTED}"
+
+
+def _meetings(source: str = "far") -> str:
+    base = _bases(source=source).replace(_ALN, _ALN + "," + _FAR)
+    return f"""WITH RECURSIVE {base},
+counted AS (SELECT ord, chr, qname, row_number() OVER (ORDER BY ord) - 1 AS idx FROM accepted),
+turns AS (SELECT *, row_number() OVER (PARTITION BY chr, qname ORDER BY ord) AS rn FROM counted),
+{_walked('turns')}
+SELECT chr, qname, met AS i, idx AS j, broken FROM walk WHERE met IS NOT NULL"""
+
+
+_COVER = """
+u AS (
+  SELECT a.*, unnest(range(1, rlen + 1)) AS ix FROM aln a WHERE (flag & 3844) = 0
+),
+column_bases AS (
+  SELECT u.chr, u.pos + u.ix AS position, ord % 40 + 2 AS quality, ord % 2 = 1 AS reverse,
+    substr(seq, CAST(CASE WHEN ix <= m1 THEN clip + ix WHEN ix <= m1 + m2 THEN clip + ins + ix ELSE clip + ins + ix - del END AS BIGINT), 1) AS base
+  FROM u JOIN sites s ON s.chr = u.chr AND s.pos = u.pos + u.ix WHERE NOT (ix > m1 + m2 AND ix <= m1 + m2 + del)
+)"""
+
+
+def _likelihoods() -> str:
+    pairs = ", ".join(f"('{a}{b}', '{a}', '{b}')" for i, a in enumerate("ACGT") for b in "ACGT"[i:])
+    return f"""WITH {_SITES}, {_ALN}, {_COVER},
+c AS (SELECT chr, position, base, reverse, CAST(least(63, greatest(4, quality)) AS BIGINT) AS q, count(*) OVER (PARTITION BY chr, position) AS n FROM column_bases),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY chr, position, base ORDER BY q DESC, reverse DESC) - 1 AS k,
+    row_number() OVER (PARTITION BY chr, position, base, reverse ORDER BY q DESC) - 1 AS j FROM c WHERE base IN ('A', 'C', 'G', 'T')
+),
+pmf AS (
+  SELECT q, n, i, exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(pow(10, -q / 10)) + (n - i) * ln(1 - pow(10, -q / 10))) AS p
+  FROM (SELECT q, n, unnest(range(0, n + 1)) AS i FROM (SELECT DISTINCT q, n FROM r))
+),
+tails AS (SELECT q, n, i, sum(p) OVER (PARTITION BY q, n ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS tail FROM pmf),
+spent AS (
+  SELECT r.chr, r.position, r.base, count(*) AS m, sum((pow(0.83, j) * 0.97 + 0.03) * -10 * log10(b.tail / a.tail)) AS cost
+  FROM r JOIN tails a ON a.q = r.q AND a.n = r.n AND a.i = r.k JOIN tails b ON b.q = r.q AND b.n = r.n AND b.i = r.k + 1 GROUP BY 1, 2, 3
+),
+whole AS (SELECT c.chr, c.position, count(*) AS depth FROM c GROUP BY 1, 2),
+total AS (SELECT chr, position, sum(cost) AS cost FROM spent GROUP BY 1, 2),
+g AS (
+  SELECT w.chr, w.position, w.depth, v.genotype, v.x <> v.y AS het, coalesce(t.cost, 0) - coalesce(a.cost, 0) - CASE WHEN v.x <> v.y THEN coalesce(b.cost, 0) ELSE 0 END AS rest,
+    coalesce(a.m, 0) AS am, coalesce(b.m, 0) AS bm
+  FROM whole w CROSS JOIN (VALUES {pairs}) v(genotype, x, y) LEFT JOIN total t ON t.chr = w.chr AND t.position = w.position
+  LEFT JOIN spent a ON a.chr = w.chr AND a.position = w.position AND a.base = v.x LEFT JOIN spent b ON b.chr = w.chr AND b.position = w.position AND b.base = v.y
+)
+SELECT chr, position, depth, genotype, round(greatest(0.0, rest - CASE WHEN het THEN 4.343 * (lgamma(am + bm + 1.0) - lgamma(am + 1.0) - lgamma(bm + 1.0) - ln(2) * (am + bm)) ELSE 0 END), 4) AS phred FROM g"""
+
+
+_CAP = """
+reads AS (SELECT *, repeat('CT', 60) AS reference FROM aln),
+each AS (SELECT ord, qual, seq, reference, clip, m1, ins, m2, del, rlen, len, unnest(range(1, rlen + 1)) AS ix FROM reads),
+faced AS (
+  SELECT ord, ix, substr(reference, ix, 1) AS o, ix <= m1 + m2 OR ix > m1 + m2 + del AS aligned,
+    CASE WHEN ix <= m1 THEN clip + ix WHEN ix <= m1 + m2 THEN clip + ins + ix ELSE clip + ins + ix - del END AS y, seq, qual FROM each
+),
+scored AS (
+  SELECT ord, substr(seq, CAST(y AS BIGINT), 1) AS b, o, CASE WHEN qual = '*' THEN 255 ELSE ascii(substr(qual, CAST(y AS BIGINT), 1)) - 33 END AS s FROM faced WHERE aligned
+),
+met AS (
+  SELECT ord, count(*) FILTER (b <> 'N' AND o <> 'N' AND s >= 13) + count(*) AS n, count(*) FILTER (s >= 13 AND b <> o) AS m, coalesce(sum(least(s, 33)) FILTER (s >= 13 AND b <> o), 0) AS q FROM scored GROUP BY ord
+),
+clipped AS (
+  SELECT ord, sum(CASE WHEN qual = '*' THEN 255 ELSE ascii(substr(qual, CAST(i AS BIGINT), 1)) - 33 END) AS c FROM (SELECT ord, qual, unnest(range(1, clip + 1)) AS i FROM reads) GROUP BY ord
+),
+t AS (SELECT met.ord, q - 4.343 * CASE WHEN m > 0 THEN m * ln(n) - lgamma(m + 1.0) ELSE 0 END + c / 5.0 AS t FROM met JOIN clipped ON clipped.ord = met.ord)"""
+
 _COUNTED = 'SELECT chr, beg, "end", hap, count(*) AS cnt, strand FROM instances GROUP BY chr, beg, "end", hap, strand'
 
 
@@ -253,6 +345,28 @@ SELECT flag, array_to_string(list_filter([CASE WHEN (flag & 1) <> 0 THEN 'PAIRED
     "convert_evicting": f"WITH {_paired()} {_COUNTED}",
     "convert_paired_taps": f"WITH {_paired('TAPS')} {_COUNTED}",
     "convert_regions": f"WITH {_paired('BS', 'aln').replace('FROM aln WHERE (flag & 3844) = 0', 'FROM aln a WHERE (flag & 3844) = 0 AND EXISTS (SELECT 1 FROM bed b WHERE b.chr = a.chr AND a.pos + 1 <= b.' + chr(34) + 'end' + chr(34) + ' AND a.pos + a.len >= b.beg + 1)').replace('WITH ', '').replace('accepted AS', _BED.strip() + ', accepted AS', 1)} {_COUNTED}",
+    "convert_evicting_far": _evicting(),
+    "mate_evict_far": _meetings(),
+    "mate_evict_all": _meetings("aln"),
+    "genotype_likelihood": _likelihoods(),
+    "aln_mapq_cap": f"WITH {_ALN}, {_CAP} SELECT ord, CAST(CASE WHEN t > 40 THEN -1 ELSE floor(sqrt((40 - greatest(t, 0.0)) / 40) * 40 + 0.499) END AS INTEGER) AS cap FROM t",
+    "region_parse": """WITH s AS (SELECT s_suppkey AS id, 'chr' || CAST(s_suppkey % 5 AS VARCHAR) AS c, 310 + s_suppkey % 677 AS a FROM supplier)
+SELECT id, CASE id % 6 WHEN 0 THEN c WHEN 1 THEN c || ':' || a WHEN 2 THEN c || ':' || a || '-' || (a + 283) WHEN 3 THEN c || ':-' || a
+    WHEN 4 THEN c || ':7,' || a || '-8,' || a ELSE '{' || c || '}:' || a || 'k-' || (a + 1) || '.5K' END AS region, c AS chr,
+  CAST(CASE id % 6 WHEN 1 THEN a - 1 WHEN 2 THEN a - 1 WHEN 4 THEN 6999 + a WHEN 5 THEN 1000 * a - 1 ELSE 0 END AS BIGINT) AS beg,
+  CAST(CASE id % 6 WHEN 2 THEN a + 283 WHEN 3 THEN a WHEN 4 THEN 8000 + a WHEN 5 THEN 1000 * (a + 1) + 500 ELSE 9223372036854775807 END AS BIGINT) AS "end" FROM s""",
+    "fisher_exact_strands": f"""WITH {_sums("strand")},
+t AS (
+  SELECT chr, pos, sum(CASE WHEN strand = '+' THEN meth ELSE 0 END) AS a, sum(CASE WHEN strand = '+' THEN total - meth ELSE 0 END) AS b,
+    sum(CASE WHEN strand = '-' THEN meth ELSE 0 END) AS c, sum(CASE WHEN strand = '-' THEN total - meth ELSE 0 END) AS d FROM sums GROUP BY 1, 2
+),
+k AS (SELECT *, unnest(range(CAST(greatest(0, a - d) AS BIGINT), CAST(least(a + b, a + c) AS BIGINT) + 1)) AS k FROM t),
+p AS (
+  SELECT chr, pos, a, k, exp(lgamma(a + b + 1.0) - lgamma(k + 1.0) - lgamma(a + b - k + 1.0) + lgamma(c + d + 1.0) - lgamma(a + c - k + 1.0) - lgamma(d - a + k + 1.0)
+    - lgamma(a + b + c + d + 1.0) + lgamma(a + c + 1.0) + lgamma(b + d + 1.0)) AS p FROM k
+),
+own AS (SELECT chr, pos, p AS own FROM p WHERE k = a)
+SELECT p.chr, p.pos, round(least(1.0, sum(p.p) FILTER (p.p <= own * (1 + 1e-8))), 6) AS p_two FROM p JOIN own ON own.chr = p.chr AND own.pos = p.pos GROUP BY 1, 2""",
     "mate_evict": f"""WITH {_bases()}, idx AS (SELECT chr, qname, row_number() OVER (ORDER BY ord) - 1 AS idx FROM accepted),
 two AS (SELECT chr, qname, min(idx) AS i, max(idx) AS j FROM idx GROUP BY 1, 2 HAVING count(*) = 2)
 SELECT chr, qname, i, j, ((i + 101 + 999) // 1000) * 1000 <= j + 1 AS broken FROM two""",

@@ -140,26 +140,79 @@ def test_special_functions():
     assert math.isclose(ST._beta(2, 3, 0.4), sum(math.comb(4, k) * 0.4**k * 0.6 ** (4 - k) for k in range(2, 5)))
 
 
-def test_likelihood_model():
-    from strandloom.operators.likelihood import _error_steps, likelihoods
+def test_special_functions_at_zero():
+    assert ST._gamma_p(0.0, 2.0) == 1.0 and ST._gamma_p(0.0, 0.0) == 0.0
+
+
+def test_log_factorial(spark):
+    got = spark.range(0, 400).select("id", ST.log_factorial("id").alias("f")).collect()
+    assert all(math.isclose(r.f, math.lgamma(r.id + 1), rel_tol=1e-13, abs_tol=1e-13) for r in got)
+
+
+def likelihoods(spark, bases, quals, reverse):
+    from strandloom.operators.likelihood import genotype_likelihoods
+
+    rows = [("c", 1, b, q, r) for b, q, r in zip(bases, quals, reverse)]
+    found = genotype_likelihoods(spark.createDataFrame(rows, "chr string, position bigint, base string, q int, reverse boolean")).collect()
+    return {r.genotype: r.phred for r in found}
+
+
+def test_likelihood_model(spark):
+    from strandloom.operators.likelihood import error_costs
 
     # the steps are ratios of binomial tails
-    steps = _error_steps(10, 4)
+    steps = error_costs(10, 4)
     tail = [sum(math.comb(4, i) * 0.1**i * 0.9 ** (4 - i) for i in range(k, 5)) for k in range(6)]
     assert all(math.isclose(steps[k], -10 * math.log10(tail[k + 1] / tail[k]), rel_tol=1e-9) for k in range(4))
-    same = likelihoods(["A"] * 8, [30] * 8, [False, True] * 4)
-    assert same[0, 0] == 0 and same[1, 1] > same[0, 1] > 0
-    mixed = likelihoods(["A", "C"] * 5, [30] * 10, [False] * 10)
-    assert mixed[0, 1] == mixed.min() and not likelihoods([], [], []).any()
+    same = likelihoods(spark, ["A"] * 8, [30] * 8, [False, True] * 4)
+    assert same["AA"] == 0 and same["CC"] > same["AC"] > 0
+    mixed = likelihoods(spark, ["A", "C"] * 5, [30] * 10, [False] * 10)
+    assert mixed["AC"] == min(mixed.values()) and not likelihoods(spark, [], [], [])
+    assert set(likelihoods(spark, ["N", "N"], [30, 2], [True, False]).values()) == {0.0}
+
+
+def test_likelihood_of_a_column_by_hand(spark):
+    """Base by base: the best quality first, at one quality the reverse strand first."""
+    rows = [("A", 40, False), ("A", 40, True), ("A", 70, False), ("C", 20, True), ("N", 30, False), ("A", 2, True), ("T", 25, False), ("A", 40, False)]
+    clipped = [(b, min(63, max(4, q)), r) for b, q, r in rows]
+    tail = lambda q, k: sum(math.comb(8, i) * (e := 10 ** (-q / 10)) ** i * (1 - e) ** (8 - i) for i in range(k, 9))
+    cost = {}
+    for b in "ACGT":
+        own = sorted([x for x in clipped if x[0] == b], key=lambda x: (-x[1], not x[2]))
+        strand = {True: 0, False: 0}
+        cost[b] = 0.0
+        for k, (_, q, r) in enumerate(own):
+            cost[b] += (0.83 ** strand[r] * 0.97 + 0.03) * -10 * math.log10(tail(q, k + 1) / tail(q, k))
+            strand[r] += 1
+    got = likelihoods(spark, *zip(*rows))
+    assert math.isclose(got["AA"], cost["C"] + cost["T"], rel_tol=1e-9) and math.isclose(got["GG"], sum(cost.values()), rel_tol=1e-9)
+    assert math.isclose(got["AC"], cost["T"] - 4.343 * math.log(math.comb(6, 1) / 2**6), rel_tol=1e-9)
+
+
+def test_capped_quality(spark):
+    from strandloom.functions.reads import cap_mapping_quality
+
+    cases = [
+        ("8M", "ACGTACGT", "IIIIIIII", "ACGTACGT"), ("8M", "ACGTACGT", "IIIIIIII", "ACGAACGT"), ("8M", "AAAAAAAA", "IIIIIIII", "CCCCCCCC"), ("8M", "AAAAAAAA", "!!!!!!!!", "CCCCCCCC"),
+        ("2S4M2H", "AAACGT", "IIIIII", "ACGT"), ("4M4M", "ACGTAAAA", "IIIIIIII", "ACGTCC"), ("*", "ACGT", "IIII", "ACGT"), ("4M2D4M", "ACGTACGT", "*", "ACGTNN=C=T"), ("2M9D4S", "ACGTAC", "IIIIII", "ACGT"), ("2M9N4M4S", "ACGTACGTAC", "I" * 10, "ACGT"),
+    ]
+    table = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "ord bigint, cigar string, seq string, qual string, reference string")
+    got = [r.cap for r in cap_mapping_quality(table).orderBy("ord").collect()]
+    assert got[0] == 40 and 0 < got[1] < 40 and got[2] == -1 and got[3] == 40
+
+    def cap(n, wrong, clipped):
+        t = sum(wrong) - 4.343 * (len(wrong) * math.log(n) - math.lgamma(len(wrong) + 1)) + clipped / 5
+        return -1 if t > 40 else int(math.sqrt((40 - max(t, 0)) / 40) * 40 + 0.499)
+
+    # lengths of runs that end within the reference and their bases count; of others the bases alone
+    assert got[4:] == [cap(8, [], 106), cap(10, [33, 33], 0), 40, cap(14, [33, 33], 0), cap(4, [], 0), cap(4, [], 0)]
 
 
-def test_capped_quality():
-    from strandloom.functions.reads import capped_quality
+def test_columns_of_regions(spark):
+    from strandloom.functions.regions import parse_regions
 
-    assert capped_quality(0, "8M", "ACGTACGT", "IIIIIIII", "ACGTACGT") == 40
-    low = capped_quality(0, "8M", "ACGTACGT", "IIIIIIII", "ACGAACGT")
-    assert 0 < low < 40 and capped_quality(0, "8M", "AAAAAAAA", "IIIIIIII", "CCCCCCCC") == -1
-    assert capped_quality(0, "8M", "AAAAAAAA", "!!!!!!!!", "CCCCCCCC") == 40
+    table = spark.createDataFrame([("c:5-9",), (None,), ("{c}",), ("c:3",)], "t string")
+    assert [tuple(r.r) for r in table.select(parse_regions(F.col("t"), ["c"]).alias("r")).collect()] == [("c", 4, 9), (None, None, None), ("c", 0, POS_MAX), ("c", 2, POS_MAX)]
 
 
 def test_insertions(spark):
