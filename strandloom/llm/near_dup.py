@@ -54,7 +54,10 @@ SYMBOLS = CHUNKS * CHUNK
 CELLS = 1 << 22
 #: Texts of one prefix shingle whose pairs are listed; more are compared in blocks.
 PAIRWISE = 48
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Within blocks, the texts of a shingle up to which their pairs are listed, and the columns of
+#: a matrix product for the others.
+FEW, TILE = 8, 4096
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -305,17 +308,42 @@ def _alike(table: pa.Table) -> pa.Table:
     chunks = table["set"].chunks  # read where they lie, without a copy
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in chunks for x in c]
     size = np.asarray([len(x) for x in sets])
-    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
-    shared = seen[column] > 1
-    rank = (np.cumsum(seen > 1) - 1).astype(np.int32)
-    owner, column = owner[shared], rank[column[shared]]
-    both = np.zeros((len(a), len(b)), np.float32)
-    for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, 8192):
-        some = (column >= lo) & (column < lo + 8192)
-        has = np.zeros((len(sets), 8192), np.float32)
-        has[owner[some], column[some] - lo] = 1
-        both += has[a] @ has[b].T
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    begins = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    seen = np.diff(np.append(begins, len(every)))  # texts of each shingle
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+    del every, order
+    seen_at = np.repeat(seen, seen)
+    # shingles of few texts: their pairs, one distance in the order after another
+    n = len(sets)
+    both = np.zeros(n * n, np.float32)
+    few = np.flatnonzero((seen_at > 1) & (seen_at <= FEW))
+    column = np.repeat(np.arange(len(seen), dtype=np.int32), seen)
+    for step in range(1, FEW):
+        at = few[few + step < len(owner)]
+        at = at[column[at] == column[at + step]]
+        if len(at):
+            both += np.bincount(owner[at].astype(np.int64) * n + owner[at + step], minlength=n * n)
+    both = both.reshape(n, n)
+    both += both.T
+    both = both[np.ix_(a, b)]
+    # the others: a product of incidence matrices, some columns at a time
+    at = np.flatnonzero(seen_at > FEW)
+    owner, column = owner[at], (np.cumsum(seen > FEW) - 1).astype(np.int32)[column[at]]
+    row_a, row_b = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    row_a[a], row_b[b] = np.arange(len(a)), np.arange(len(b))
+    last = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, last, TILE):
+        x, y = np.searchsorted(column, (lo, lo + TILE))
+        half = []
+        for row, m in ((row_a, len(a)), (row_b, len(b))):
+            has = np.zeros((m, min(TILE, last - lo)), np.float32)
+            on = row[owner[x:y]]
+            has[on[on >= 0], column[x:y][on >= 0] - lo] = 1
+            half.append(has)
+        both += half[0] @ half[1].T
     ok = (100 * both >= PERCENT * (size[a][:, None] + size[b][None, :] - both)) & (parts[a][:, None] != parts[b][None, :])
     i, j = np.nonzero(ok)
     low, high = np.minimum(parts[a[i]], parts[b[j]]), np.maximum(parts[a[i]], parts[b[j]])

@@ -125,6 +125,25 @@ def test_prefix_filter_loses_no_pair():
             assert set(probe.tolist()) & set(key[indexed].tolist()) or (rarity[(big & np.uint64(near_dup.CELLS - 1)).astype(int)] == 1).any()
 
 
+def test_blocks_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for trial in range(60):
+        n = int(rng.integers(1, 40))
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 60)), dtype=np.uint64))
+        sets = []
+        for _ in range(n):
+            keep = base[rng.random(len(base)) < rng.choice([0.85, 0.95, 0.5])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(0, 6)), dtype=np.uint64), rng.choice(base, 1)])))
+        second = int(trial % 3 > 0)  # two blocks, or one with itself
+        block, part = rng.integers(0, second + 1, n), rng.integers(0, n, n)
+        table = pa.table({"id": np.arange(n), "component": part, "block": block, "first": np.zeros(n, int), "second": np.full(n, second), "set": pa.array([x.tobytes() for x in sets], pa.binary())})
+        links = near_dup._alike(table).to_pydict()
+        pair = lambda i, j: tuple(sorted((part[i], part[j])))
+        assert all(near_dup.similar(sets[i], sets[j]) for i, j in zip(links["u"], links["v"]))
+        want = {pair(i, j) for i in range(n) for j in range(n) if block[i] == 0 and block[j] == second and part[i] != part[j] and near_dup.similar(sets[i], sets[j])}
+        assert {pair(i, j) for i, j in zip(links["u"], links["v"])} == want
+
+
 def test_pigeonhole_guarantee():
     rng = np.random.default_rng(9)
     limit = near_dup.ERRORS * near_dup.CHUNKS + near_dup.CHUNKS - 1
