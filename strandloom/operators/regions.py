@@ -18,10 +18,12 @@ def _target(regions: DataFrame) -> DataFrame:
 
 
 def overlap_semi(table: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
-    """Rows of ``table`` (closed beg, end) that overlap any region, each once."""
-    tagged = table.withColumn("_row", F.monotonically_increasing_id())
-    hit = overlapping(tagged, _target(regions), "chr", "beg", "end", "_t_chr", "_t_beg", "_t_end", width).select(F.col("_row").alias("_hit")).distinct()
-    return tagged.join(hit, F.col("_row") == F.col("_hit"), "left_semi").drop("_row")
+    """Rows of ``table`` (closed beg, end) that overlap any region, each once.  What overlaps is
+    settled by place, so equal rows share their fate and no row needs a number."""
+    spans = table.select("chr", "beg", "end").distinct()
+    keys = ("chr", "beg", "end")
+    hit = overlapping(spans, _target(regions), "chr", "beg", "end", "_t_chr", "_t_beg", "_t_end", width).select(*[F.col(c).alias(f"_h_{c}") for c in keys]).distinct()
+    return table.join(hit, [F.col(c) == F.col(f"_h_{c}") for c in keys], "left_semi")
 
 
 def missed_regions(regions: DataFrame, table: DataFrame, width: int = BIN) -> DataFrame:

@@ -112,10 +112,10 @@ def targets(table: DataFrame, regions: DataFrame, exclude: bool = False) -> Data
     """Records (chr, pos) that lie in any region (closed), or in none."""
     from .interval_join import point_in_interval
 
-    tagged = table.withColumn("_row", F.monotonically_increasing_id())
+    places = table.select(F.col("chr").alias("_p_chr"), F.col("pos").alias("_p_pos")).distinct()
     wanted = regions.select(F.col("chr").alias("_t_chr"), F.col("beg").alias("_t_beg"), F.col("end").alias("_t_end"))
-    hit = point_in_interval(wanted, tagged.select("chr", "pos", "_row"), "_t_chr", F.col("_t_beg"), F.col("_t_end"), "chr", "pos").select(F.col("_row").alias("_hit")).distinct()
-    return tagged.join(hit, F.col("_row") == F.col("_hit"), "left_anti" if exclude else "left_semi").drop("_row")
+    hit = point_in_interval(wanted, places, "_t_chr", F.col("_t_beg"), F.col("_t_end"), "_p_chr", "_p_pos").select("_p_chr", "_p_pos").distinct()
+    return table.join(hit, (F.col("chr") == F.col("_p_chr")) & (F.col("pos") == F.col("_p_pos")), "left_anti" if exclude else "left_semi")
 
 
 def add_filter(filters: Column, name: str) -> Column:

@@ -20,6 +20,8 @@ from ..operators import regions as R
 from ..operators import sites as S
 from ..operators import summary as M
 from ..operators import variants as V
+from ..sources import bam, sequences
+from ..sources.scratch import scratch_path
 from . import derived as D
 from .oracles import ORACLES
 
@@ -383,6 +385,26 @@ def text_utilities(spark, d):
     return D.table(spark, d, "part").select("p_partkey", F.md5(name).alias("md5"), F.split(name, " ")[0].alias("word"), RD.percent_decode(F.replace(name, F.lit(" "), F.lit("%20"))).alias("decoded"), RD.base64_decode(F.base64(name.cast("binary"))).alias("again"))
 
 
+@query
+def bam_folder_reads(spark, d):
+    """The alignments written as a folder of BAM files and read back in small splits."""
+    path = scratch_path(spark, "bam")
+    lengths = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:chr{i}\tLN:1000000\n" for i in range(5))
+    empty = F.expr("cast(map() as map<string,string>)")
+    mate = {"mchr": F.lit("*"), "mpos": F.lit(-1).cast("bigint"), "tlen": F.lit(0).cast("bigint"), "aux": empty}
+    bam.write_bam(D.alignments(spark, d).withColumns(mate), path, lengths)
+    return bam.read_bam(spark, path, split_bytes=1 << 20).select("qname", "flag", "chr", "pos", "mapq", "cigar", "seq", "qual")
+
+
+@query
+def fastq_records(spark, d):
+    """The alignments' bases written as FASTQ and read back."""
+    path = scratch_path(spark, "fastq")
+    qual = F.when(F.col("qual") == "*", F.repeat(F.lit("I"), F.length("seq"))).otherwise(F.col("qual"))
+    D.alignments(spark, d).select(F.concat_ws("\n", F.concat(F.lit("@"), "ord"), "seq", F.lit("+"), qual).alias("value")).write.text(path)
+    return sequences.read_fastq(spark, path).select("name", "seq", "qual")
+
+
 @query
 def streamed_event_haplotypes(spark, d):
     """The stream's counts over the events table, run until it has read all of it."""

@@ -18,6 +18,10 @@ from ..operators import summary as M
 from ..sources import bam, sam, text
 
 
+#: Bases that a read may have more than it spans on the reference.
+READ_SPAN = 1 << 20
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandloom", description="DNA-methylation haplotypes on Spark")
     sub = top.add_subparsers(dest="command", required=True)
@@ -55,19 +59,31 @@ def _one_region(spark: SparkSession, name: str, beg: int, end: int) -> DataFrame
     return spark.createDataFrame([(-1, name, beg, end)], "ord bigint, chr string, beg bigint, end bigint")
 
 
+def _reads(spark: SparkSession, path: str, binary: bool, region: tuple[str, int, int] | None) -> DataFrame:
+    """Alignments; of an indexed file those that may meet the region: a read meets it by its bases
+    here, and by its reference span in the index, so the region is read with room before it."""
+    if not binary:
+        return sam.read_sam(spark, path)
+    return bam.read_bam(spark, path, region and (region[0], max(0, region[1] - READ_SPAN), region[2]))
+
+
 def run(spark: SparkSession, argv: list[str]) -> None:
     a = _parser().parse_args(argv)
     if a.command == "convert":
         if a.r and a.b:
             raise ValueError("give -r or -b, not both")
-        reads = bam.read_bam(spark, a.i) if a.i.endswith(".bam") else sam.read_sam(spark, a.i)
-        regions = None
+        binary = a.i.endswith(".bam")
+        regions = region = None
         if a.r:
-            names = [r["chr"] for r in reads.select("chr").distinct().limit(100_000).collect()]
+            # the sequences that the header names
+            head = None if binary else sam.read_header(spark, a.i).where("type = 'SQ'").select(F.element_at("tags", "SN").alias("name"))
+            names = [n for n, _ in bam.read_header(a.i)[1]] if binary else [r["name"] for r in head.collect()]
             name, beg, end, _ = parse_region(a.r, names)
+            region = (name, beg, min(end, 1 << 40))
             regions = _one_region(spark, name, beg + 1, end)
         elif a.b:
             regions = R.bed_to_closed(text.read_bed(spark, a.b))
+        reads = _reads(spark, a.i, binary, region)
         text.write_haplotypes(C.convert(reads, text.read_sites(spark, a.c), regions, not a.n, a.m), a.o)
     elif a.command == "merge":
         if len(a.i) < 2:

@@ -397,6 +397,8 @@ r AS (SELECT chr, pos, ref, alt, type, row_number() OVER (PARTITION BY chr, pos,
 SELECT coalesce(l.chr, r.chr) AS chr, coalesce(l.pos, r.pos) AS pos, l.ref AS l_ref, l.alt AS l_alt, r.ref AS r_ref, r.alt AS r_alt
 FROM l FULL OUTER JOIN r ON l.chr = r.chr AND l.pos = r.pos AND l.type = r.type AND l.k = r.k""",
     "streamed_event_haplotypes": "SELECT date_trunc('hour', ts) AS window_start, event_type AS chr, CAST(count(*) AS BIGINT) AS cnt, CAST(sum(CASE WHEN value >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS meth FROM events GROUP BY 1, 2",
+    "bam_folder_reads": f"WITH {_ALN} SELECT qname, flag, chr, pos, CAST(ord // 2 % 60 AS INTEGER) AS mapq, cigar, seq, qual FROM aln",
+    "fastq_records": f"WITH {_ALN} SELECT CAST(ord AS VARCHAR) AS name, seq, CASE WHEN qual = '*' THEN repeat('I', length(seq)) ELSE qual END AS qual FROM aln",
     "aln_insertions": f"WITH {_ALN} SELECT ord, pos + m1 AS position, substr(seq, clip + m1 + 1, ins) AS bases FROM aln",
     "variant_remove_alleles": """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'C,T' ELSE 'C,G,T' END AS alts,
   array_to_string([p_partkey + i FOR i IN CASE WHEN p_partkey % 2 = 0 THEN [0, 2] ELSE [0, 1, 2] END], ',') AS a,

@@ -38,9 +38,8 @@ def block_size(head: bytes) -> int:
     return 0
 
 
-def blocks(stream) -> Iterator[tuple[int, bytes]]:
-    """(file offset, content) of each block."""
-    at = 0
+def blocks(stream, at: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(file offset, content) of each block of a stream that stands at offset ``at``."""
     while head := stream.read(18):
         size = block_size(head)
         if not size:
@@ -54,6 +53,18 @@ def blocks(stream) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
+def next_block(raw: bytes, least: int = 0) -> int:
+    """The first place from ``least`` on where a block begins, and another (or nothing) behind
+    it; -1 if there is none."""
+    at = raw.find(b"\x1f\x8b\x08\x04", least)
+    while at >= 0:
+        size = block_size(raw[at : at + 64])
+        if size and (at + size >= len(raw) or raw[at + size : at + size + 4] == b"\x1f\x8b\x08\x04"[: len(raw) - at - size]):
+            return at
+        at = raw.find(b"\x1f\x8b\x08\x04", at + 1)
+    return -1
+
+
 def read_range(stream, offset: int, size: int) -> bytes:
     """Bytes [offset, offset + size) of the content."""
     out, place = [], 0

@@ -5,32 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, offset and seq of every line.
+#: Lines of a file that stand in one window.
+STRETCH = 1 << 16
 
-    Lines are numbered by file place; a line belongs to the last header before it, which is
-    found by running maxima within file splits and the splits' own maxima.
+
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """name, offset and seq of every line of one file or many.
+
+    A line belongs to the last header before it in its file, which is found by running maxima
+    within stretches of lines and over the stretches' own maxima; offsets likewise by sums.
+    """
+    lines = numbered_lines(spark, path).where("value <> ''").withColumn("k", F.floor(F.col("n") / STRETCH))
+    header = F.col("value").startswith(">")
+    inner = lines.withColumn("h", F.max(F.when(header, F.col("n"))).over(Window.partitionBy("file", "k").orderBy("n")))
+    tops = inner.groupBy("file", "k").agg(F.max("h").alias("top"))
+    earlier = Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(F.col("file").alias("_file"), F.col("k").alias("_k"), F.max("top").over(earlier).alias("before"))
+    owned = inner.join(carried, (F.col("file") == F.col("_file")) & (F.col("k") == F.col("_k"))).select("file", "k", "n", "value", F.coalesce("h", "before").alias("h"))
+    names = lines.where(header).select(F.col("file").alias("_file"), F.col("n").alias("_n"), F.regexp_extract("value", r"^>(\S*)", 1).alias("name"))
+    body = owned.where(~header).select("file", "k", "h", "n", F.upper(F.trim("value")).alias("seq"))
+    within = Window.partitionBy("file", "h", "k").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("file", "h").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    sums = body.groupBy("file", "h", "k").agg(F.sum(F.length("seq")).alias("size"))
+    bases = sums.select(F.col("file").alias("_b_file"), F.col("h").alias("_b_h"), F.col("k").alias("_b_k"), F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("base"))
+    placed = body.withColumn("offset", F.coalesce(F.sum(F.length("seq")).over(within), F.lit(0)))
+    placed = placed.join(bases, (F.col("file") == F.col("_b_file")) & (F.col("h") == F.col("_b_h")) & (F.col("k") == F.col("_b_k")))
+    met = placed.join(names, (F.col("file") == F.col("_file")) & (F.col("h") == F.col("_n")))
+    return met.select("name", (F.col("offset") + F.col("base")).alias("offset"), "seq")
+
+
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, ord (the record's number in its file), name, seq and qual of four-line records.
+
+    A record that is cut short, does not begin with @ and + or has qualities of another length
+    than its bases is an error; blank lines at the end are ignored.
     """
-    lines = spark.read.text(path).withColumns({"n": F.monotonically_increasing_id(), "split": F.spark_partition_id()}).where("value <> ''")
-    head = F.when(F.col("value").startswith(">"), F.col("n"))
-    inner = lines.withColumn("h", F.max(head).over(Window.partitionBy("split").orderBy("n")))
-    carried = inner.groupBy("split").agg(F.max("h").alias("top")).withColumn("before", F.max("top").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)))
-    owned = inner.join(F.broadcast(carried.select(F.col("split").alias("_s"), "before")), F.col("split") == F.col("_s")).withColumn("h", F.coalesce("h", "before"))
-    names = lines.where(F.col("value").startswith(">")).select(F.col("n").alias("_n"), F.regexp_extract("value", r"^>(\S*)", 1).alias("name"))
-    body = owned.where(~F.col("value").startswith(">")).select("h", "n", F.upper(F.trim("value")).alias("seq"))
-    order = Window.partitionBy("h").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = body.withColumn("offset", F.coalesce(F.sum(F.length("seq")).over(order), F.lit(0)))
-    return placed.join(names, F.col("h") == F.col("_n")).select("name", "offset", "seq")
-
-
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq and qual of four-line records."""
-    lines = spark.read.text(path, wholetext=False).withColumn("n", F.monotonically_increasing_id())
-    numbered = lines.withColumn("i", F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("n")) - 1)
-    grouped = numbered.groupBy(F.spark_partition_id().alias("p"), F.floor(F.col("i") / 4).alias("r")).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("l"))
-    at = lambda k: F.col("l")[k]["value"]
-    return grouped.select(F.regexp_extract(at(0), r"^@(\S*)", 1).alias("name"), at(1).alias("seq"), at(3).alias("qual"))
+    lines = numbered_lines(spark, path)
+    line = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(f"l{k}")
+    grouped = lines.groupBy("file", F.floor(F.col("n") / 4).alias("ord")).agg(*[line(k) for k in range(4)])
+    some = grouped.where("coalesce(l0, '') <> '' OR coalesce(l1, '') <> '' OR coalesce(l2, '') <> '' OR coalesce(l3, '') <> ''")
+    whole = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
+    name = F.when(F.coalesce(whole, F.lit(False)), F.regexp_extract("l0", r"^@(\S*)", 1)).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.coalesce("l0", F.lit("")))))
+    return some.select("file", "ord", name.alias("name"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:

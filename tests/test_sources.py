@@ -1,5 +1,6 @@
 import gzip
 import io
+import random
 
 import pytest
 
@@ -74,6 +75,101 @@ def test_bam_round_trip_and_pushdown(spark, tmp_path):
     assert [r.qname for r in got.where("chr = 'chr1' and pos > 100").collect()] == ["r1"]
 
 
+def made_reads(rng, n, names=("chr1", "chr2", "chr3")):
+    rows, at = [], 0
+    for i in range(n):
+        if i % (n // 3 + 1) == 0:
+            at = 0
+        at += rng.randint(0, 900)
+        size = rng.choice([0, 5, 80, 150, 150, 4000])
+        mapped = rng.random() < 0.97
+        cigar = "*" if not mapped or not size else rng.choice([f"{size}M", f"2S{size - 2}M", f"{size - 3}M{rng.randint(1, 40000)}N3M"]) if size > 4 else f"{size}M"
+        rows.append({
+            "ord": i, "qname": f"r{i}" + "x" * rng.randint(0, 200), "flag": 0 if mapped else 4, "chr": names[min(2, i // (n // 3 + 1))], "pos": at, "mapq": 30, "cigar": cigar, "mchr": "*", "mpos": -1, "tlen": 0,
+            "seq": "".join(rng.choices("ACGT", k=size)) or "*", "qual": "I" * size or "*", "aux": {"XM": "Z:" + "z" * rng.randint(0, 30), "NM": f"i:{i % 9}", "ZB": "B:s,1,-2"},
+        })
+    return rows
+
+
+BAM_REFS = [("chr1", 1 << 24), ("chr2", 1 << 24), ("chr3", 1 << 24)]
+BAM_HEAD = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in BAM_REFS)
+BAM_COLUMNS = ["qname", "flag", "chr", "pos", "mapq", "cigar", "mchr", "mpos", "tlen", "seq", "qual"]
+
+
+def bam_rows(frame):
+    return [(*(r[c] for c in BAM_COLUMNS), tuple(sorted(r.aux.items()))) for r in frame.orderBy("ord").collect()]
+
+
+def want_rows(rows):
+    return [(*(r[c] for c in BAM_COLUMNS), tuple(sorted(r["aux"].items()))) for r in rows]
+
+
+def test_bam_in_splits(spark, tmp_path):
+    rng = random.Random(4)
+    rows = made_reads(rng, 1500)
+    path = str(tmp_path / "a.bam")
+    (tmp_path / "a.bam").write_bytes(bam.encode(rows, BAM_REFS, BAM_HEAD))
+    whole = want_rows(rows)
+    size = (tmp_path / "a.bam").stat().st_size
+    for split in (1 << 26, size // 2, size // 7, 30_000, 5_000):
+        table = bam.read_bam(spark, path, split_bytes=split)
+        assert table.rdd.getNumPartitions() == -(-size // split) and bam_rows(table) == whole
+        assert table.select("ord").distinct().count() == len(rows)
+
+
+def test_bam_folder_and_default_session(spark, tmp_path):
+    from strandloom.operators.convert import select_reads
+
+    rng = random.Random(5)
+    both = [made_reads(rng, 50), made_reads(rng, 50)]
+    for name, rows in zip("ba", both):
+        (tmp_path / f"{name}.bam").write_bytes(bam.encode(rows, BAM_REFS, BAM_HEAD))
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    table = bam.read_bam(spark, str(tmp_path))
+    assert bam_rows(table) == want_rows(both[1] + both[0]) and table.select("ord").distinct().count() == 100
+    every = spark.createDataFrame([(n, 1, 1 << 30) for n, _ in BAM_REFS], "chr string, beg bigint, end bigint")
+    assert select_reads(table, every).count() == 100
+
+
+def test_bam_index_and_regions(spark, tmp_path):
+    rng = random.Random(6)
+    rows = made_reads(rng, 1500)
+    path = str(tmp_path / "a.bam")
+    (tmp_path / "a.bam").write_bytes(bam.encode(rows, BAM_REFS, BAM_HEAD))
+    over = lambda r, c, b, e: r["chr"] == c and r["pos"] < e and r["pos"] + max(1, bam._span(r["cigar"])) > b
+    regions = [("chr1", 0, 1 << 24), ("chr2", 100_000, 101_000), ("chr2", 16_384, 16_385), ("chr3", 90_000, 200_000), ("chr3", 1 << 23, 1 << 24), ("chr9", 0, 10)]
+    for indexed in (False, True):
+        if indexed:
+            bam.index_bam(spark, path, split_bytes=40_000)
+        for region in regions:
+            got = bam.read_bam(spark, path, region, split_bytes=60_000)
+            assert bam_rows(got) == want_rows([r for r in rows if over(r, *region)]), region
+    # a region reads the chunks that may hold it, not the file
+    reader = bam.BamReader({"path": path, "chr": "chr2", "beg": "100000", "end": "101000"})
+    size = (tmp_path / "a.bam").stat().st_size
+    assert 0 < sum((p.hi >> 16) - (p.lo >> 16) for p in reader.partitions()) < size / 4
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert bam_rows(bam.read_bam(spark, path).where("chr = 'chr2' AND pos >= 50000 AND pos < 90000")) == want_rows([r for r in rows if r["chr"] == "chr2" and 50_000 <= r["pos"] < 90_000])
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(Exception):
+        (tmp_path / "u.bam").write_bytes(bam.encode(rows[::-1], BAM_REFS, BAM_HEAD))
+        bam.index_bam(spark, str(tmp_path / "u.bam"))
+
+
+def test_bam_writer(spark, tmp_path):
+    rows = made_reads(random.Random(7), 300)
+    (tmp_path / "a.bam").write_bytes(bam.encode(rows, BAM_REFS, BAM_HEAD))
+    table = bam.read_bam(spark, str(tmp_path / "a.bam"), split_bytes=30_000)
+    bam.write_bam(table.repartitionByRange(4, "ord").sortWithinPartitions("ord"), str(tmp_path / "out"), BAM_HEAD)
+    parts = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert len(parts) > 1 and all(p.endswith(".bam") for p in parts)
+    assert bam_rows(bam.read_bam(spark, str(tmp_path / "out"))) == want_rows(rows)
+    text, refs, _ = bam.read_header(str(tmp_path / "out" / parts[0]))
+    assert text == BAM_HEAD and refs == BAM_REFS
+    bam.write_bam(table.limit(0), str(tmp_path / "none"), BAM_HEAD)
+    assert bam.read_bam(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_vcf(spark, tmp_path):
     (tmp_path / "a.vcf").write_text('##fileformat=VCFv4.2\n##INFO=<ID=DP,Number=1,Type=Integer,Description="x">\n##INFO=<ID=AC,Number=A,Type=Integer,Description="x">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n1\t10\t.\tA\tC,G\t30\tPASS\tDP=5;AC=1,2;DB\tGT:DP\t0/1:3\t1/2\n')
     head = vcf.read_vcf_header(spark, str(tmp_path / "a.vcf"))
@@ -91,7 +187,56 @@ def test_fasta_and_fastq(spark, tmp_path):
     regions = spark.createDataFrame([(0, "one", 2, 6), (1, "two", 1, 99)], "ord bigint, chr string, beg bigint, end bigint")
     assert {r.ord: r.seq for r in sequences.fetch(chunks, regions).collect()} == {0: "GTAC", 1: "TTT"}
     (tmp_path / "a.fq").write_text("@r1 z\nAC\n+\nII\n@r2\nGT\n+\nJJ\n")
-    assert sorted(map(tuple, sequences.read_fastq(spark, str(tmp_path / "a.fq")).collect())) == [("r1", "AC", "II"), ("r2", "GT", "JJ")]
+    records = sequences.read_fastq(spark, str(tmp_path / "a.fq")).select("name", "seq", "qual")
+    assert sorted(map(tuple, records.collect())) == [("r1", "AC", "II"), ("r2", "GT", "JJ")]
+
+
+def test_fastq_over_splits_and_files(spark, tmp_path):
+    rng = random.Random(2)
+    want = []
+    for f in range(3):
+        with open(tmp_path / f"{f}.fq", "w") as out:
+            for i in range(400):
+                n = rng.randint(0, 60)
+                seq, qual = "".join(rng.choices("ACGTN", k=n)), "".join(rng.choices("@+I#>", k=n))
+                want.append((f"r{f}.{i}", seq, qual))
+                out.write(f"@r{f}.{i} more\n{seq}\n+\n{qual}\n")
+            out.write("\n" * f)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", "5000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sequences.read_fastq(spark, str(tmp_path))
+            assert [tuple(r) for r in got.orderBy("file", "ord").select("name", "seq", "qual").collect()] == want
+        (tmp_path / "cut").mkdir()
+        (tmp_path / "cut" / "a.fq").write_text("@a\nAC\n+\nII\n@b\nAC\n")
+        with pytest.raises(Exception, match="FASTQ"):
+            sequences.read_fastq(spark, str(tmp_path / "cut")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_fasta_over_splits_and_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sequences, "STRETCH", 64)
+    rng = random.Random(3)
+    want = {}
+    for f in range(3):
+        with open(tmp_path / f"{f}.fa", "w") as out:
+            for i in range(5):
+                name, seq = f"s{f}.{i}", "".join(rng.choices("ACGTacgt", k=rng.randint(0, 9000)))
+                want[name] = seq.upper()
+                out.write(f">{name} x\n" + "".join(seq[k : k + 60] + "\n" for k in range(0, len(seq), 60)) + "\n" * (i % 2))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1500", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {}
+            for r in sequences.read_fasta(spark, str(tmp_path)).orderBy("name", "offset").collect():
+                assert len(got.get(r.name, "")) == r.offset
+                got[r.name] = got.get(r.name, "") + r.seq
+            assert got == {k: v for k, v in want.items() if v}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_detect_format():
