@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import texthash
 from ._shared import stored, tidy
+from .texthash import joined as _joined
 from .word_bpe import LONGEST, WordBpe
 
 CAPACITY = 2048
@@ -57,12 +58,6 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places of the spans' elements, one span after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def _letters(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes belong to ASCII or Latin-1 letters, and the bytes in lower case."""
     lead = buffer == 0xC3

@@ -65,6 +65,22 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+def joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the spans' elements, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans as an Arrow column, A-Z in lower case."""
+    size = end - start
+    flat = _LOWER[data[joined(start, size)]]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    if len(flat) < 1 << 31:
+        return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat))
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(flat))
+
+
 def span_hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each span of bytes, the same wherever it lies; A-Z count as a-z.  Spans are in
     order and do not overlap."""

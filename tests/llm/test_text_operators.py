@@ -562,3 +562,81 @@ def test_lattice_equals_enumeration():
     assert np.allclose(singles, got) and np.allclose(expected, again)
     long = "ab" * 40
     assert math.isclose(lattice.scores([long])[0], lattice._single(M.MARK + long, None, None), rel_tol=1e-12)
+
+
+def test_scores_equal_enumeration_of_whole_texts(spark):
+    """Score and fitted score by the sums over all segmentations of every word, the fitted pieces
+    by their expected uses in these."""
+    texts = [(i, t) for i, t in enumerate(["the cat", "The the of", "a żó a", "qx 日", "", "of of of the", "cat", "tha", "co of", "A b"])]
+    path = M.default_vocabulary_path()
+    vocab = M.vocabulary(path)
+    ranks = -vocab.scores
+    assert (ranks == np.floor(ranks)).all()  # merge ranks
+    weight = 1 / (ranks + 10)
+    own = dict(zip(vocab.pieces, weight / weight.sum() * (1 - M.BYTE_MASS)))
+
+    def paths(word, p):
+        """(probability, pieces) of every segmentation."""
+        if not word:
+            yield 1.0, ()
+            return
+        for rest, used in paths(word[1:], p):
+            yield (M.BYTE_MASS / 256) ** len(word[0].encode()) * rest, used
+        for k in range(1, len(word) + 1):
+            if word[:k] in p:
+                for rest, used in paths(word[k:], p):
+                    yield p[word[:k]] * rest, (word[:k], *used)
+
+    held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    train = [w for i, t in texts if i not in held for w in words_of(t)]
+    ends, uses = len(texts) - len(held), Counter()
+    for w in train:
+        every = list(paths(M.MARK + w, own))
+        total = sum(q for q, _ in every)
+        for q, used in every:
+            for piece in used:
+                uses[piece] += q / total
+    whole = sum(uses.values()) + ends + M.PSEUDO * (len(own) + 1)
+    end = (ends + M.PSEUDO) / whole
+    fitted = {x: (uses[x] + M.PSEUDO) / whole * (1 - M.BYTE_MASS) for x in own}
+    scaled = {x: v * (1 - end) for x, v in own.items()}
+    assert math.isclose(sum(scaled.values()) + (end + M.BYTE_MASS / (1 - M.BYTE_MASS)) * (1 - M.BYTE_MASS), 1, rel_tol=1e-9)
+    for frequent in (0, 3, 100):
+        for r in M.score_documents(documents(spark, texts), frequent=frequent).collect():
+            for got, p in ((r.score, scaled), (r.fitted_score, fitted)):
+                want = math.log10(end * (1 - M.BYTE_MASS)) + sum(math.log10(sum(q for q, _ in paths(M.MARK + w, p))) for w in words_of(texts[r.doc_id][1]))
+                assert math.isclose(got, want, rel_tol=1e-9), (r, want)
+
+
+def test_log_probabilities_of_a_unigram_file():
+    vocab = M.Vocabulary.__new__(M.Vocabulary)
+    vocab.scores = np.asarray([-1.5, -2.25, -7.0])
+    p = np.exp(M.own_logp(vocab))
+    assert math.isclose(p.sum(), 1 - M.BYTE_MASS) and np.allclose(p / p[0], np.exp(vocab.scores + 1.5))
+
+
+def test_scores_of_words_of_one_hash(spark, monkeypatch):
+    a, b = thue_morse()
+    rng = random.Random(3)
+    texts = [(i, " ".join([rng.choice([a, b, "ab", "ba", "Ab", "c"]) for _ in range(rng.randint(1, 12))])) for i in range(40)]
+    want = [tuple(r) for r in M.score_documents(documents(spark, texts)).orderBy("doc_id").collect()]
+    count = Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words_of(t), None])
+    n, v = sum(count.values()), len(count)
+    for (i, t), r in zip(texts, want):
+        assert math.isclose(r[5], sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*words_of(t), None]), rel_tol=1e-9)
+    # as if all words had one of two hashes: the bytes tell them apart
+    words, plain = sorted({w for _, t in texts for w in words_of(t)}), texthash.span_hashes
+    monkeypatch.setattr(texthash, "span_hashes", lambda *x: plain(*x) % np.uint64(2))
+    import pyarrow.parquet as pq
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    pq.write_table(pa.table({"word": words, "c": [count[w] for w in words], "own": np.arange(len(words)) * 1.0, "fitted": np.zeros(len(words))}), f"{folder}/a.parquet")
+    known = M._Frequent(f"file://{folder}")
+    column = pa.array([t for _, t in texts] + ["not there"])
+    _, data = texthash.buffers(column)
+    for _, _, _, _, h, start, end in M._groups(column):
+        place = known.find(h, data, start, end)
+        for p, s, e in zip(place, start, end):
+            word = data[s:e].tobytes().decode().lower()
+            assert (words[int(known.logs[0][p])] == word) if p >= 0 else word in ("not", "there")
