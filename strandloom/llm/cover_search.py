@@ -9,7 +9,8 @@ dropped when that is below the worst kth score of the query node's group.  Score
 leaves are exact integers.
 
 Data stay in their partitions.  Queries lie in the shared folder in files of QUERY_BLOCK and
-are read one at a time by each block of data, so memory is bounded by the two blocks.  A
+are read one at a time by each block of data (a worker keeps the trees of the last QUERY_TREES
+files), so memory is bounded.  A
 first round over a hashed sixteenth of the data gives every query a kth score that is surely
 reached; in the second round, over all data, blocks hand on only what reaches it.
 
@@ -22,6 +23,8 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,6 +35,8 @@ from ._shared import fresh_path, open_fs
 SCALE = 1024
 LEAF, CHILDREN = 128, 16
 DATA_BLOCK, QUERY_BLOCK = 16_384, 1_024
+#: Query trees that a worker keeps.
+QUERY_TREES = 32
 _LONG = (-(2**63), 2**63 - 1)
 
 
@@ -178,17 +183,25 @@ def _by_length(ids: list[int], raw: list[bytes]) -> dict[int, tuple[np.ndarray,
     return {n: (np.asarray(at), np.asarray([ids[i] for i in at], np.int64), np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), n)) for n, at in groups.items()}
 
 
-def _query_blocks(uri: str):
+@lru_cache(maxsize=QUERY_TREES)
+def _query_block(path: str) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, CoverTree]]:
+    """(length, ids, points, floors, tree) of a file of queries, kept by the worker for the next
+    blocks of data."""
     import pyarrow.parquet as pq
+
+    files, root = open_fs(path)
+    table = pq.read_table(root, filesystem=files).to_pydict()
+    groups = _by_length(table["vec_id"], table["v"]).items()
+    return [(n, ids, points, np.asarray([table["floor"][i] for i in at], np.int64), CoverTree(points, 32)) for n, (at, ids, points) in groups]
+
+
+def _query_blocks(uri: str):
     from pyarrow import fs
 
     files, root = open_fs(uri)
     for info in sorted(files.get_file_info(fs.FileSelector(root)), key=lambda f: f.path):
         if info.path.endswith(".parquet"):
-            table = pq.read_table(info.path, filesystem=files).to_pydict()
-            for n, (at, ids, points) in _by_length(table["vec_id"], table["v"]).items():
-                floor = np.asarray([table["floor"][i] for i in at], np.int64)
-                yield n, ids, points, floor, CoverTree(points, 32)
+            yield from _query_block(f"{uri}/{info.base_name}")
 
 
 def _round(data: DataFrame, uri: str, k: int) -> DataFrame:
