@@ -131,6 +131,39 @@ def remove_filter(filters: Column, name: str, to_pass: bool = True) -> Column:
     return F.when((F.size(rest) == 0) & F.lit(to_pass), F.array(F.lit("PASS"))).otherwise(rest)
 
 
+def set_info(info: Column, key: str, value: Column | None) -> Column:
+    """An INFO map with a key set to text (an empty one for a flag), or without it if None."""
+    rest = F.map_filter(info, lambda k, _: k != key)
+    return rest if value is None else F.map_concat(rest, F.create_map(F.lit(key), value.cast("string")))
+
+
+def set_format(samples: Column, key: str, values: Column | None) -> Column:
+    """A sample map with a field set from a map of sample to text ('.' where it has none), or
+    without the field if None."""
+
+    def one(name, fields):
+        rest = F.map_filter(fields, lambda k, _: k != key)
+        return rest if values is None else F.map_concat(rest, F.create_map(F.lit(key), F.coalesce(F.element_at(values, name), F.lit("."))))
+
+    return F.transform_values(samples, one)
+
+
+def set_id(old: Column, name: Column) -> Column:
+    """The id replaced; '.' and the empty text mean none."""
+    return F.nullif(F.nullif(name, F.lit(".")), F.lit(""))
+
+
+def add_id(old: Column, name: Column) -> Column:
+    """The ids (joined by ;) with another, which is ignored if it is there or is '.'."""
+    known = F.array_contains(F.split(old, ";"), name)
+    return F.when(name.isNull() | (name == "."), old).when(old.isNull() | (old == "."), name).when(known, old).otherwise(F.concat_ws(";", old, name))
+
+
+def set_alleles(table: DataFrame, ref: Column, alts: Column) -> DataFrame:
+    """Records with new alleles; the span of the reference allele changes with it."""
+    return table.withColumns({"ref": ref, "alts": alts})
+
+
 def synchronized(left: DataFrame, right: DataFrame) -> DataFrame:
     """Full outer merge of two variant tables (chr, pos, ref, alt) on place and type.
 

@@ -19,6 +19,7 @@ from ..operators import pileup as P
 from ..operators import regions as R
 from ..operators import sites as S
 from ..operators import summary as M
+from ..operators import synchronized as Y
 from ..operators import variants as V
 from ..sources import bam, sequences
 from ..sources.scratch import scratch_path
@@ -323,6 +324,23 @@ def variant_synchronized(spark, d):
     return V.synchronized(table.where("id % 3 <> 0").select("chr", "pos", "ref", "alt"), table.where("id % 3 <> 1").select("chr", "pos", "ref", "alt"))
 
 
+@query
+def variant_synchronized_many(spark, d):
+    """Three tables with several records a position, joined by equal alleles."""
+    table = D.variants(spark, d).select("id", "chr", (F.floor(F.col("pos") / 111) * 111).alias("pos"), "ref", F.array("alt").alias("alts"))
+    met = Y.synchronize([table.where(f"id % 4 <> {k}") for k in range(3)])
+    one = lambda i, c: F.col("records")[i][c]
+    return met.select("chr", "pos", *[x for i in range(3) for x in (one(i, "ref").alias(f"ref{i}"), F.array_join(one(i, "alts"), ",").alias(f"alt{i}"))])
+
+
+@query
+def variant_targets_by_alleles(spark, d):
+    """Records at targets of their sort: every fifth position asks for indels, the next for the rest."""
+    table = D.variants(spark, d).select("id", "chr", "pos", "ref", F.array("alt").alias("alts"))
+    alleles = F.when(F.col("id") % 5 == 0, F.array(F.lit("A"), F.lit("AC"))).otherwise(F.array(F.lit("A"), F.lit("C")))
+    return Y.targets_by_alleles(table, D.variants(spark, d).where("id % 5 < 2").select("chr", "pos", alleles.alias("alleles"))).select("id", "chr", "pos")
+
+
 @query
 def fisher_exact_strands(spark, d):
     """Strand bias of methylation at every site, by Fisher's exact test."""

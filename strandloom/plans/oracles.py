@@ -397,6 +397,13 @@ r AS (SELECT chr, pos, ref, alt, type, row_number() OVER (PARTITION BY chr, pos,
 SELECT coalesce(l.chr, r.chr) AS chr, coalesce(l.pos, r.pos) AS pos, l.ref AS l_ref, l.alt AS l_alt, r.ref AS r_ref, r.alt AS r_alt
 FROM l FULL OUTER JOIN r ON l.chr = r.chr AND l.pos = r.pos AND l.type = r.type AND l.k = r.k""",
     "streamed_event_haplotypes": "SELECT date_trunc('hour', ts) AS window_start, event_type AS chr, CAST(count(*) AS BIGINT) AS cnt, CAST(sum(CASE WHEN value >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS meth FROM events GROUP BY 1, 2",
+    "variant_synchronized_many": f"""WITH {_VAR},
+t AS (SELECT id, chr, pos // 111 * 111 AS pos, ref, alt, k FROM vars CROSS JOIN (VALUES (0), (1), (2)) v(k) WHERE id % 4 <> k),
+n AS (SELECT *, row_number() OVER (PARTITION BY k, chr, pos, ref, alt ORDER BY id) AS copy FROM t)
+SELECT chr, pos, max(CASE WHEN k = 0 THEN ref END) AS ref0, max(CASE WHEN k = 0 THEN alt END) AS alt0, max(CASE WHEN k = 1 THEN ref END) AS ref1, max(CASE WHEN k = 1 THEN alt END) AS alt1,
+  max(CASE WHEN k = 2 THEN ref END) AS ref2, max(CASE WHEN k = 2 THEN alt END) AS alt2
+FROM n GROUP BY chr, pos, ref, alt, copy""",
+    "variant_targets_by_alleles": f"WITH {_VAR} SELECT id, chr, pos FROM kinds WHERE (id % 5 = 0 AND type = 4) OR (id % 5 = 1 AND type <> 4)",
     "bam_folder_reads": f"WITH {_ALN} SELECT qname, flag, chr, pos, CAST(ord // 2 % 60 AS INTEGER) AS mapq, cigar, seq, qual FROM aln",
     "fastq_records": f"WITH {_ALN} SELECT CAST(ord AS VARCHAR) AS name, seq, CASE WHEN qual = '*' THEN repeat('I', length(seq)) ELSE qual END AS qual FROM aln",
     "aln_insertions": f"WITH {_ALN} SELECT ord, pos + m1 AS position, substr(seq, clip + m1 + 1, ins) AS bases FROM aln",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ["qname", "flag", "chr", "pos", "mapq", "cigar", "mchr", "mpos", "tlen", "seq", "qual"]
@@ -52,6 +52,50 @@ def remove_header_lines(header: DataFrame, kind: str, key: str | None = None, va
     return header.where(~F.coalesce(hit, F.lit(False)))
 
 
+def count_header_lines(header: DataFrame, kind: str) -> int:
+    return header.where(F.col("type") == kind).count()
+
+
+def find_header_lines(header: DataFrame, kind: str, key: str | None = None, value: str | None = None) -> DataFrame:
+    """The lines of a type, or of these the ones whose ``key`` is ``value``, in order."""
+    hit = F.col("type") == kind
+    if key is not None:
+        hit = hit & (F.element_at("tags", key) == value)
+    return header.where(hit).orderBy("line")
+
+
+def header_tag(header: DataFrame, kind: str, key: str, value: str, tag: str) -> str | None:
+    """A tag of the first line of a type whose ``key`` is ``value``; None without one."""
+    row = find_header_lines(header, kind, key, value).select(F.element_at("tags", tag).alias("t")).first()
+    return row["t"] if row else None
+
+
+def remove_header_tag(header: DataFrame, kind: str, key: str, value: str, tag: str) -> DataFrame:
+    """Lines of a type whose ``key`` is ``value`` without a tag."""
+    hit = (F.col("type") == kind) & (F.element_at("tags", key) == value)
+    return header.withColumn("tags", F.when(hit, F.map_filter("tags", lambda k, _: k != tag)).otherwise(F.col("tags")))
+
+
+def rename_header_line(header: DataFrame, kind: str, key: str, old: str, new: str) -> DataFrame:
+    """A line's identity changed, and in @PG lines the programs that follow it; an identity that
+    another line has already is an error."""
+    if find_header_lines(header, kind, key, new).limit(1).count():
+        raise ValueError(f"there is a @{kind} line with {key}:{new} already")
+
+    def swap(tag, hit):
+        return F.transform_values("tags", lambda k, v: F.when(hit & (k == tag) & (v == old), new).otherwise(v))
+
+    out = header.withColumn("tags", swap(key, F.col("type") == kind))
+    return out.withColumn("tags", swap("PP", F.col("type") == "PG")) if kind == "PG" and key == "ID" else out
+
+
+def set_query_name(records: DataFrame, name: Column) -> DataFrame:
+    """Records with new names; one that is empty, longer than 254 bytes or has a blank is an
+    error, as the formats have no place for it."""
+    ok = (F.octet_length(name) >= 1) & (F.octet_length(name) <= 254) & ~name.rlike(r"\s")
+    return records.withColumn("qname", F.when(F.coalesce(ok, F.lit(False)), name).otherwise(F.raise_error(F.concat(F.lit("not a query name: "), F.coalesce(name, F.lit("null"))))))
+
+
 def add_header_line(header: DataFrame, kind: str, tags: dict[str, str]) -> DataFrame:
     """Append a line; a @PG line is chained to the last program that no other follows."""
     spark = header.sparkSession

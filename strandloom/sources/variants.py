@@ -15,6 +15,34 @@ def read_vcf_header(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_extract("value", r"^##([^=]+)=<", 1).alias("kind"), part("ID").alias("id"), part("Number").alias("number"), part("Type").alias("type"))
 
 
+def header_table(lines: DataFrame) -> DataFrame:
+    """line, kind, id, number, type and value of header lines (line, value); ``id`` is null for
+    generic ones (##key=text)."""
+    part = lambda name: F.nullif(F.regexp_extract("value", rf"[<,]{name}=([^,>]*)", 1), F.lit(""))
+    structured = F.col("value").rlike("^##[^=]+=<")
+    own = lambda name: F.when(structured, part(name))
+    return lines.where(F.col("value").startswith("##")).select("line", F.regexp_extract("value", r"^##([^=]+)=", 1).alias("kind"), own("ID").alias("id"), own("Number").alias("number"), own("Type").alias("type"), "value")
+
+
+def merge_headers(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The lines of all header tables.  Of entries with one kind and id, and of generic lines with
+    one key, the first file's stay; generic lines that one file repeats stay as they are.
+    ``conflict`` marks entries that another file defines with another number or type."""
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    every = reduce(DataFrame.unionByName, [h.withColumn("_file", F.lit(i)) for i, h in enumerate((first, *others))])
+    known = Window.partitionBy("kind", "id")
+    marked = every.withColumns({
+        "_first": F.min("_file").over(known),
+        "conflict": F.col("kind").isin("INFO", "FORMAT") & (F.size(F.collect_set(F.concat_ws("|", F.coalesce("number", F.lit("")), F.coalesce("type", F.lit("")))).over(known)) > 1),
+        "_rn": F.row_number().over(known.orderBy("_file", "line")),
+    })
+    kept = marked.where((F.col("_file") == F.col("_first")) & (F.col("id").isNull() | (F.col("_rn") == 1)))
+    return kept.select((F.col("_file") * (1 << 32) + F.col("line")).alias("line"), "kind", "id", "number", "type", "value", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
 def sample_names(spark: SparkSession, path: str) -> list[str]:
     row = spark.read.text(path).where(F.col("value").startswith("#CHROM")).first()
     return row["value"].split("\t")[9:] if row else []
