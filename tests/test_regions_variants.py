@@ -1,3 +1,4 @@
+import functools
 import itertools
 import math
 import random
@@ -220,3 +221,81 @@ def test_insertions(spark):
 
     df = spark.createDataFrame([(9, "2S3M2I1P1I2M1D1M", "TTACGGGTCAA")], "pos bigint, cigar string, seq string")
     assert [tuple(x) for x in df.select(insertions(df.pos, df.cigar, df.seq)).first()[0]] == [(12, "GG*T")]
+
+
+def sets_of(records, *pairing):
+    """Sets as sorted lists of table:alleles, from records (table, ref, alts)."""
+    from strandloom.operators.synchronized import Pairing, pair_position
+
+    def types(ref, alts):
+        each = [0 if a == "." else 1 if len(a) == len(ref) == 1 else 4 for a in alts]
+        return functools.reduce(lambda x, y: x | y, each, 0)
+
+    found = pair_position([(t, r, a, types(r, a)) for t, r, a in records], Pairing(pairing))
+    assert sorted(i for s in found for i in s.values()) == list(range(len(records)))
+    return sorted(sorted(f"{t}:{records[i][1]}>{','.join(records[i][2]) or '.'}" for t, i in s.items()) for s in found)
+
+
+def test_pairing_of_records():
+    one, two = (0, "A", ["C"]), (1, "A", ["T"])
+    assert sets_of([one, two], "exact") == sets_of([one, two], "some") == [["0:A>C"], ["1:A>T"]]
+    assert sets_of([one, two], "snps") == sets_of([one, two], "any") == [["0:A>C", "1:A>T"]]
+    multi = (1, "A", ["T", "C"])
+    assert sets_of([one, multi], "exact") == [["0:A>C"], ["1:A>T,C"]] and sets_of([one, multi], "some") == [["0:A>C", "1:A>T,C"]]
+    assert sets_of([(0, "A", ["C", "T"]), multi], "exact") == [["0:A>C,T", "1:A>T,C"]]
+    indel, ref = (1, "A", ["AT"]), (1, "A", [])
+    assert sets_of([one, indel], "both") == [["0:A>C"], ["1:A>AT"]] and sets_of([one, indel], "any") == [["0:A>C", "1:A>AT"]]
+    assert sets_of([one, ref], "both") == [["0:A>C"], ["1:A>."]] and sets_of([one, ref], "snp_ref") == sets_of([one, ref], "both_ref") == [["0:A>C", "1:A>."]]
+    assert sets_of([(0, "A", ["AC"]), ref], "snps", "snp_ref") == [["0:A>AC"], ["1:A>."]] and sets_of([(0, "A", ["AC"]), ref], "indel_ref") == [["0:A>AC", "1:A>."]]
+    # the same record first, whatever else may pair
+    assert sets_of([(0, "A", ["C"]), (0, "A", ["T"]), (1, "A", ["T"])], "snps") == [["0:A>C"], ["0:A>T", "1:A>T"]]
+    # what one table shows beside each other never shares a set
+    assert sets_of([(0, "A", ["C"]), (0, "A", ["T"]), (1, "A", ["C"]), (1, "A", ["T"])], "snps") == [["0:A>C", "1:A>C"], ["0:A>T", "1:A>T"]]
+    assert sets_of([(0, "A", ["C"]), (0, "A", ["C"]), (1, "A", ["C"])], "exact") == [["0:A>C"], ["0:A>C", "1:A>C"]]
+    # a snp and a reference together take no indel in
+    assert sets_of([(0, "A", ["C"]), (1, "A", []), (2, "A", ["AT"])], "both_ref") in ([["0:A>C", "1:A>."], ["2:A>AT"]], [["0:A>C"], ["1:A>.", "2:A>AT"]])
+    with pytest.raises(ValueError):
+        sets_of([one], "none")
+
+
+def test_pairing_keeps_every_record():
+    rng = random.Random(7)
+    for _ in range(300):
+        records = sorted(((rng.randrange(4), "A", rng.choice([[], ["C"], ["T"], ["C", "T"], ["AT"], ["AT", "C"], ["c"]])) for _ in range(rng.randint(1, 9))), key=lambda r: r[0])
+        for pairing in (["exact"], ["some"], ["snps"], ["both_ref"], ["any"], ["indels", "snp_ref"]):
+            for s in sets_of(records, *pairing):
+                assert len({x.split(":")[0] for x in s}) == len(s)
+                if pairing == ["exact"]:
+                    assert len({tuple(sorted(x.split(":")[1][2:].upper().split(","))) for x in s}) == 1
+
+
+def test_synchronized_tables(spark):
+    from strandloom.operators.synchronized import sweep, synchronize, targets_by_alleles
+
+    schema = "chr string, pos bigint, ref string, alts array<string>"
+    tables = [spark.createDataFrame(rows, schema) for rows in (
+        [("c", 1, "A", ["C"]), ("c", 2, "A", ["C"]), (None, 3, "A", ["C"])],
+        [("c", 1, "A", ["T"]), ("c", 1, "A", ["C"]), ("d", 2, "A", ["G"])],
+        [("c", 2, "A", ["C", "T"]), (None, 3, "A", ["C"])],
+    )]
+    text = lambda r: None if r is None else f"{r.ref}>{','.join(r.alts)}"
+    got = lambda **k: sorted(str((r.chr, r.pos, *map(text, r.records))) for r in synchronize(tables, **k).collect())
+    alone = [(None, 3, "A>C", None, None), (None, 3, None, None, "A>C"), ("d", 2, None, "A>G", None)]
+    assert got() == sorted(map(str, [("c", 1, "A>C", "A>C", None), ("c", 1, None, "A>T", None), ("c", 2, "A>C", None, None), ("c", 2, None, None, "A>C,T"), *alone]))
+    assert got(pairing=("some",)) == sorted(map(str, [("c", 1, "A>C", "A>C", None), ("c", 1, None, "A>T", None), ("c", 2, "A>C", None, "A>C,T"), *alone]))
+    assert synchronize([t.limit(0) for t in tables]).count() == 0
+    assert [(r.chr, r.pos) for r in sweep(tables[1], backward=True).collect()] == [("d", 2), ("c", 1), ("c", 1)]
+    records = spark.createDataFrame([("c", 1, "A", ["AT"]), ("c", 1, "A", ["G"]), ("c", 2, "A", ["AT"]), ("c", 2, "A", ["G"])], schema)
+    wanted = spark.createDataFrame([("c", 1, ["A", "AC"]), ("c", 2, ["A", "C"]), ("c", 2, ["A", "T"])], "chr string, pos bigint, alleles array<string>")
+    assert sorted((r.pos, r.alts[0]) for r in targets_by_alleles(records, wanted).collect()) == [(1, "AT"), (2, "G")]
+
+
+def test_record_updates(spark):
+    df = spark.sql("select map('DP', '5', 'DB', '') as info, map('a', map('GT', '0/1'), 'b', map('GT', '.', 'DP', '3')) as samples, 'rs1' as id")
+    row = df.select(
+        V.set_info(df.info, "DP", F.lit(7)), V.set_info(df.info, "DB", None), V.set_format(df.samples, "DP", F.create_map(F.lit("a"), F.lit("9"))), V.set_format(df.samples, "GT", None),
+        V.add_id(df.id, F.lit("rs2")), V.add_id(df.id, F.lit("rs1")), V.add_id(F.lit(None), F.lit("x")), V.set_id(df.id, F.lit(".")),
+    ).first()
+    assert tuple(row) == ({"DB": "", "DP": "7"}, {"DP": "5"}, {"a": {"GT": "0/1", "DP": "9"}, "b": {"GT": ".", "DP": "."}}, {"a": {}, "b": {"DP": "3"}}, "rs1;rs2", "rs1", "x", None)
+    table = V.set_alleles(spark.createDataFrame([("A", ["C"])], "ref string, alts array<string>"), F.lit("AT"), F.array(F.lit("A")))
+    assert tuple(table.first()) == ("AT", ["A"])

@@ -308,3 +308,32 @@ def test_stream_of_mates(spark, tmp_path):
     query.awaitTermination()
     got = {tuple(r) for r in spark.table("mates").collect()}
     assert ("c", "a", 0, 2) in got and ("c", "z", 4, 5) in got and ("c", "b", 1, None) in got and ("d", "b", 3, None) in got and len(got) == 4
+
+
+def test_header_lines_and_names(spark):
+    head = sam.parse_header(spark.createDataFrame([("@HD\tVN:1.6", 0), ("@SQ\tSN:a\tLN:1", 1), ("@SQ\tSN:b\tLN:2", 2), ("@PG\tID:x", 3), ("@PG\tID:y\tPP:x", 4)], "value string, line bigint"))
+    assert sam.count_header_lines(head, "SQ") == 2 and sam.count_header_lines(head, "RG") == 0
+    assert [r.tags["SN"] for r in sam.find_header_lines(head, "SQ").collect()] == ["a", "b"] and sam.find_header_lines(head, "SQ", "SN", "b").count() == 1
+    assert sam.header_tag(head, "SQ", "SN", "b", "LN") == "2" and sam.header_tag(head, "SQ", "SN", "z", "LN") is None
+    cut = sam.remove_header_tag(head, "SQ", "SN", "b", "LN")
+    assert [r.value for r in sam.header_lines(cut).collect()][2] == "@SQ\tSN:b"
+    renamed = [r.value for r in sam.header_lines(sam.rename_header_line(head, "PG", "ID", "x", "z")).collect()]
+    assert renamed[3:] == ["@PG\tID:z", "@PG\tID:y\tPP:z"]
+    with pytest.raises(ValueError):
+        sam.rename_header_line(head, "SQ", "SN", "a", "b")
+    from pyspark.sql import functions as F
+
+    reads = spark.createDataFrame([("r1", 1)], "qname string, ord bigint")
+    assert sam.set_query_name(reads, F.concat("qname", F.lit("/1"))).first().qname == "r1/1"
+    for bad in ("", "a b", "x" * 255):
+        with pytest.raises(Exception, match="query name"):
+            sam.set_query_name(reads, F.lit(bad)).collect()
+
+
+def test_merged_variant_headers(spark):
+    lines = lambda *v: vcf.header_table(spark.createDataFrame([(x, i) for i, x in enumerate(v)], "value string, line bigint"))
+    one = lines("##fileformat=VCFv4.2", "##source=a", "##INFO=<ID=DP,Number=1,Type=Integer>", "##contig=<ID=1>", "#CHROM\tPOS")
+    two = lines("##fileformat=VCFv4.3", "##source=b", "##cmd=x", "##cmd=y", "##INFO=<ID=DP,Number=1,Type=Float>", "##INFO=<ID=AF,Number=A,Type=Float>", "##FORMAT=<ID=DP,Number=1,Type=Integer>", "##contig=<ID=1>", "##contig=<ID=2>")
+    got = vcf.merge_headers(one, two).orderBy("line").collect()
+    assert [r.value for r in got] == ["##fileformat=VCFv4.2", "##source=a", "##INFO=<ID=DP,Number=1,Type=Integer>", "##contig=<ID=1>", "##cmd=x", "##cmd=y", "##INFO=<ID=AF,Number=A,Type=Float>", "##FORMAT=<ID=DP,Number=1,Type=Integer>", "##contig=<ID=2>"]
+    assert [r.id for r in got if r.conflict] == ["DP"]
