@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alignment import cigar_parts, has, reference_length
 from ..schema import EXCLUDED, UNMAPPED
 
 
-def aligned_positions(alignments: DataFrame) -> DataFrame:
+def aligned_positions(alignments: DataFrame, client: Column | None = None) -> DataFrame:
     """ord, chr, position (1-based), base and kind (M, D or N) at every reference position
-    of every usable read, by its CIGAR."""
+    of every usable read, by its CIGAR.  ``client`` is made once of each read and goes with all
+    its positions, in a column of that name."""
     reads = alignments.where(F.col("flag").bitwiseAND(F.lit(EXCLUDED)) == 0).where(F.col("cigar") != "*")
+    more = []
+    if client is not None:
+        reads, more = reads.withColumn("client", client), ["client"]
     walk = F.aggregate(
         cigar_parts(F.col("cigar")),
         F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.expr("cast(array() as array<struct<op:string,len:bigint,r:bigint,q:bigint>>)").alias("out")),
@@ -26,7 +30,7 @@ def aligned_positions(alignments: DataFrame) -> DataFrame:
     each = runs.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p.len") - 1)))
     match = F.col("_p.op").isin("M", "=", "X")
     base = F.when(match, F.substr(F.col("seq"), (F.col("_p.q") + F.col("_i") + 1).cast("int"), F.lit(1)))
-    return each.select("ord", "chr", (F.col("pos") + F.col("_p.r") + F.col("_i") + 1).alias("position"), base.alias("base"), F.when(match, "M").otherwise(F.col("_p.op")).alias("kind"))
+    return each.select("ord", "chr", (F.col("pos") + F.col("_p.r") + F.col("_i") + 1).alias("position"), base.alias("base"), F.when(match, "M").otherwise(F.col("_p.op")).alias("kind"), *more)
 
 
 def depth(alignments: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import haplotypes as H
 from ..operators import regions as R
 from ..operators import summary as M
 from ..sources import bam, sam, text
+from ..sources.detect import detect_format
 
 
 #: Bases that a read may have more than it spans on the reference.
@@ -59,6 +60,15 @@ def _one_region(spark: SparkSession, name: str, beg: int, end: int) -> DataFrame
     return spark.createDataFrame([(-1, name, beg, end)], "ord bigint, chr string, beg bigint, end bigint")
 
 
+def _is_bam(path: str) -> bool:
+    """By a file's first bytes; by its name where Spark alone can read it, or for a folder."""
+    try:
+        with bam.open_file(path) as stream:
+            return detect_format(stream.read(1 << 16))[0] == "bam"
+    except (OSError, ValueError):
+        return path.rstrip("/").endswith(".bam")
+
+
 def _reads(spark: SparkSession, path: str, binary: bool, region: tuple[str, int, int] | None) -> DataFrame:
     """Alignments; of an indexed file those that may meet the region: a read meets it by its bases
     here, and by its reference span in the index, so the region is read with room before it."""
@@ -72,19 +82,19 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     if a.command == "convert":
         if a.r and a.b:
             raise ValueError("give -r or -b, not both")
-        binary = a.i.endswith(".bam")
+        binary = _is_bam(a.i)
         regions = region = None
+        # the sequences that the header names, in its order
+        listed = None if binary else sam.find_header_lines(sam.read_header(spark, a.i), "SQ").select(F.element_at("tags", "SN").alias("name"))
+        names = [n for n, _ in bam.read_header(a.i)[1]] if binary else [r["name"] for r in listed.collect()]
         if a.r:
-            # the sequences that the header names
-            head = None if binary else sam.read_header(spark, a.i).where("type = 'SQ'").select(F.element_at("tags", "SN").alias("name"))
-            names = [n for n, _ in bam.read_header(a.i)[1]] if binary else [r["name"] for r in head.collect()]
             name, beg, end, _ = parse_region(a.r, names)
             region = (name, beg, min(end, 1 << 40))
             regions = _one_region(spark, name, beg + 1, end)
         elif a.b:
             regions = R.bed_to_closed(text.read_bed(spark, a.b))
         reads = _reads(spark, a.i, binary, region)
-        text.write_haplotypes(C.convert(reads, text.read_sites(spark, a.c), regions, not a.n, a.m), a.o)
+        text.write_haplotypes(C.convert(reads, text.read_sites(spark, a.c), regions, not a.n, a.m), a.o, names)
     elif a.command == "merge":
         if len(a.i) < 2:
             raise ValueError("merge needs at least two inputs")

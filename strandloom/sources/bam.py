@@ -285,8 +285,8 @@ class _Part(InputPartition):
     exact: bool = False
 
 
-def _files(path: str) -> list[tuple[str, int]]:
-    """(path, size) of a file, or of the .bam files of a folder by name."""
+def _files(path: str, ending: str = ".bam") -> list[tuple[str, int]]:
+    """(path, size) of a file, or of the files of a folder with an ending, by name."""
     from pyarrow import fs
 
     files, root = _fs(path)
@@ -294,7 +294,7 @@ def _files(path: str) -> list[tuple[str, int]]:
     if info.type != fs.FileType.Directory:
         return [(path, info.size)]
     scheme = path.split("://")[0] if "://" in path else "file"
-    found = sorted((f.path, f.size) for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".bam"))
+    found = sorted((f.path, f.size) for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(ending))
     return [(f"{scheme}://{p}", n) for p, n in found]
 
 
@@ -518,25 +518,30 @@ class _Written(WriterCommitMessage):
     final: str
 
 
-class BamWriter(DataSourceWriter):
-    """A folder with a file for each partition, each whole in itself; files get their names when
-    the job is committed, so a lost or repeated task leaves nothing behind."""
+class FolderWriter(DataSourceWriter):
+    """A folder with a block-gzip file for each partition, each whole in itself; files get their
+    names when the job is committed, so a lost or repeated task leaves nothing behind."""
+
+    ending = ""
 
     def __init__(self, options):
         self.path, self.text = options["path"].rstrip("/"), options.get("header", "")
 
+    def head(self) -> bytes:
+        raise NotImplementedError
+
+    def record(self, row: dict) -> bytes:
+        raise NotImplementedError
+
     def write(self, iterator):
-        refs = [(dict(f.split(":", 1) for f in line.split("\t")[1:])) for line in self.text.splitlines() if line.startswith("@SQ")]
-        refs = [(f["SN"], int(f["LN"])) for f in refs]
-        ids = {n: i for i, (n, _) in enumerate(refs)}
         files, root = _fs(self.path)
         files.create_dir(root, recursive=True)
-        final = f"{root}/part-{TaskContext.get().partitionId():05d}.bam"
+        final = f"{root}/part-{TaskContext.get().partitionId():05d}{self.ending}"
         draft = f"{root}/.{uuid.uuid4().hex}.draft"
         with files.open_output_stream(draft, compression=None) as out:
-            data = bytearray(encode_header(refs, self.text))
+            data = bytearray(self.head())
             for row in iterator:
-                data += encode_record(row.asDict(), ids)
+                data += self.record(row.asDict(recursive=True))
                 while len(data) >= bgzf.BLOCK:
                     out.write(bgzf.compress_block(bytes(data[: bgzf.BLOCK])))
                     del data[: bgzf.BLOCK]
@@ -558,6 +563,19 @@ class BamWriter(DataSourceWriter):
                 files.delete_file(m.draft)
 
 
+class BamWriter(FolderWriter):
+    ending = ".bam"
+
+    def head(self) -> bytes:
+        lines = [dict(f.split(":", 1) for f in line.split("\t")[1:]) for line in self.text.splitlines() if line.startswith("@SQ")]
+        refs = [(f["SN"], int(f["LN"])) for f in lines]
+        self.ids = {n: i for i, (n, _) in enumerate(refs)}
+        return encode_header(refs, self.text)
+
+    def record(self, row: dict) -> bytes:
+        return encode_record(row, self.ids)
+
+
 def write_bam(records: DataFrame, path: str, header: str) -> None:
     """Write alignments in their partitions' order as a folder of BAM files; ``header`` is SAM
     header text with an @SQ line for each sequence."""

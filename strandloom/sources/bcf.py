@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shipping import ship_package
 from . import bgzf
-from .bam import _fs
+from .bam import FolderWriter, _files, _fs
 
 SCHEMA = "chr string, pos bigint, id string, ref string, alts array<string>, qual double, filters array<string>, info map<string,string>, samples map<string,map<string,string>>"
 # Fixed type codes: struct format, missing value and end-of-vector value of each.
@@ -126,9 +128,9 @@ def records(stream) -> Iterator[tuple]:
         raise ValueError("the file ends within a record")
 
 
+@dataclass
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    path: str
 
 
 class BcfReader(DataSourceReader):
@@ -136,9 +138,11 @@ class BcfReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self):
-        return [_Part(self.path)]
+        return [_Part(p) for p, _ in _files(self.path, ".bcf")] or [_Part("")]
 
     def read(self, partition):
+        if not partition.path:
+            return
         files, root = _fs(partition.path)
         with files.open_input_stream(root, compression=None, buffer_size=1 << 20) as stream:
             yield from records(stream)
@@ -155,9 +159,14 @@ class BcfSource(DataSource):
     def reader(self, schema):
         return BcfReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return BcfWriter(self.options)
+
 
 def read_bcf(spark: SparkSession, path: str) -> DataFrame:
-    """Variants of a BCF file, in the columns of ``read_vcf``."""
+    """Variants of a BCF file, or of a folder of them (a task each), in the columns of
+    ``read_vcf``."""
+    ship_package(spark)
     spark.dataSource.register(BcfSource)
     return spark.read.format("bcf").load(path)
 
@@ -177,18 +186,92 @@ def _typed(values: list | str) -> bytes:
 def encode(header: str, rows: list[dict]) -> bytes:
     """A BCF file of records: dicts with chr, pos, id, ref, alts, qual, filters, info (lists or
     text by key) and calls (key -> one list a sample, all of one length)."""
-    contigs, strings, samples = dictionaries(header)
+    tables = dictionaries(header)
+    return bgzf.compress(encode_header(header) + b"".join(encode_record(r, *tables) for r in rows))
+
+
+def encode_header(header: str) -> bytes:
     text = header.encode() + b"\0"
-    out = bytearray(b"BCF\2\2" + struct.pack("<I", len(text)) + text)
-    for r in rows:
-        shared = struct.pack("<iii", contigs.index(r["chr"]), r["pos"] - 1, len(r["ref"]))
-        shared += struct.pack("<I", _FLOAT_MISSING) if r["qual"] is None else struct.pack("<f", r["qual"])
-        shared += struct.pack("<HHI", len(r["info"]), 1 + len(r["alts"]), len(r["calls"]) << 24 | len(samples))
-        shared += _typed(r["id"] or ".") + b"".join(_typed(a) for a in (r["ref"], *r["alts"])) + _typed([strings.index(x) for x in r["filters"]])
-        shared += b"".join(_typed([strings.index(k)]) + _typed(v) for k, v in r["info"].items())
-        own = b""
-        for k, lists in r["calls"].items():
-            body = b"".join(_typed(v)[1:] for v in lists)
-            own += _typed([strings.index(k)]) + _typed(lists[0])[:1] + body
-        out += struct.pack("<II", len(shared), len(own)) + shared + own
-    return bgzf.compress(bytes(out))
+    return b"BCF\2\2" + struct.pack("<I", len(text)) + text
+
+
+def encode_record(r: dict, contigs: list[str], strings: list[str], samples: list[str]) -> bytes:
+    shared = struct.pack("<iii", contigs.index(r["chr"]), r["pos"] - 1, len(r["ref"]))
+    shared += struct.pack("<I", _FLOAT_MISSING) if r["qual"] is None else struct.pack("<f", r["qual"])
+    shared += struct.pack("<HHI", len(r["info"]), 1 + len(r["alts"]), len(r["calls"]) << 24 | len(samples))
+    shared += _typed(r["id"] or ".") + b"".join(_typed(a) for a in (r["ref"], *r["alts"])) + _typed([strings.index(x) for x in r["filters"]])
+    shared += b"".join(_typed([strings.index(k)]) + _typed(v) for k, v in r["info"].items())
+    own = b""
+    for k, lists in r["calls"].items():
+        own += _typed([strings.index(k)]) + _vectors(lists)
+    return struct.pack("<II", len(shared), len(own)) + shared + own
+
+
+def _vectors(lists: list) -> bytes:
+    """One vector a sample, all as long as the longest."""
+    if any(isinstance(v, str) for v in lists):
+        size = max(len(v.encode()) for v in lists)
+        return _head(size, 7) + b"".join(v.encode().ljust(size, b"\0") for v in lists)
+    size = max(map(len, lists))
+    real = any(isinstance(x, float) for v in lists for x in v)
+    end, missing = (_FLOAT_END, _FLOAT_MISSING) if real else (_KINDS[3][2], _KINDS[3][1])
+    pack = lambda x: struct.pack("<I" if real else "<i", missing) if x is None else struct.pack("<f" if real else "<i", x)
+    pad = struct.pack("<I" if real else "<i", end)
+    return _head(size, 5 if real else 3) + b"".join(b"".join(map(pack, v)) + pad * (size - len(v)) for v in lists)
+
+
+def _head(n: int, kind: int) -> bytes:
+    return bytes([n << 4 | kind]) if n < 15 else bytes([15 << 4 | kind, 1 << 4 | 3]) + struct.pack("<i", n)
+
+
+def _parsed(text: str, kind: str) -> list | str:
+    """A field's text as values of its header type."""
+    if kind in ("String", "Character"):
+        return text
+    number = float if kind == "Float" else int
+    return [None if x in (".", "") else number(x) for x in text.split(",")]
+
+
+def _alleles(gt: str) -> list[int]:
+    """The coded alleles of genotype text."""
+    out = []
+    for sep, allele in re.findall(r"(^|[/|])(\.|\d+)", gt):
+        out.append((0 if allele == "." else int(allele) + 1) << 1 | (sep == "|"))
+    return out or [0]
+
+
+def from_columns(row: dict, kinds: dict[tuple[str, str], str], samples: list[str]) -> dict:
+    """A record for ``encode_record`` from the columns of ``read_vcf``."""
+    info = {}
+    for key, text in (row["info"] or {}).items():
+        kind = kinds.get(("INFO", key), "String")
+        info[key] = [] if kind == "Flag" else _parsed(text, kind)
+    calls: dict[str, list] = {}
+    by_sample = row["samples"] or {}
+    for key in dict.fromkeys(k for s in samples for k in (by_sample.get(s) or {})):
+        texts = [(by_sample.get(s) or {}).get(key, ".") for s in samples]
+        calls[key] = [_alleles(t) for t in texts] if key == "GT" else [_parsed(t, kinds.get(("FORMAT", key), "String")) for t in texts]
+    return {"chr": row["chr"], "pos": row["pos"], "id": row["id"], "ref": row["ref"], "alts": row["alts"] or [], "qual": row["qual"], "filters": row["filters"] or [], "info": info, "calls": calls}
+
+
+class BcfWriter(FolderWriter):
+    """A folder with a file for each partition, each whole in itself."""
+
+    ending = ".bcf"
+
+    def head(self) -> bytes:
+        self.kinds = {(m[1], m[2]): m[3] for m in re.finditer(r"##(INFO|FORMAT)=<ID=([^,>]+)[^\n]*?Type=(\w+)", self.text)}
+        self.tables = dictionaries(self.text)
+        return encode_header(self.text)
+
+    def record(self, row: dict) -> bytes:
+        return encode_record(from_columns(row, self.kinds, self.tables[2]), *self.tables)
+
+
+def write_bcf(records: DataFrame, path: str, header: str) -> None:
+    """Write variants (the columns of ``read_vcf``) in their partitions' order as a folder of BCF
+    files; ``header`` is VCF header text that declares all contigs, filters and fields."""
+    spark = records.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(BcfSource)
+    records.select("chr", "pos", "id", "ref", "alts", "qual", "filters", "info", "samples").write.format("bcf").mode("append").option("header", header).save(path)

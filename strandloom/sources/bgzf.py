@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from collections.abc import Iterator
@@ -65,6 +66,47 @@ def next_block(raw: bytes, least: int = 0) -> int:
     return -1
 
 
+def block_index(stream) -> list[tuple[int, int]]:
+    """(file offset, content offset) of every block; only block heads and sizes are read."""
+    out, at, place = [], 0, 0
+    while True:
+        stream.seek(at)
+        head = stream.read(64)
+        size = block_size(head)
+        if not size:
+            return out
+        out.append((at, place))
+        stream.seek(at + size - 4)
+        place += struct.unpack("<I", stream.read(4))[0]
+        at += size
+
+
+def read_at(stream, virtual: int, size: int) -> bytes:
+    """``size`` bytes of content from a virtual offset (file offset of a block, place in it) on."""
+    stream.seek(virtual >> 16)
+    out, skip = b"", virtual & 0xFFFF
+    for _, data in blocks(stream, virtual >> 16):
+        out += data[skip:]
+        skip = 0
+        if len(out) >= size:
+            break
+    return out[:size]
+
+
+def read_indexed(stream, index: list[tuple[int, int]], offset: int, size: int) -> bytes:
+    """Bytes [offset, offset + size) of the content, from the block that holds the first on."""
+    k = max(0, bisect.bisect_right(index, offset, key=lambda e: e[1]) - 1)
+    if not index:
+        return b""
+    stream.seek(index[k][0])
+    out, skip = b"", offset - index[k][1]
+    for _, data in blocks(stream, index[k][0]):
+        out += data
+        if len(out) >= skip + size:
+            break
+    return out[skip : skip + size]
+
+
 def read_range(stream, offset: int, size: int) -> bytes:
     """Bytes [offset, offset + size) of the content."""
     out, place = [], 0

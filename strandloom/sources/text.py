@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.regions import detect_region_format
@@ -36,11 +38,16 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.get(parts, F.lit(0)).alias("chr"), F.get(parts, F.lit(1)).try_cast("bigint").alias("pos"))
 
 
-def read_regions(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def read_regions(spark: SparkSession, path: str, kind: str | None = None, parser: Callable[[Column], Column] | None = None) -> DataFrame:
     """ord, chr, beg, end as 0-based half-open intervals from bed, tab, vcf or reg lines.
 
-    Tab and VCF positions are 1-based; a line with a name alone is the whole sequence.
+    Tab and VCF positions are 1-based; a line with a name alone is the whole sequence.  ``parser``
+    reads lines of any other make: from the line's column it makes a struct with chr, beg, end
+    and whatever else goes with a region; lines of which it makes null are left out.
     """
+    if parser is not None:
+        parsed = _lines(spark, path).select("ord", parser(F.col("value")).alias("_r")).where(F.col("_r").isNotNull())
+        return parsed.select("ord", "_r.*")
     kind = kind or detect_region_format(path)
     whole = F.lit((1 << 63) - 1)
     if kind == "reg":
@@ -73,9 +80,17 @@ def _write(df: DataFrame, path: str, header: bool = False) -> None:
     df.write.csv(path, sep="\t", header=header, quote="", escape="", emptyValue="", mode="errorifexists", compression="gzip" if path.rstrip("/").endswith(".gz") else "none")
 
 
-def write_haplotypes(table: DataFrame, path: str) -> None:
-    """Ordered haplotype lines, in as many files as there are ranges."""
-    _write(table.select("chr", "beg", "end", "hap", "cnt", "strand").orderBy("chr", "beg", "end", "hap", "cnt", "strand"), _suffixed(path, ".mhap.gz", ".mhap"))
+def ordered_by(table: DataFrame, names: list[str]) -> Column:
+    """A column that ranks ``chr`` as a header lists the sequences; unlisted ones come last."""
+    listed = F.array(*map(F.lit, names)).cast("array<string>")
+    return F.coalesce(F.nullif(F.array_position(listed, F.col("chr")), F.lit(0)), F.lit(len(names) + 1))
+
+
+def write_haplotypes(table: DataFrame, path: str, names: list[str] | None = None) -> None:
+    """Ordered haplotype lines, in as many files as there are ranges; chromosomes in the order of
+    ``names``, a file's header, if it is given."""
+    keys = ["chr", "beg", "end", "hap", "cnt", "strand"] if names is None else [ordered_by(table, names), "chr", "beg", "end", "hap", "strand"]
+    _write(table.select("chr", "beg", "end", "hap", "cnt", "strand").orderBy(*keys), _suffixed(path, ".mhap.gz", ".mhap"))
 
 
 def write_beta(table: DataFrame, path: str) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines
+
 _TYPES = {"Integer": "int", "Float": "double", "String": "string", "Character": "string", "Flag": "boolean"}
 
 
@@ -98,3 +100,17 @@ def vcf_lines(records: DataFrame, names: list[str]) -> DataFrame:
         cells.append(F.array_join(F.map_keys(first), ":"))
         cells += [F.array_join(F.map_values(F.element_at("samples", n)), ":") for n in names]
     return records.orderBy("chr", "pos").select(F.concat_ws("\t", *cells).alias("value"))
+
+
+def write_vcf(records: DataFrame, header: list[str], names: list[str], path: str) -> None:
+    """Header lines, then the records in order, as a folder of text parts that make one file."""
+    spark = records.sparkSession
+    top = spark.createDataFrame([(x,) for x in header], "value string").coalesce(1)
+    top.unionByName(vcf_lines(records, names)).write.text(path)
+
+
+def reheader(spark: SparkSession, path: str, header: list[str], out: str) -> None:
+    """A text table with other header lines: those of ``path`` that begin with # go, all else
+    stays line by line and in order."""
+    body = numbered_lines(spark, path).where(~F.col("value").startswith("#")).orderBy("file", "n").select("value")
+    spark.createDataFrame([(x,) for x in header], "value string").coalesce(1).unionByName(body).write.text(out)

@@ -8,6 +8,7 @@ from strandloom.plans import cli
 from strandloom.sources import bam, bgzf, sam, sequences, text
 from strandloom.sources import variants as vcf
 from strandloom.sources.detect import detect_format
+from strandloom.sources.tickets import read_ticket
 from strandloom.streaming.counts import counts_until_done
 
 SAM = "@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:1000\n@PG\tID:a\nr1\t99\tchr1\t100\t20\t40M\t=\t120\t60\t" + "CT" * 20 + "\t" + "I" * 40 + "\tXM:Z:zzh.\tNM:i:3\nr1\t147\tchr1\t110\t20\t40M\t=\t100\t-60\t" + "TC" * 20 + "\t*\nr2\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n"
@@ -337,3 +338,70 @@ def test_merged_variant_headers(spark):
     got = vcf.merge_headers(one, two).orderBy("line").collect()
     assert [r.value for r in got] == ["##fileformat=VCFv4.2", "##source=a", "##INFO=<ID=DP,Number=1,Type=Integer>", "##contig=<ID=1>", "##cmd=x", "##cmd=y", "##INFO=<ID=AF,Number=A,Type=Float>", "##FORMAT=<ID=DP,Number=1,Type=Integer>", "##contig=<ID=2>"]
     assert [r.id for r in got if r.conflict] == ["DP"]
+
+
+def test_chromosomes_in_the_header_s_order(spark, tmp_path):
+    text_ = "@HD\tVN:1.6\n@SQ\tSN:chrB\tLN:1000\n@SQ\tSN:chrA\tLN:1000\n" + "".join(f"r{c}{i}\t0\tchr{c}\t{100 + i}\t20\t40M\t*\t0\t0\t{'CT' * 20}\t*\n" for c in "AB" for i in (4, 0))
+    (tmp_path / "a.sam").write_text(text_)
+    (tmp_path / "s.txt").write_text("".join(f"chr{c}\t{p}\t{p + 1}\n" for c in "AB" for p in (110, 120)))
+    cli.run(spark, ["convert", "-i", str(tmp_path / "a.sam"), "-c", str(tmp_path / "s.txt"), "-o", str(tmp_path / "o.mhap.gz")])
+    lines = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "o.mhap.gz").glob("part-*"))).decode().splitlines()
+    assert [x.split("\t")[0] for x in lines] == ["chrB"] * (len(lines) // 2) + ["chrA"] * (len(lines) // 2) and lines
+    # by content, whatever the name
+    (tmp_path / "plain").write_bytes(bam.encode([], [("chr1", 10)], "@HD\tVN:1.6\n"))
+    assert cli._is_bam(str(tmp_path / "plain")) and not cli._is_bam(str(tmp_path / "a.sam")) and cli._is_bam(str(tmp_path) + "/none.bam")
+
+
+def test_block_offsets():
+    data = bytes(random.Random(1).randrange(4) for _ in range(300_000))
+    packed = io.BytesIO(bgzf.compress(data))
+    index = bgzf.block_index(packed)
+    assert [c for _, c in index[:-1]] == list(range(0, 300_000, bgzf.BLOCK))
+    for offset, size in ((0, 10), (65_279, 5), (65_280, 5), (200_000, 90_000), (299_990, 100), (400_000, 5)):
+        assert bgzf.read_indexed(packed, index, offset, size) == data[offset : offset + size]
+    assert bgzf.read_at(packed, index[2][0] << 16 | 17, 70_000) == data[2 * bgzf.BLOCK + 17 :][:70_000]
+    assert bgzf.read_indexed(io.BytesIO(b""), [], 0, 5) == b""
+
+
+def test_tickets(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"htsget": {"format": "BAM", "urls": [{"url": "data:application/x;base64,QUJD"}, {"url": "https://a/b?c=\\u0041", "headers": {"Range": "bytes=0-9", "X": "\\"q\\""}}, {"url": "data:,a%20b+c"}]}}')
+    got = read_ticket(spark, str(tmp_path / "t.json")).orderBy("part").collect()
+    assert [(r.format, r.url, r.data and bytes(r.data)) for r in got] == [("BAM", "data:application/x;base64,QUJD", b"ABC"), ("BAM", "https://a/b?c=A", None), ("BAM", "data:,a%20b+c", b"a b+c")]
+    assert got[1].headers == {"Range": "bytes=0-9", "X": '"q"'}
+    (tmp_path / "no.json").write_text("[1, 2")
+    with pytest.raises(Exception, match="ticket"):
+        read_ticket(spark, str(tmp_path / "no.json")).collect()
+
+
+def test_custom_parsers_and_clients(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandloom.operators.pileup import aligned_positions
+
+    (tmp_path / "r.txt").write_text("x;c1;5;9;a\n# none\nbad\nx;c2;1;2;b\n")
+    cut = lambda v, i: F.get(F.split(v, ";"), F.lit(i))
+    parser = lambda v: F.when(F.size(F.split(v, ";")) == 5, F.struct(cut(v, 1).alias("chr"), cut(v, 2).cast("bigint").alias("beg"), cut(v, 3).cast("bigint").alias("end"), cut(v, 4).alias("payload")))
+    assert [tuple(r)[1:] for r in text.read_regions(spark, str(tmp_path / "r.txt"), parser=parser).orderBy("ord").collect()] == [("c1", 5, 9, "a"), ("c2", 1, 2, "b")]
+    reads = spark.createDataFrame([(0, "c", 0, 4, "3M", "ACG")], "ord bigint, chr string, flag int, pos bigint, cigar string, seq string")
+    assert [(r.position, r.client) for r in aligned_positions(reads, F.length("seq")).collect()] == [(5, 3), (6, 3), (7, 3)]
+
+
+def test_bcf_writer_and_reheader(spark, tmp_path):
+    from strandloom.sources import bcf
+
+    head = '##fileformat=VCFv4.2\n##FILTER=<ID=q10,Description="x">\n##contig=<ID=1>\n##contig=<ID=2>\n##INFO=<ID=DP,Number=1,Type=Integer,Description="x">\n##INFO=<ID=AF,Number=A,Type=Float,Description="x">\n##INFO=<ID=DB,Number=0,Type=Flag,Description="x">\n##INFO=<ID=S,Number=1,Type=String,Description="x">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="x">\n##FORMAT=<ID=PL,Number=G,Type=Integer,Description="x">\n##FORMAT=<ID=T,Number=1,Type=String,Description="x">\n'
+    columns = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n"
+    body = "2\t10\t.\tA\tC,GG\t30\tPASS\tDP=5;AF=0.5,.;DB;S=x,y\tGT:PL:T\t0/1:1,.,3:ab\t.|2:4:c\n" + "".join(f"1\t{i}\trs{i}\tT\tC\t.\tq10\t.\tGT\t0\t1/1\n" for i in range(1, 200))
+    (tmp_path / "a.vcf").write_text(head + columns + body)
+    table = vcf.read_vcf(spark, str(tmp_path / "a.vcf"))
+    bcf.write_bcf(table.repartition(3), str(tmp_path / "out"), head + columns)
+    back = bcf.read_bcf(spark, str(tmp_path / "out"))
+    assert back.rdd.getNumPartitions() == 3
+    rows = lambda t: sorted(str(r.asDict(recursive=True)) for r in t.collect())
+    assert rows(back.select(*table.columns)) == rows(table)
+    vcf.reheader(spark, str(tmp_path / "a.vcf"), ["##new=1", columns.rstrip("\n")], str(tmp_path / "re"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "re").glob("part-*")))
+    assert lines == "##new=1\n" + columns + body
+    vcf.write_vcf(table, (head + columns).splitlines(), ["A", "B"], str(tmp_path / "w"))
+    written = [x for p in sorted((tmp_path / "w").glob("part-*")) for x in p.read_text().splitlines()]
+    assert written[: len(head.splitlines())] == head.splitlines() and len(written) == len(head.splitlines()) + 201
