@@ -37,10 +37,20 @@ def count_tokens(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+def token_table(docs: DataFrame) -> DataFrame:
+    """doc_id, source and n_tokens of every row, a stored table: the texts are read once."""
+    return stored(docs.select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens")), "mix-tokens")
+
+
+def _keyed(docs: DataFrame, seed: int, tokens: str | None) -> DataFrame:
+    """docs with source key, block and place in the permutation, number of tokens and whether it
+    is not 0; the number is left out of plans that do not use it."""
+    number = count_tokens(F.col("text")) if tokens is None else F.col(tokens)
+    some = F.coalesce(F.rlike("text", F.lit(WORDS)), F.lit(False)) if tokens is None else F.col(tokens) > 0
     return docs.withColumns({
         "_src": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
-        "_tokens": count_tokens(F.col("text")),
+        "_tokens": number,
+        "_some": some,
         "_h": F.xxhash64(F.lit(seed), F.col("doc_id")),
     }).withColumn("_block", F.shiftright("_h", 64 - BLOCK_BITS).cast("int"))
 
@@ -68,21 +78,26 @@ def find_exponent(shares: DataFrame, smallest: float, largest: float, max_epochs
             else:
                 most = (smallest / largest) ** (a - 1) if cover else smallest ** (a - 1) / z
                 fit.append(most <= max_epochs + 1e-12)
-        first = next((i for i, ok in enumerate(fit) if ok), grid)
+        first = next((i for i, ok in enumerate(fit) if ok), None)
+        if first is None:
+            raise ValueError(f"no exponent up to {hi:g} meets the target " + (f"entropy of {entropy}" if entropy is not None else f"of {max_epochs} epochs"))
         if first == 0:
             return tried[0]
         lo, hi = tried[first - 1], tried[first]
     return hi
 
 
-def mix_sources(docs: DataFrame, max_epochs: float | None = 1.5, entropy: float | None = None, budget: int | None = None, cover: bool = True, seed: int = 7, prefix: str = "") -> DataFrame:
+def mix_sources(docs: DataFrame, max_epochs: float | None = 1.5, entropy: float | None = None, budget: int | None = None, cover: bool = True, seed: int = 7, prefix: str = "", tokens: str | None = None) -> DataFrame:
     """docs with n_tokens, weight, epochs, copies and block (after ``prefix``).
 
+    ``tokens`` names a column that holds the numbers of tokens already (see ``token_table``).  A
+    target that no exponent meets raises ValueError.
+
     The budget of tokens is ``budget``; if it is None, then with ``cover`` the least at which
     every source runs through at least once, else the corpus's own number of tokens.
     """
     spark = docs.sparkSession
-    keyed = _keyed(docs, seed)
+    keyed = _keyed(docs, seed, tokens)
     blocks = stored(keyed.groupBy("_src", "_block").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-blocks")
     sources = blocks.groupBy("_src").agg(F.sum("tokens").alias("n")).where("n > 0")
     total = sources.agg(F.sum("n")).first()[0] or 0
@@ -98,7 +113,7 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 1.5, entropy: float
     # a source that the budget just covers has epochs of 1 but for rounding
     weighted = weighted.withColumn("epochs", F.when(F.abs(F.col("epochs") - F.round("epochs")) < 1e-9, F.round("epochs")).otherwise(F.col("epochs")))
     weighted = weighted.withColumn("_extra", (F.col("epochs") - F.floor("epochs")) * F.col("n"))
-    plan = stored(_thresholds(keyed, blocks, weighted), "mix-plan")
+    plan = stored(_thresholds(keyed, blocks, weighted, tokens), "mix-plan")
     plan = plan.select(F.col("_src").alias("_p_src"), F.col("weight").alias("_p_weight"), F.col("epochs").alias("_p_epochs"), F.col("_last").alias("_p_last"))
     if n_sources <= MAX_BROADCAST_SOURCES:
         out = keyed.join(F.broadcast(plan), F.col("_src") == F.col("_p_src"), "left")
@@ -107,12 +122,12 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 1.5, entropy: float
         out = keyed.withColumn("_salt", F.pmod("_h", F.lit(SALTS))).join(salted, (F.col("_src") == F.col("_p_src")) & (F.col("_salt") == F.col("_p_salt")), "left")
     copies = F.floor("_p_epochs") + F.when(F.col("_h") <= F.col("_p_last"), 1).otherwise(0)
     return out.select(
-        *(out[f"`{c}`"] for c in docs.columns), F.col("_tokens").alias(f"{prefix}n_tokens"), F.coalesce("_p_weight", F.lit(0.0)).alias(f"{prefix}weight"), F.coalesce("_p_epochs", F.lit(1.0)).alias(f"{prefix}epochs"),
-        F.when(F.col("_tokens") == 0, 1).otherwise(copies).cast("int").alias(f"{prefix}copies"), F.col("_block").alias(f"{prefix}block"),
+        *(out[f"`{c}`"] for c in docs.columns if c != f"{prefix}n_tokens" or c != tokens), F.col("_tokens").alias(f"{prefix}n_tokens"), F.coalesce("_p_weight", F.lit(0.0)).alias(f"{prefix}weight"), F.coalesce("_p_epochs", F.lit(1.0)).alias(f"{prefix}epochs"),
+        F.when(~F.col("_some"), 1).otherwise(copies).cast("int").alias(f"{prefix}copies"), F.col("_block").alias(f"{prefix}block"),
     )
 
 
-def _thresholds(keyed: DataFrame, blocks: DataFrame, weighted: DataFrame) -> DataFrame:
+def _thresholds(keyed: DataFrame, blocks: DataFrame, weighted: DataFrame, tokens: str | None) -> DataFrame:
     """For each source the last permutation key that still fits its extra budget."""
     order = Window.partitionBy("_src").orderBy("_block")
     cut = (
@@ -121,8 +136,13 @@ def _thresholds(keyed: DataFrame, blocks: DataFrame, weighted: DataFrame) -> Dat
         .where((F.col("_upto") > F.col("_extra")) & (F.col("_upto") - F.col("tokens") <= F.col("_extra")) & (F.col("tokens") > 0))
         .select(F.col("_src").alias("_c_src"), F.col("_block").alias("_c_block"), (F.col("_extra") - (F.col("_upto") - F.col("tokens"))).alias("_room"))
     )
-    # the documents of one block of each source: a 2^-16 part of the source's rows
-    inner = keyed.select("_src", "_block", "_h", "_tokens").join(cut, (F.col("_src") == F.col("_c_src")) & (F.col("_block") == F.col("_c_block")))
+    # the documents of one block of each source: a 2^-16 part of the source's rows, and only
+    # their texts are counted again
+    place = (F.col("_src") == F.col("_c_src")) & (F.col("_block") == F.col("_c_block"))
+    if tokens is None:
+        inner = keyed.select("_src", "_block", "_h", "text").join(cut, place).withColumn("_tokens", count_tokens(F.col("text")))
+    else:
+        inner = keyed.select("_src", "_block", "_h", "_tokens").join(cut, place)
     by_key = inner.groupBy("_src", "_h", "_room").agg(F.sum("_tokens").alias("_tokens"))
     run = by_key.withColumn("_sum", F.sum("_tokens").over(Window.partitionBy("_src").orderBy("_h")))
     last = run.groupBy("_src").agg(F.max(F.when(F.col("_sum") <= F.col("_room"), F.col("_h"))).alias("_fits"))

@@ -50,7 +50,7 @@ def op6_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mix_sources(mixing.token_table(_table(spark, sf_dir, "documents")), tokens="n_tokens")
     return mixing.realise(mixed).select("doc_id", "source", "n_tokens", "weight", "epochs", "copies", "block", "copy", "position")
 
 

@@ -497,6 +497,23 @@ def test_mixing_to_an_entropy_and_a_budget(spark):
     assert all(0 <= r.position <= 1 + 1e-9 for r in placed if r.epochs == int(r.epochs))
 
 
+def test_a_target_out_of_reach_is_told(spark):
+    docs = spark.createDataFrame([(i, "a b c", None, "ab"[i % 2], 1) for i in range(20)], DOC)
+    with pytest.raises(ValueError, match="entropy"):
+        mixing.mix_sources(docs, max_epochs=None, entropy=0.5)  # two equal sources always have ln 2
+    with pytest.raises(ValueError, match="epochs"):
+        mixing.mix_sources(docs, max_epochs=0.5)
+
+
+def test_counted_tokens_mix_alike(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "", " \n"]) if i % 17 == 0 else prose(rng, rng.randint(1, 30)), None, rng.choice("aaaabbc"), 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOC)
+    columns = ["doc_id", "source", "n_tokens", "weight", "epochs", "copies", "block"]
+    want = sorted(map(str, mixing.mix_sources(docs).select(columns).collect()))
+    assert sorted(map(str, mixing.mix_sources(mixing.token_table(docs), tokens="n_tokens").select(columns).collect())) == want
+
+
 def test_copies_have_positions_at_the_weights(spark, tmp_path):
     from strandloom.llm import registry
 
