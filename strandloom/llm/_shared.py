@@ -35,8 +35,9 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
 
 
-#: Bytes of an Arrow batch while a table is stored.
+#: Bytes of an Arrow batch while a table is stored, and of a row group, which a writer holds.
 BATCH_BYTES = "8m"
+_ROW_GROUP = {"parquet.block.size": str(32 << 20)}
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -50,7 +51,7 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     before = spark.conf.get(_BATCH_CONF, None)
     spark.conf.set(_BATCH_CONF, BATCH_BYTES)
     try:
-        df.write.options(**options).parquet(path)
+        df.write.options(**_ROW_GROUP, **options).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_BATCH_CONF)
