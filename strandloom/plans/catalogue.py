@@ -16,6 +16,7 @@ from ..operators import convert as C
 from ..operators import haplotypes as H
 from ..operators import likelihood as L
 from ..operators import pileup as P
+from ..operators import realign as N
 from ..operators import regions as R
 from ..operators import sites as S
 from ..operators import summary as M
@@ -362,6 +363,15 @@ def aln_mapq_cap(spark, d):
     return RD.cap_mapping_quality(reads).select("ord", "cap")
 
 
+@query
+def aln_alignment_quality(spark, d):
+    """What the base qualities lose by probabilistic alignment to a reference of CTCT...; no SQL
+    twin: the tests compare the model with a sum over all its paths."""
+    start = F.greatest(F.floor((F.col("pos") - 200) / 2) * 2, F.lit(0))
+    reads = D.alignments(spark, d).select("ord", "flag", "pos", "cigar", "seq", "qual").withColumns({"aux": F.expr("cast(map() as map<string,string>)"), "reference_start": start, "reference": F.repeat(F.lit("CT"), 400)})
+    return N.base_alignment_quality(reads).select("ord", F.element_at("aux", "BQ").alias("bq"))
+
+
 @query
 def genotype_likelihood(spark, d):
     """The ten genotypes at every site that reads cover, from all their bases there."""
