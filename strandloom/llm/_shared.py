@@ -2,13 +2,16 @@
 
 Intermediate tables are Parquet folders under ``spark.checkpoint.dir``: they cut
 lineage, survive lost executors, and are visible to every executor.  When the
-setting is absent (unit tests on one machine) a temporary folder stands in.
+setting is absent a temporary folder stands in on one machine (a local master); on a cluster,
+whose executors would each write to a disk of their own, that is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = sc.applicationId
         if app not in _fallback:
             _fallback[app] = "file://" + tempfile.mkdtemp(prefix="strandloom-")
@@ -57,7 +62,23 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
             spark.conf.unset(_BATCH_CONF)
         else:
             spark.conf.set(_BATCH_CONF, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _places[id(table)] = (weakref.ref(table, lambda _, key=id(table): _places.pop(key, None)), path)
+    return table
+
+
+#: Where the tables that ``stored`` returned lie, as long as they are held.
+_places: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads; other tables are left alone."""
+    for table in tables:
+        known = _places.get(id(table))
+        if known is not None and known[0]() is table:
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(known[1])
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def open_fs(uri: str):

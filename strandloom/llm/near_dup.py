@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import texthash
-from ._shared import fresh_path, open_fs, salt, stored, tidy, with_group_stats
+from ._shared import discard, fresh_path, open_fs, salt, stored, tidy, with_group_stats
 from .components import components
 
 SHINGLE = 5
@@ -188,10 +188,12 @@ def _prefix_rows(uri: str):
     return run
 
 
-def _prefix_members(known: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, id, size, indexed): the prefixes of the texts that are still open."""
+def _prefix_members(known: DataFrame, sets: DataFrame, gone: list[DataFrame]) -> DataFrame:
+    """(key, id, size, indexed): the prefixes of the texts that are still open; the table of
+    their sets is added to ``gone``."""
     ids = known.select(F.col("id").alias("k_id")).distinct()
     open_sets = stored(sets.join(ids, F.col("id") == F.col("k_id"), "left_semi"), "nd-open")
+    gone.append(open_sets)
     uri = fresh_path(open_sets.sparkSession, "nd-cells")
     open_sets.mapInArrow(_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).write.parquet(uri)
     return open_sets.mapInArrow(_prefix_rows(uri), "key bigint, id bigint, size bigint, indexed boolean")
@@ -238,7 +240,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stored(texts.mapInArrow(_sets, "id bigint, set binary"), "nd-sets")
 
     stars = _best_star(members.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")))
+    gone = [members, sets]  # tables that are deleted in the end
     links = stored(_confirmed(stars, sets), "nd-links")
+    gone.append(links)
     # rows of one doc_id with different texts tie their classes together
     torn = tagged.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v")
     torn = tagged.join(torn.select(F.col("doc_id").alias("t_id"), "u"), F.col("doc_id") == F.col("t_id")).where("rep > u").select(F.col("rep").alias("u"), F.col("u").alias("v"))
@@ -247,15 +251,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     known = stored(_labelled(members.select("key", "id"), label), "nd-known")
     stars = _best_star(known.where("component <> main").select(F.col("id").alias("u"), F.col("star").alias("v")))
-    links, label = _joined(links, label, stored(_confirmed(stars, sets), "nd-links"))
+    more = stored(_confirmed(stars, sets), "nd-links")
+    links, label = _joined(links, label, more)
+    gone += [known, more]
     known = stored(_labelled(members.select("key", "id"), label), "nd-known")
-    known = stored(_labelled(_prefix_members(known, sets), label), "nd-known")
+    gone.append(known)
+    known = stored(_labelled(_prefix_members(known, sets, gone), label), "nd-known")
+    gone.append(known)
     sized = known.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where(F.col("n") > PAIRWISE)
     sizes = sized.select(F.col("key").alias("b_key"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     crowded = stored(known.join(sizes, F.col("key") == F.col("b_key")).drop("b_key"), "nd-crowded")
     few = known.join(sizes, F.col("key") == F.col("b_key"), "left_anti")
     more = stored(_confirmed(_open_pairs(few), sets).unionByName(_block_links(crowded, sets)), "nd-links")
     links, label = _joined(links, label, more)
+    discard(*gone, crowded, more)
 
     found = label.select(F.col("id").alias("l_id"), F.col("component").alias("l_component"))
     done = tagged.select("doc_id", "n_shingles", "rep").join(found, F.col("rep") == F.col("l_id"), "left").select(

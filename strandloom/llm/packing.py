@@ -39,6 +39,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Bytes of text whose distinct words are tokenized together.
 CHUNK_BYTES = 48_000_000
+#: Slices of a length whose counts are added up in one window.
+STRETCH = 4096
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -270,9 +272,14 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, rows_per_slice: int = 20_
     plan = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "p_length bigint, p_first bigint, p_ranks bigint, p_bin bigint, p_offset bigint")
     slices = max(1, sum(histogram.values()) // rows_per_slice)
     keyed = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
-    before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = keyed.groupBy("length", "_slice").count().select(
-        F.col("length").alias("_b_length"), F.col("_slice").alias("_b_slice"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")
+    # the rows before each slice: within stretches of slices, on top of the stretches' own sums
+    sizes = keyed.groupBy("length", "_slice").count().withColumn("_part", F.floor(F.col("_slice") / STRETCH))
+    earlier = lambda key, *group: Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("length", "_part").agg(F.sum("count").alias("count"))
+    parts = parts.select(F.col("length").alias("_p_length"), F.col("_part").alias("_p_part"), F.coalesce(F.sum("count").over(earlier("_part", "length")), F.lit(0)).alias("_ahead"))
+    base = sizes.withColumn("_inner", F.coalesce(F.sum("count").over(earlier("_slice", "length", "_part")), F.lit(0)))
+    base = base.join(parts, (F.col("length") == F.col("_p_length")) & (F.col("_part") == F.col("_p_part"))).select(
+        F.col("length").alias("_b_length"), F.col("_slice").alias("_b_slice"), (F.col("_ahead") + F.col("_inner")).alias("_base")
     )
     within = Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "ids_crc32")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1)

@@ -657,3 +657,41 @@ def test_scores_of_words_of_one_hash(spark, monkeypatch):
         for p, s, e in zip(place, start, end):
             word = data[s:e].tobytes().decode().lower()
             assert (words[int(known.logs[0][p])] == word) if p >= 0 else word in ("not", "there")
+
+
+def test_ranks_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 3)
+    rows = [(i, 0, 0, 5 + i % 3, i) for i in range(900)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    for per_slice in (20_000, 30):
+        placed = packing.place(pieces, 20, per_slice).collect()
+        assert len(placed) == 900 and len({(r.sequence_id, r.offset) for r in placed}) == 900
+        by = Counter()
+        for r in placed:
+            by[r.sequence_id] += r.length
+        assert max(by.values()) <= 20
+
+
+def test_stored_tables_are_deleted_when_told(spark):
+    import os
+
+    from strandloom.llm import _shared
+
+    table = _shared.stored(spark.range(5), "test-discard")
+    path = _shared._places[id(table)][1].removeprefix("file://")
+    assert os.path.isdir(path) and table.count() == 5
+    _shared.discard(spark.range(3), table.select("id"))
+    assert os.path.isdir(path)
+    _shared.discard(table)
+    assert not os.path.isdir(path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from strandloom.llm import _shared
+
+    conf = SimpleNamespace(get=lambda key: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _shared.shared_dir(cluster)
