@@ -38,6 +38,8 @@ HIDDEN = 16
 WINDOWS_PER_DOC = 3
 TRAIN_BYTES = 96
 PER_LANGUAGE = 500
+#: Steps of training at least, however few the windows.
+LEAST_STEPS = 190
 #: Training documents in all.
 SAMPLE_DOCS = 128_000
 #: Languages up to which batches are of full size; with more they shrink.
@@ -192,7 +194,9 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: i
     target = np.asarray([place[x] for x in labels])
     batch = max(1, min(batch, 8 * FULL_BATCH_LANGUAGES * batch // len(languages)))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.params()]
-    step, total = 0, epochs * -(-len(texts) // batch)
+    steps = -(-len(texts) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // steps))
+    step, total = 0, epochs * steps
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
