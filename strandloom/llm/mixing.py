@@ -113,7 +113,7 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 1.5, entropy: float
     # a source that the budget just covers has epochs of 1 but for rounding
     weighted = weighted.withColumn("epochs", F.when(F.abs(F.col("epochs") - F.round("epochs")) < 1e-9, F.round("epochs")).otherwise(F.col("epochs")))
     weighted = weighted.withColumn("_extra", (F.col("epochs") - F.floor("epochs")) * F.col("n"))
-    plan = stored(_thresholds(keyed, blocks, weighted, tokens), "mix-plan")
+    plan = stored(_thresholds(keyed, blocks, weighted, tokens is None and n_sources <= MAX_BROADCAST_SOURCES), "mix-plan")
     plan = plan.select(F.col("_src").alias("_p_src"), F.col("weight").alias("_p_weight"), F.col("epochs").alias("_p_epochs"), F.col("_last").alias("_p_last"))
     if n_sources <= MAX_BROADCAST_SOURCES:
         out = keyed.join(F.broadcast(plan), F.col("_src") == F.col("_p_src"), "left")
@@ -127,7 +127,7 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 1.5, entropy: float
     )
 
 
-def _thresholds(keyed: DataFrame, blocks: DataFrame, weighted: DataFrame, tokens: str | None) -> DataFrame:
+def _thresholds(keyed: DataFrame, blocks: DataFrame, weighted: DataFrame, by_text: bool) -> DataFrame:
     """For each source the last permutation key that still fits its extra budget."""
     order = Window.partitionBy("_src").orderBy("_block")
     cut = (
@@ -136,11 +136,11 @@ def _thresholds(keyed: DataFrame, blocks: DataFrame, weighted: DataFrame, tokens
         .where((F.col("_upto") > F.col("_extra")) & (F.col("_upto") - F.col("tokens") <= F.col("_extra")) & (F.col("tokens") > 0))
         .select(F.col("_src").alias("_c_src"), F.col("_block").alias("_c_block"), (F.col("_extra") - (F.col("_upto") - F.col("tokens"))).alias("_room"))
     )
-    # the documents of one block of each source: a 2^-16 part of the source's rows, and only
-    # their texts are counted again
+    # the documents of one block of each source: a 2^-16 part of the source's rows; with few
+    # sources the others' texts are neither counted again nor shuffled
     place = (F.col("_src") == F.col("_c_src")) & (F.col("_block") == F.col("_c_block"))
-    if tokens is None:
-        inner = keyed.select("_src", "_block", "_h", "text").join(cut, place).withColumn("_tokens", count_tokens(F.col("text")))
+    if by_text:
+        inner = keyed.select("_src", "_block", "_h", "text").join(F.broadcast(cut), place).withColumn("_tokens", count_tokens(F.col("text")))
     else:
         inner = keyed.select("_src", "_block", "_h", "_tokens").join(cut, place)
     by_key = inner.groupBy("_src", "_h", "_room").agg(F.sum("_tokens").alias("_tokens"))
