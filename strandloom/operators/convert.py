@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,22 +43,32 @@ def site_bases(reads: DataFrame, sites: DataFrame, mode: str = "BS", width: int
     met = point_in_interval(spans, points, "chr", F.col("_lo"), F.col("_hi"), "_p_chr", "site", width)
     offset = (F.col("site") - F.col("_lo")).cast("int")
     base = F.substr(F.col("seq"), offset + 1, F.lit(1))
-    return met.select("ord", "chr", "qname", "wc", "site", methylation(base, F.col("wc"), mode).alias("met"), quality_at(F.col("qual"), offset).alias("q"))
+    return met.select("ord", *_numbered(reads), "chr", "qname", "wc", "site", methylation(base, F.col("wc"), mode).alias("met"), quality_at(F.col("qual"), offset).alias("q"))
+
+
+def _numbered(reads: DataFrame) -> list[str]:
+    return ["idx"] if "idx" in reads.columns else []
 
 
 def read_haplotypes(bases: DataFrame) -> DataFrame:
-    """One row a read whose bases are legal at all its sites: its calls in site order."""
+    """One row a read whose bases are legal at all its sites: its calls in site order (and its
+    number ``idx``, if the bases have it)."""
     calls = F.array_sort(F.collect_list(F.struct("site", "met", "q")))
-    whole = bases.groupBy("ord", "chr", "qname", "wc").agg(calls.alias("calls"), F.bool_and(F.col("met").isNotNull()).alias("legal"))
-    return whole.where("legal").select("ord", "chr", "qname", "wc", "calls", F.col("calls")[0]["site"].alias("s0"), F.element_at("calls", -1)["site"].alias("e0"))
+    whole = bases.groupBy("ord", *_numbered(bases), "chr", "qname", "wc").agg(calls.alias("calls"), F.bool_and(F.col("met").isNotNull()).alias("legal"))
+    return whole.where("legal").select("ord", *_numbered(bases), "chr", "qname", "wc", "calls", F.col("calls")[0]["site"].alias("s0"), F.element_at("calls", -1)["site"].alias("e0"))
 
 
 def global_index(df: DataFrame, order: str) -> DataFrame:
-    """Add ``idx``, the 0-based place in the order of a whole-number column, without one
-    task that sorts everything: counts of key buckets are added up."""
+    """Add ``idx``, the 0-based place in the order of a whole-number column, without one task
+    that sorts everything: rows are ranked in buckets of keys, the buckets' counts are added up
+    in stretches of buckets, and the stretches' by one task (a row for each 2^32 keys)."""
     keyed = df.withColumn("_bucket", F.floor(F.col(order) / INDEX_BUCKET))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = keyed.groupBy("_bucket").count().select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    sizes = keyed.groupBy("_bucket").count().withColumn("_part", F.floor(F.col("_bucket") / INDEX_BUCKET))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("_part").agg(F.sum("count").alias("count")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
+    before = Window.partitionBy("_part").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.withColumn("_inner", F.coalesce(F.sum("count").over(before), F.lit(0))).join(parts, F.col("_part") == F.col("_p"))
+    base = base.select(F.col("_bucket").alias("_b"), (F.col("_ahead") + F.col("_inner")).alias("_base"))
     inner = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1)
     return inner.join(base, F.col("_bucket") == F.col("_b")).select(*df.columns, (F.col("_rn") + F.col("_base")).cast("long").alias("idx"))
 
@@ -74,34 +81,24 @@ def eviction_breaks(first: F.Column, second: F.Column, every: int = EVICT_EVERY,
 def pair_mates(haplotypes: DataFrame, numbers: DataFrame | None = None, every: int = EVICT_EVERY, age: int = EVICT_AGE) -> DataFrame:
     """Add ``pair``: successive reads of one name on a chromosome share a number.
 
-    With ``numbers`` (ord, idx of accepted reads) waiting mates are given up as the bounded
-    buffer does; names with more than two reads are then walked in order.
+    With ``numbers`` (ord, idx of accepted reads), or a column ``idx``, waiting mates are given up
+    as the bounded buffer does.  A read that would be given up before the next one of its name
+    comes ends a stretch of reads; whether it waits then or has met its mate, the next one starts
+    afresh, so reads pair off from the start of each stretch.
     """
     order = Window.partitionBy("chr", "qname").orderBy("ord")
-    rn = haplotypes.withColumn("_rn", F.row_number().over(order))
-    if numbers is None:
+    if numbers is None and "idx" not in haplotypes.columns:
+        rn = haplotypes.withColumn("_rn", F.row_number().over(order))
         return rn.withColumn("pair", F.floor((F.col("_rn") - 1) / 2).cast("long")).drop("_rn")
-    many = Window.partitionBy("chr", "qname")
-    seen = rn.join(numbers.select(F.col("ord").alias("_n_ord"), "idx"), F.col("ord") == F.col("_n_ord")).drop("_n_ord").withColumn("_many", F.count("*").over(many))
-    two = seen.where("_many <= 2").withColumn("_first", F.min("idx").over(many))
-    broken = (F.col("_rn") == 2) & eviction_breaks(F.col("_first"), F.col("idx"), every, age)
-    two = two.withColumn("pair", F.when(broken, 1).otherwise(0).cast("long")).select("ord", "pair")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        pairs, number, waiting = [], -1, None
-        for i in group["idx"]:
-            if waiting is not None and math.ceil((waiting + age + 1) / every) * every > i + 1:
-                waiting = None
-            else:
-                number += 1
-                waiting = i
-            pairs.append(number)
-        return pd.DataFrame({"ord": group["ord"], "pair": pairs})
-
-    more = seen.where("_many > 2").select("ord", "chr", "qname", "idx").groupBy("chr", "qname").applyInPandas(walk, "ord bigint, pair bigint")
-    pairs = two.unionByName(more).select(F.col("ord").alias("_p_ord"), "pair")
-    return haplotypes.join(pairs, F.col("ord") == F.col("_p_ord")).drop("_p_ord")
+    seen, idx = haplotypes, "idx"
+    if numbers is not None:
+        seen, idx = haplotypes.join(numbers.select(F.col("ord").alias("_n_ord"), F.col("idx").alias("_idx")), F.col("ord") == F.col("_n_ord")).drop("_n_ord"), "_idx"
+    broken = F.coalesce(eviction_breaks(F.lag(idx).over(order), F.col(idx), every, age), F.lit(False))
+    cut = seen.withColumn("_broken", broken.cast("int")).withColumn("_stretch", F.sum("_broken").over(order))
+    turn = F.row_number().over(Window.partitionBy("chr", "qname", "_stretch").orderBy("ord"))
+    halved = cut.withColumn("_half", F.floor((turn - 1) / 2))
+    number = F.dense_rank().over(Window.partitionBy("chr", "qname").orderBy("_stretch", "_half")) - 1
+    return halved.withColumn("pair", number.cast("long")).select(*haplotypes.columns, "pair")
 
 
 def mate_meetings(numbers: DataFrame, every: int = EVICT_EVERY, age: int = EVICT_AGE) -> DataFrame:
@@ -147,9 +144,10 @@ def convert(alignments: DataFrame, sites: DataFrame, regions: DataFrame | None =
     if mode not in ("BS", "TAPS"):
         raise ValueError(f"mode must be BS or TAPS, not {mode!r}")
     reads = accepted_reads(alignments if regions is None else select_reads(alignments, regions), directional)
+    if paired and evict:
+        reads = global_index(reads, "ord")
     haplotypes = read_haplotypes(site_bases(reads, sites, mode))
     if not paired:
         met = F.transform("calls", lambda c: c["met"])
         return count_haplotypes(haplotypes.select("chr", F.col("s0").alias("beg"), F.col("e0").alias("end"), F.array_join(met, "").alias("hap"), strand_symbol(F.col("wc")).alias("strand")))
-    numbers = global_index(reads.select("ord"), "ord") if evict else None
-    return count_haplotypes(unite_mates(pair_mates(haplotypes, numbers, every, age)))
+    return count_haplotypes(unite_mates(pair_mates(haplotypes, None, every, age)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +13,13 @@ def windowed_counts(stream: DataFrame, time: str, key: str, methylated: F.Column
     return grouped.agg(F.count("*").alias("cnt"), F.sum(methylated.cast("bigint")).alias("meth")).select(F.col("window.start").alias("window_start"), "chr", "cnt", "meth")
 
 
-def counts_until_done(spark: SparkSession, path: str) -> DataFrame:
-    """Stream a Parquet table through ``windowed_counts`` until it is read, as a DataFrame."""
+def counts_until_done(spark: SparkSession, path: str, late: str = "36500 days") -> DataFrame:
+    """Stream a Parquet table through ``windowed_counts`` until it is read, as a DataFrame.
+
+    Each batch hands on the windows that it changed, in a folder of its own (a repeated batch
+    replaces it); a window's last state counts.  The default ``late`` keeps every row, as a
+    table's files come in any order; with a shorter one finished windows leave the state.
+    """
     from ..sources.scratch import scratch_path
 
     table = spark.read.parquet(path)
@@ -25,15 +28,19 @@ def counts_until_done(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.readStream.schema(table.schema)
     events = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = windowed_counts(events, "ts", "event_type", F.when(F.col("value") >= 10, 1).otherwise(0))
+    counted = windowed_counts(events, "ts", "event_type", F.when(F.col("value") >= 10, 1).otherwise(0), late=late)
     out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
-    writer = counted.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", state)
-    last = {}
+    writer = counted.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", state)
+    written = set()
 
     def keep(batch: DataFrame, number: int) -> None:
-        target = f"{out}/{number}-{uuid.uuid4().hex}"
-        batch.write.parquet(target)
-        last["path"] = target
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        written.add(number)
 
     writer.foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(last["path"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    if not written:  # the source has no rows
+        changed = spark.createDataFrame([], "window_start timestamp, chr string, cnt bigint, meth bigint, batch bigint")
+    else:
+        changed = spark.read.schema("window_start timestamp, chr string, cnt bigint, meth bigint, batch bigint").parquet(out)
+    last = changed.groupBy("window_start", "chr").agg(F.max_by(F.struct("cnt", "meth"), "batch").alias("s"))
+    return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "chr", "s.cnt", "s.meth")

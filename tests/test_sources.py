@@ -274,6 +274,21 @@ def test_stream_of_a_folder(spark, tmp_path):
     assert sum(r.cnt for r in out) == 30 and sum(r.meth for r in out) == 20 and len(out) == 6
 
 
+def test_stream_over_many_batches_and_none(spark, tmp_path):
+    import datetime as dt
+
+    schema = "event_id bigint, ts timestamp, event_type string, value double"
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 5, i % 7), "click" if i % 2 else "view", float(i % 20)) for i in range(200)]
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(str(tmp_path / "a" / "events.parquet"))
+    want = {}
+    for _, ts, kind, value in rows:
+        n, m = want.get((ts, kind), (0, 0))
+        want[ts, kind] = (n + 1, m + (value >= 10))
+    assert {(r.window_start, r.chr): (r.cnt, r.meth) for r in counts_until_done(spark, str(tmp_path / "a" / "events.parquet")).collect()} == want
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b" / "events.parquet"))
+    assert counts_until_done(spark, str(tmp_path / "b" / "events.parquet")).count() == 0
+
+
 def test_merged_headers(spark):
     one = sam.parse_header(spark.createDataFrame([("@HD\tVN:1.6", 0), ("@SQ\tSN:a\tLN:1", 1)], "value string, line bigint"))
     two = sam.parse_header(spark.createDataFrame([("@HD\tVN:1.5", 0), ("@SQ\tSN:b\tLN:2", 1), ("@SQ\tSN:a\tLN:9", 2)], "value string, line bigint"))
