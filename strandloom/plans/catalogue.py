@@ -25,6 +25,7 @@ from ..operators import variants as V
 from ..sources import bam, sequences
 from ..sources.scratch import scratch_path
 from . import derived as D
+from . import round_trips
 from .oracles import ORACLES
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,8 +443,8 @@ def streamed_event_haplotypes(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | round_trips.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | round_trips.oracle_sql()

@@ -9,7 +9,7 @@ import pytest
 from strandloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "customer part supplier orders lineitem events".split()
+TABLES = "customer part supplier orders lineitem events nation".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
