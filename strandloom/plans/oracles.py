@@ -208,10 +208,10 @@ column_bases AS (
 def _likelihoods() -> str:
     pairs = ", ".join(f"('{a}{b}', '{a}', '{b}')" for i, a in enumerate("ACGT") for b in "ACGT"[i:])
     return f"""WITH {_SITES}, {_ALN}, {_COVER},
-c AS (SELECT chr, position, base, reverse, CAST(least(63, greatest(4, quality)) AS BIGINT) AS q, count(*) OVER (PARTITION BY chr, position) AS n FROM column_bases),
+c AS (SELECT chr, position, base, reverse, CAST(least(63, greatest(4, quality)) AS BIGINT) AS q, count(*) OVER (PARTITION BY chr, position) AS n, row_number() OVER () AS u FROM column_bases),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY chr, position, base ORDER BY q DESC, reverse DESC) - 1 AS k,
-    row_number() OVER (PARTITION BY chr, position, base, reverse ORDER BY q DESC) - 1 AS j FROM c WHERE base IN ('A', 'C', 'G', 'T')
+  SELECT *, row_number() OVER (PARTITION BY chr, position, base ORDER BY q DESC, reverse DESC, u) - 1 AS k,
+    row_number() OVER (PARTITION BY chr, position, base, reverse ORDER BY q DESC, u) - 1 AS j FROM c WHERE base IN ('A', 'C', 'G', 'T')
 ),
 pmf AS (
   SELECT q, n, i, exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(pow(10, -q / 10)) + (n - i) * ln(1 - pow(10, -q / 10))) AS p
