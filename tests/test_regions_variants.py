@@ -299,3 +299,16 @@ def test_record_updates(spark):
     assert tuple(row) == ({"DB": "", "DP": "7"}, {"DP": "5"}, {"a": {"GT": "0/1", "DP": "9"}, "b": {"GT": ".", "DP": "."}}, {"a": {}, "b": {"DP": "3"}}, "rs1;rs2", "rs1", "x", None)
     table = V.set_alleles(spark.createDataFrame([("A", ["C"])], "ref string, alts array<string>"), F.lit("AT"), F.array(F.lit("A")))
     assert tuple(table.first()) == ("AT", ["A"])
+
+
+def test_tied_bases_are_ranked_alike(spark):
+    """Bases of one quality and strand are one another's equals; the other strand comes behind."""
+    rows = [("G", 33, True)] * 3 + [("G", 32, False)] * 2 + [("C", 33, True)] + [("C", 23, True)] * 2 + [("A", 33, True)] * 2
+    got = likelihoods(spark, *zip(*rows))
+    n = len(rows)
+    tail = lambda q, k: sum(math.comb(n, i) * (e := 10 ** (-q / 10)) ** i * (1 - e) ** (n - i) for i in range(k, n + 1))
+    weight = lambda j: 0.83**j * 0.97 + 0.03
+    step = lambda q, k: -10 * math.log10(tail(q, k + 1) / tail(q, k))
+    g = sum(weight(j) * step(33, j) for j in range(3)) + sum(weight(j) * step(32, 3 + j) for j in range(2))
+    c = weight(0) * step(33, 0) + weight(1) * step(23, 1) + weight(2) * step(23, 2)
+    assert math.isclose(got["AA"], g + c, rel_tol=1e-9)
