@@ -94,6 +94,20 @@ def summary_file_order(spark, d):
     return global_index(rows, "place").select(F.col("idx").alias("place"), "value")
 
 
+@query(f"""WITH {_HAPS} SELECT chr, beg, "end", hap, cnt, strand FROM haps WHERE chr = 'chr1' AND beg <= 9000 AND "end" >= 1500""")
+def haplotype_range_scan(spark, d):
+    path = scratch_path(spark, "clustered")
+    text.store_clustered(D.haplotypes(spark, d), path)
+    return text.scan_range(spark, path, "chr1", 1500, 9000)
+
+
+@query(f"WITH {_HAPS} SELECT chr, pos, rk FROM sites WHERE chr = 'chr2' AND pos BETWEEN 700 AND 5000")
+def site_range_scan(spark, d):
+    path = scratch_path(spark, "clustered")
+    text.store_clustered(D.sites(spark, d), path, "pos")
+    return text.scan_range(spark, path, "chr2", 700, 5000, "pos", "pos")
+
+
 @query(f'WITH {_BED} SELECT chr, beg, "end" FROM bed')
 def bed_file(spark, d):
     path = scratch_path(spark, "regions") + ".bed"

@@ -101,7 +101,9 @@ def write_beta(table: DataFrame, path: str) -> None:
 
 
 def write_summary(table: DataFrame, path: str) -> None:
-    """The eleven columns with a header; regions keep the order of their list."""
+    """The eleven columns with a header; regions keep the order of their list.  Without rows
+    there is no header either."""
+    spark = table.sparkSession
     start = "pos" if "pos" in table.columns else "beg"
     if start == "beg":
         first = table.groupBy(F.col("chr").alias("_c")).agg(F.min("ord").alias("_first"))
@@ -109,4 +111,19 @@ def write_summary(table: DataFrame, path: str) -> None:
     else:
         table = table.orderBy("chr", "pos", "strand")
     columns = ["chr", start, "end", "strand", *SUMMARY_COLUMNS[4:]]
-    _write(table.select(*[F.col(c).alias(n) for c, n in zip(columns, SUMMARY_COLUMNS)]), path, header=True)
+    named = table.select(*[F.col(c).alias(n) for c, n in zip(columns, SUMMARY_COLUMNS)])
+    _write(named, path, header=True)
+    if spark.read.text(path).where(~F.col("value").startswith(SUMMARY_COLUMNS[0] + "\t")).isEmpty():
+        spark.createDataFrame([], named.schema).coalesce(1).write.csv(path, sep="\t", header=False, mode="overwrite")
+
+
+def store_clustered(table: DataFrame, path: str, start: str = "beg") -> None:
+    """Keep a table as Parquet in the order of chr and start, dealt by ranges, so that the
+    statistics of files and row groups stand in for an index."""
+    table.repartitionByRange("chr", start).sortWithinPartitions("chr", start).write.option("parquet.block.size", 16 << 20).parquet(path)
+
+
+def scan_range(spark: SparkSession, path: str, chr: str, beg: int, end: int, start: str = "beg", stop: str = "end") -> DataFrame:
+    """The rows of a clustered table whose [start, stop] meets [beg, end]; the three conditions
+    reach the Parquet scan, which reads the row groups that may hold such rows."""
+    return spark.read.parquet(path).where((F.col("chr") == chr) & (F.col(start) <= end) & (F.col(stop) >= beg))

@@ -274,6 +274,24 @@ def test_stream_of_a_folder(spark, tmp_path):
     assert sum(r.cnt for r in out) == 30 and sum(r.meth for r in out) == 20 and len(out) == 6
 
 
+def test_empty_summary_has_no_header(spark, tmp_path):
+    schema = "ord bigint, chr string, beg bigint, end bigint, strand string, nReads bigint, mBase bigint, tBase bigint, cBase bigint, K4plus bigint, nDR bigint, nMR bigint"
+    rows = spark.createDataFrame([(0, "c", 1, 2, "*", 1, 1, 1, 1, 1, 1, 1)], schema)
+    for name, table, lines in (("none", rows.limit(0), 0), ("one", rows, 2)):
+        text.write_summary(table, str(tmp_path / name))
+        assert spark.read.text(str(tmp_path / name)).count() == lines
+
+
+def test_range_scans_reach_the_files(spark, tmp_path, capsys):
+    table = spark.range(0, 5000).selectExpr("concat('c', id % 2) AS chr", "id * 10 AS beg", "id * 10 + 25 AS end", "'1' AS hap")
+    text.store_clustered(table, str(tmp_path / "t"))
+    found = text.scan_range(spark, str(tmp_path / "t"), "c1", 100, 200)
+    assert sorted(r.beg for r in found.collect()) == [x * 10 for x in range(8, 21) if x % 2]
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert all(f in plan for f in ("EqualTo(chr,c1)", "LessThanOrEqual(beg,200)", "GreaterThanOrEqual(end,100)"))
+
+
 def test_stream_over_many_batches_and_none(spark, tmp_path):
     import datetime as dt
 
