@@ -39,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, open_fs, salt, stored, with_group_stats
+from ._shared import fresh_path, open_fs, salt, stored, tidy, with_group_stats
 
 ARCHIVE_BYTES = 1 << 30
-RUN_ROWS = 500_000
+RUN_ROWS = 100_000
 RANGE_ROWS = 100_000
 FAN_IN = 64
 #: Entries that a task of a pass merges, about.
@@ -133,6 +133,7 @@ def write_archives(pages: DataFrame, min_revisit: int = 0, timestamp: str = CAPT
             out.close()
             done.append((path, n, size))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "records", "bytes"])
+        tidy()
 
     return stored(rows.select("page_id", "url", "payload", "first").mapInArrow(run, "archive string, records bigint, bytes bigint"), "warc-archives")
 
@@ -270,10 +271,12 @@ def _read_run(uri: str, lo, hi) -> Iterator[tuple[tuple, dict]]:
         stats = file.metadata.row_group(g).column(column).statistics
         if stats is not None and stats.has_min_max and ((lo and stats.max < lo[0]) or (hi and stats.min > hi[0])):
             continue
-        for e in file.read_row_group(g).to_pylist():
-            key = cut_key(e)
-            if (lo is None or key >= lo) and (hi is None or key < hi):
-                yield order_key(e), e
+        # a few rows at a time: many runs are read side by side
+        for batch in file.iter_batches(256, [g], use_threads=False):
+            for e in batch.to_pylist():
+                key = cut_key(e)
+                if (lo is None or key >= lo) and (hi is None or key < hi):
+                    yield order_key(e), e
 
 
 #: A run and the ranges that it lies in, [lo, hi); the runs of the archives lie in all.
@@ -310,6 +313,7 @@ def read_archives(archives: DataFrame, run_rows: int = RUN_ROWS, sample_every: i
         if entries:
             close()
         yield _run_batch(done)
+        tidy()
 
     n = max(1, archives.count())
     return stored(archives.select("archive").repartition(n).mapInArrow(run, _RUN), "warc-runs")
@@ -350,6 +354,7 @@ def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE_RO
                     lo, hi = at * block, min(len(ranges), (at + 1) * block)
                     merged = LoserTree([_read_run(r, ranges[lo][0], ranges[hi - 1][1]) for r in group])
                     yield _run_batch([(*_write_run(files, folder, merged), lo, hi)])
+            tidy()
 
         each = runs.withColumn("at", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")))
         dealt = each.withColumn("g", F.expr(f"pmod(xxhash64(run), {groups})")).groupBy("at", "g").agg(F.collect_list("run").alias("runs"))
