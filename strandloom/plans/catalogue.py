@@ -369,7 +369,9 @@ def aln_alignment_quality(spark, d):
     """What the base qualities lose by probabilistic alignment to a reference of CTCT...; no SQL
     twin: the tests compare the model with a sum over all its paths."""
     start = F.greatest(F.floor((F.col("pos") - 200) / 2) * 2, F.lit(0))
-    reads = D.alignments(spark, d).select("ord", "flag", "pos", "cigar", "seq", "qual").withColumns({"aux": F.expr("cast(map() as map<string,string>)"), "reference_start": start, "reference": F.repeat(F.lit("CT"), 400)})
+    # the model takes far more time than a shuffle, and the table may be one split
+    spread = D.alignments(spark, d).select("ord", "flag", "pos", "cigar", "seq", "qual").repartition(4 * spark.sparkContext.defaultParallelism)
+    reads = spread.withColumns({"aux": F.expr("cast(map() as map<string,string>)"), "reference_start": start, "reference": F.repeat(F.lit("CT"), 400)})
     return N.base_alignment_quality(reads).select("ord", F.element_at("aux", "BQ").alias("bq"))
 
 

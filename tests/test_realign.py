@@ -55,6 +55,27 @@ def test_alignment_equals_all_paths():
                 assert abs(sure[i, b] - min(int(min(want, 101)), 99 if want > 100 else 100)) <= (1e-6 > abs(want - round(want)) or want > 60)
 
 
+def test_reads_of_mixed_lengths_align_as_each_alone():
+    rng = np.random.default_rng(5)
+    shapes = sorted(((int(rng.integers(1, 40)), int(rng.integers(12, 50))) for _ in range(60)), key=lambda x: -x[0])
+    for band in (12, 49):
+        some = [(q, r) for q, r in shapes if R._reach(r, q, band) == band]
+        references = [rng.integers(0, 5, r).astype(np.int8) for _, r in some]
+        queries = [np.where(rng.random(q) < 0.8, np.resize(x[2:], q), rng.integers(0, 5, q)).astype(np.int8) for (q, _), x in zip(some, references)]
+        qualities = [rng.integers(2, 40, q) for q, _ in some]
+        for i, found in enumerate(R.align_mixed(references, queries, qualities, band) if some else []):
+            alone = R.align(references[i][None], queries[i][None], qualities[i][None], band)
+            assert all((f == a[0]).all() for f, a in zip(found, alone))
+
+
+def test_lengths_share_a_group(monkeypatch):
+    reads = {("k", i): R._Read(5, [(n, "M")], "ACGT" * 30, "A" * n, np.full(n, 30), 0, 7) for i, n in enumerate([40, 61, 40, 89, 17])}
+    (part,) = R._together(reads)
+    assert [len(x.seq) for _, x in part] == [89, 61, 40, 40, 17]
+    monkeypatch.setattr(R, "STATE_CELLS", 1)
+    assert sorted(k for p in R._together(reads) for k, _ in p) == sorted(reads)
+
+
 def test_windows():
     assert R.window(100, [(50, "M")], 50) == (97, 153, 7) and R.window(1, [(50, "M")], 50) == (0, 54, 7)
     assert R.window(100, [(5, "S"), (40, "M"), (5, "S")], 50) == (92, 148, 7)
