@@ -78,8 +78,8 @@ def cigar_runs(cigar: Column) -> Column:
 
 
 def _cigar_length(cigar: Column, ops: str) -> Column:
-    parts = F.filter(cigar_parts(cigar), lambda p: F.lit(ops).contains(p["op"]))
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["len"])
+    counts = F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{ops}]"), F.lit(1))
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
 
 
 def query_length(cigar: Column) -> Column:

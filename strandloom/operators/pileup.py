@@ -33,31 +33,41 @@ def aligned_positions(alignments: DataFrame, client: Column | None = None) -> Da
     return each.select("ord", "chr", (F.col("pos") + F.col("_p.r") + F.col("_i") + 1).alias("position"), base.alias("base"), F.when(match, "M").otherwise(F.col("_p.op")).alias("kind"), *more)
 
 
-def depth(alignments: DataFrame) -> DataFrame:
-    """Reads at every position, from span ends alone (no read is expanded to its bases).
+def _coverage(spans: DataFrame, counts: list[str]) -> DataFrame:
+    """chr, position and the sum of each of ``counts`` over the spans (chr, lo, hi) that hold the
+    position; the first of them is 1 in every span.
 
-    Each span adds one at its first and takes one off behind its last position; running sums
-    within bins, on top of the reads that reach into the bin, give the depth of each run.
+    Each span adds its counts at its first and takes them off behind its last position; running
+    sums within bins, on top of the spans that reach into the bin, give those of each run.
     """
     from pyspark.sql import Window
 
     width = 1 << 14
-    reads = alignments.where(F.col("flag").bitwiseAND(F.lit(EXCLUDED)) == 0)
-    span = F.when(F.col("cigar") == "*", F.length("seq")).otherwise(reference_length(F.col("cigar"))).cast("long")
-    spans = reads.select("chr", (F.col("pos") + 1).alias("lo"), (F.col("pos") + span).alias("hi")).where("lo <= hi")
-    dealt = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    dealt = spans.where("lo <= hi").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     start, end = F.greatest("lo", F.col("bin") * width), F.least("hi", F.col("bin") * width + width - 1)
-    steps = dealt.select("chr", "bin", F.explode(F.array(F.struct(start.alias("at"), F.lit(1).alias("d")), F.struct((end + 1).alias("at"), F.lit(-1).alias("d")))).alias("s"))
-    summed = steps.groupBy("chr", "bin", F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d"))
+    step = lambda at, sign: F.struct(at.alias("at"), *[(sign * F.col(c)).alias(c) for c in counts])
+    steps = dealt.select("chr", "bin", F.explode(F.array(step(start, 1), step(end + 1, -1))).alias("s"))
+    summed = steps.groupBy("chr", "bin", F.col("s.at").alias("at")).agg(*[F.sum(f"s.{c}").alias(c) for c in counts])
     order = Window.partitionBy("chr", "bin").orderBy("at")
-    runs = summed.withColumn("depth", F.sum("d").over(order)).withColumn("upto", F.lead("at").over(order) - 1).where("depth > 0")
-    return runs.select("chr", F.explode(F.sequence("at", "upto")).alias("position"), "depth")
+    runs = summed.withColumns({**{c: F.sum(c).over(order) for c in counts}, "upto": F.lead("at").over(order) - 1}).where(F.col(counts[0]) > 0)
+    return runs.select("chr", F.explode(F.sequence("at", "upto")).alias("position"), *counts)
+
+
+def depth(alignments: DataFrame) -> DataFrame:
+    """Reads at every position, from span ends alone (no read is expanded to its bases)."""
+    reads = alignments.where(F.col("flag").bitwiseAND(F.lit(EXCLUDED)) == 0)
+    span = F.when(F.col("cigar") == "*", F.length("seq")).otherwise(reference_length(F.col("cigar"))).cast("long")
+    return _coverage(reads.select("chr", (F.col("pos") + 1).alias("lo"), (F.col("pos") + span).alias("hi"), F.lit(1).alias("depth")), ["depth"])
 
 
 def sample_depths(alignments: DataFrame, sample: str, names: list[str]) -> DataFrame:
-    """Depth by position with a column for each sample."""
-    counted = aligned_positions(alignments).join(alignments.select(F.col("ord").alias("_o"), F.col(sample).alias("_sample")), F.col("ord") == F.col("_o"))
-    return counted.groupBy("chr", "position").pivot("_sample", names).agg(F.count(F.lit(1))).na.fill(0, names)
+    """Depth by position with a column for each sample, at every position that a read of any
+    sample covers.  A read without a CIGAR covers none; deletions and skips count."""
+    reads = alignments.where(F.col("flag").bitwiseAND(F.lit(EXCLUDED)) == 0).where(F.col("cigar") != "*")
+    own = [F.coalesce((F.col(sample) == n).cast("int"), F.lit(0)).alias(f"_n{i}") for i, n in enumerate(names)]
+    spans = reads.select("chr", (F.col("pos") + 1).alias("lo"), (F.col("pos") + reference_length(F.col("cigar"))).alias("hi"), F.lit(1).alias("_any"), *own)
+    covered = _coverage(spans, ["_any", *[f"_n{i}" for i in range(len(names))]])
+    return covered.select("chr", "position", *[F.col(f"_n{i}").alias(n) for i, n in enumerate(names)])
 
 
 def index_statistics(alignments: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import functools
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,30 @@ def test_sample_depths(spark):
     assert sorted(tuple(r) for r in P.sample_depths(aln, "sample", ["s1", "s2"]).collect()) == [("c", 1, 1, 0), ("c", 2, 1, 1), ("c", 3, 0, 1)]
 
 
+def test_sample_depths_expand_no_read(spark):
+    """Against positions counted one by one, with long skips, unnamed samples and cut reads; the
+    plan has no row for each base of a read."""
+    import io
+    from contextlib import redirect_stdout
+
+    rng = random.Random(7)
+    cigars = ["4M", "2S3M1I2M", "3M2D3M1H", "2M30000N2M", "*", "5=1X", "3I", "2M1P2M"]
+    rows = [(i, rng.choice([0, 16, 4, 1024]), rng.choice("cd"), rng.randrange(16370, 16400), rng.choice(cigars), "ACGTACGT", rng.choice(["s1", "s2", "s3", None])) for i in range(120)]
+    aln = spark.createDataFrame(rows, "ord bigint, flag int, chr string, pos bigint, cigar string, seq string, sample string")
+    want = {}
+    for _, flag, c, pos, cigar, _, s in rows:
+        if not flag & 3844 and cigar != "*":
+            for x in range(sum(int(n) for n in re.findall(r"(\d+)[MDN=X]", cigar))):
+                at = want.setdefault((c, pos + 1 + x), [0, 0])
+                if s in ("s1", "s2"):
+                    at[s == "s2"] += 1
+    found = P.sample_depths(aln, "sample", ["s1", "s2"])
+    assert {(r.chr, r.position): [r.s1, r.s2] for r in found.collect()} == want
+    with redirect_stdout(io.StringIO()) as plan:
+        found.explain()
+    assert "Join" not in plan.getvalue()
+
+
 def test_overlap_qualities(spark):
     df = spark.createDataFrame([("c", "q", 1, 0, "A", 150), ("c", "q", 1, 1, "A", 90), ("c", "q", 2, 0, "A", 10), ("c", "q", 2, 1, "C", 30), ("c", "q", 3, 0, "A", 7)], "chr string, qname string, position bigint, ord bigint, base string, q int")
     got = {(r.position, r.ord): r.q_new for r in P.reconcile_overlap(df).collect()}
