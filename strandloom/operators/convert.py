@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alignment import methylation, passes_bisulfite_qc, quality_at, strand_code, strand_symbol, usable
 from .interval_join import overlapping, point_in_interval
+from .regions import merged_with_previous
 
 #: Accepted reads between two evictions, and the age at which a waiting mate is given up.
 EVICT_EVERY, EVICT_AGE = 50_000, 5_000
@@ -23,11 +24,16 @@ def accepted_reads(alignments: DataFrame, directional: bool = True) -> DataFrame
 
 
 def select_reads(alignments: DataFrame, regions: DataFrame) -> DataFrame:
-    """Reads that overlap any region (chr, beg, end; 1-based, closed), each once, whole."""
+    """Reads that overlap any region (chr, beg, end; 1-based, closed), each once, whole.
+
+    Regions are merged first, so however many cover a place, a read meets only those it reaches
+    of the merged ones, and is taken at the first of them: the merged region before that one ends
+    in front of the read.
+    """
     spans = alignments.withColumns({"_a_beg": F.col("pos") + 1, "_a_end": F.col("pos") + F.greatest(F.length("seq"), F.lit(1))})
-    wanted = regions.select(F.col("chr").alias("_r_chr"), F.col("beg").alias("_r_beg"), F.col("end").alias("_r_end"))
+    wanted = merged_with_previous(regions.where("beg <= end")).select(F.col("chr").alias("_r_chr"), F.col("beg").alias("_r_beg"), F.col("end").alias("_r_end"), F.col("previous").alias("_r_previous"))
     met = overlapping(spans, wanted, "chr", "_a_beg", "_a_end", "_r_chr", "_r_beg", "_r_end")
-    return met.dropDuplicates(["ord"]).select(*alignments.columns)
+    return met.where(F.col("_r_previous").isNull() | (F.col("_r_previous") < F.col("_a_beg"))).select(*alignments.columns)
 
 
 def site_bases(reads: DataFrame, sites: DataFrame, mode: str = "BS", width: int = 256) -> DataFrame:

@@ -54,6 +54,12 @@ def compact(regions: DataFrame, gap: int = 1) -> DataFrame:
     return islands.groupBy("chr", "_island").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).select("chr", "beg", "end")
 
 
+def merged_with_previous(regions: DataFrame) -> DataFrame:
+    """``compact`` regions, each with the end of the one before it on its chromosome (null: none)."""
+    binned = compact(regions).withColumn("_bin", F.floor(F.col("beg") / (1 << 20)))
+    return _carried(binned, "end", ["beg"], "previous", False).select("chr", "beg", "end", "previous")
+
+
 def listed(regions: DataFrame) -> DataFrame:
     """The order of a region list: begin ascending, the longer first."""
     return regions.orderBy("chr", "beg", F.desc("end"))

@@ -166,3 +166,22 @@ def test_cigar_flags_and_tags(spark):
     a = tags.aux
     row = tags.select(A.aux_int(a, "NM"), A.aux_get(a, "XX"), A.aux_array(a, "BB"), A.aux_float(a, "FF"), A.aux_get(A.aux_set(a, "NM", "i", A.F.lit(9)), "NM"), A.aux_drop(a, "NM")["NM"], A.aux_int(a, "XX")).first()
     assert tuple(row) == (3, "a:b", [1.0, 2.0], 1.5, "9", None, None)
+
+
+def test_reads_meet_merged_regions_once(spark):
+    """However many regions cover a place: against brute force, and one region a read is met."""
+    from strandloom.operators.regions import merged_with_previous
+
+    rng = random.Random(11)
+    regions = [(rng.choice("cde"), b, b + rng.randint(-2, 1500)) for b in (rng.randrange(1, 40_000) for _ in range(60))] + [("c", 100, 9000 + i) for i in range(50)]
+    reads = [(i, rng.choice("cdf"), rng.randrange(0, 41_000), "A" * rng.choice([0, 1, 50, 3000])) for i in range(400)]
+    table = spark.createDataFrame(regions, "chr string, beg bigint, end bigint")
+    alignments = spark.createDataFrame(reads, "ord bigint, chr string, pos bigint, seq string")
+    want = sorted(o for o, c, p, s in reads if any(c == rc and b <= e and p + 1 <= e and b <= p + max(len(s), 1) for rc, b, e in regions))
+    found = C.select_reads(alignments, table)
+    assert sorted(r.ord for r in found.collect()) == want and found.columns == alignments.columns
+    merged = {c: sorted((r.beg, r.end, r.previous) for r in merged_with_previous(table.where("beg <= end")).where(f"chr = '{c}'").collect()) for c in "cde"}
+    for rows in merged.values():
+        assert all(p is None if i == 0 else p == rows[i - 1][1] < b - 1 for i, (b, _, p) in enumerate(rows))
+    assert sum(b <= 5000 <= e for b, e, _ in merged["c"]) == 1
+    assert "Deduplicate" not in found._jdf.queryExecution().analyzed().toString()
