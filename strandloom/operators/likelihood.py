@@ -1,10 +1,9 @@
 """Genotype likelihoods of pileup columns under a dependent-error model.
 
 A column's bases are summed by base, strand and quality first, so that a position of any depth
-is a few hundred rows at most.  The cost of one more error among n bases of one quality depends
-on (quality, n, errors so far) only: it is worked out once for each such triple that occurs and
-met by an equi-join.  What a base costs is summed in partial aggregates; no task needs a column
-as a whole.
+is a few hundred rows at most, and stay summed: what a row's bases cost is one product of their
+weights with a stretch of the costs of one more error among n bases of one quality.  Those
+depend on (quality, n) only and are kept, up to a bound, for the next rows.
 """
 
 from __future__ import annotations
@@ -13,9 +12,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.statistics import log_factorial
 
@@ -23,6 +23,8 @@ ALLELES = "ACGT"
 # Fixed constants of the model: dependency between errors on a strand, its floor, the range of
 # qualities, and ten over the logarithm of ten.
 DEPENDENCY, FLOOR, LEAST_Q, MOST_Q, PHRED = 0.17, 0.03, 4, 63, 4.343
+#: Costs that a task keeps (one column of more bases has more).
+KNOWN_COSTS = 4_000_000
 
 
 def error_costs(quality: int, n: int) -> np.ndarray:
@@ -36,11 +38,30 @@ def error_costs(quality: int, n: int) -> np.ndarray:
     return -10 / math.log(10) * np.diff(tail)
 
 
-def _costs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for quality, n, last in frame.itertuples(index=False):
-            cost = error_costs(int(quality), int(n))[: int(last) + 1]
-            yield pd.DataFrame({"c_q": quality, "c_n": n, "c_k": np.arange(len(cost)), "cost": cost})
+def _spent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (base, q, n, m, _k, _j, ...) with ``spent``: what the m bases cost that follow _k better
+    ones, _j of them on their strand."""
+    known: dict[tuple[int, int], np.ndarray] = {}
+    held, weight = 0, np.zeros(0)
+    for batch in batches:
+        q, n, m, k, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("q", "n", "m", "_k", "_j"))
+        most = int((j + m).max(initial=0))
+        if most > len(weight):
+            weight = (1 - DEPENDENCY) ** np.arange(most) * (1 - FLOOR) + FLOOR
+        spent = np.zeros(batch.num_rows)
+        for i, base in enumerate(batch.column("base").to_pylist()):
+            if base is None or base not in ALLELES:
+                continue
+            key = (int(q[i]), int(n[i]))
+            cost = known.get(key)
+            if cost is None:
+                if held > KNOWN_COSTS:
+                    known.clear()
+                    held = 0
+                cost = known[key] = error_costs(*key)
+                held += len(cost)
+            spent[i] = weight[j[i] : j[i] + m[i]] @ cost[k[i] : k[i] + m[i]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spent)], names=[*batch.schema.names, "spent"])
 
 
 def genotype_likelihoods(pileup: DataFrame) -> DataFrame:
@@ -53,19 +74,17 @@ def genotype_likelihoods(pileup: DataFrame) -> DataFrame:
     place = ["chr", "position"]
     q = F.least(F.greatest("q", F.lit(LEAST_Q)), F.lit(MOST_Q)).cast("int")
     same = pileup.select(*place, "base", q.alias("q"), "reverse").groupBy(*place, "base", "q", "reverse").agg(F.count("*").alias("m"))
+    # few rows cost much, so their number of tasks is not left to their size
+    same = same.repartition(int(pileup.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place)
     by_base = Window.partitionBy(*place, "base").orderBy(F.desc("q"), F.desc("reverse")).rowsBetween(Window.unboundedPreceding, -1)
     by_strand = Window.partitionBy(*place, "base", "reverse").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda w: F.coalesce(F.sum("m").over(w), F.lit(0))
     ranked = same.withColumns({"n": F.sum("m").over(Window.partitionBy(*place)), "_k": before(by_base), "_j": before(by_strand)})
-    known = ranked.where(F.col("base").isin(*ALLELES))
-    costs = known.groupBy("q", "n").agg(F.max(F.col("_k") + F.col("m") - 1).alias("last")).mapInPandas(_costs, "c_q int, c_n bigint, c_k bigint, cost double")
-    each = known.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("_at", F.col("_k") + F.col("_i"))
-    met = each.join(costs, (F.col("q") == F.col("c_q")) & (F.col("n") == F.col("c_n")) & (F.col("_at") == F.col("c_k")))
-    weight = F.pow(F.lit(1 - DEPENDENCY), F.col("_j") + F.col("_i")) * (1 - FLOOR) + FLOOR
-    spent = met.groupBy(*place).agg(*[F.coalesce(F.sum(F.when(F.col("base") == b, weight * F.col("cost"))), F.lit(0.0)).alias(f"cost_{b}") for b in ALLELES])
-    depth = same.groupBy(*place).agg(F.sum("m").alias("depth"), *[F.coalesce(F.sum(F.when(F.col("base") == b, F.col("m"))), F.lit(0)).alias(f"n_{b}") for b in ALLELES])
-    spent = spent.select(F.col("chr").alias("_chr"), F.col("position").alias("_position"), *[f"cost_{b}" for b in ALLELES])
-    whole = depth.join(spent, (F.col("chr") == F.col("_chr")) & (F.col("position") == F.col("_position")), "left").na.fill(0.0, [f"cost_{b}" for b in ALLELES])
+    costed = ranked.mapInArrow(_spent, StructType([*ranked.schema.fields, StructField("spent", DoubleType())]))
+    of = lambda b, c: F.sum(F.when(F.col("base") == b, F.col(c)))
+    whole = costed.groupBy(*place).agg(
+        F.sum("m").alias("depth"), *[F.coalesce(of(b, "m"), F.lit(0)).alias(f"n_{b}") for b in ALLELES], *[F.coalesce(of(b, "spent"), F.lit(0.0)).alias(f"cost_{b}") for b in ALLELES]
+    )
     total = sum((F.col(f"cost_{b}") for b in ALLELES), F.lit(0.0))
 
     def phred(a: str, b: str):

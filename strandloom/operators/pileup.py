@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alignment import cigar_parts, has, reference_length
+from ..functions.alignment import cigar_parts, cigar_runs, has, reference_length
 from ..schema import EXCLUDED, UNMAPPED
 
 
@@ -33,6 +33,24 @@ def aligned_positions(alignments: DataFrame, client: Column | None = None) -> Da
     return each.select("ord", "chr", (F.col("pos") + F.col("_p.r") + F.col("_i") + 1).alias("position"), base.alias("base"), F.when(match, "M").otherwise(F.col("_p.op")).alias("kind"), *more)
 
 
+def bases_at(alignments: DataFrame, sites: DataFrame, width: int = 64) -> DataFrame:
+    """ord, chr, position and base of every usable read at the sites (chr, pos) where it is aligned:
+    the rows of kind M of ``aligned_positions`` there, without those elsewhere.
+
+    Aligned runs are cut at bins, each piece with its own bases, and meet the bin's sites.
+    """
+    reads = alignments.where(F.col("flag").bitwiseAND(F.lit(EXCLUDED)) == 0).where(F.col("cigar") != "*")
+    matched = F.filter(cigar_runs(F.col("cigar")), lambda p: p["op"].isin("M", "=", "X") & (p["len"] > 0))
+    runs = reads.select("ord", "chr", "pos", "seq", F.explode(matched).alias("_p"))
+    runs = runs.select("ord", "chr", "seq", (F.col("pos") + F.col("_p.r") + 1).alias("_beg"), (F.col("pos") + F.col("_p.r") + F.col("_p.len")).alias("_end"), F.col("_p.q").alias("_q"))
+    dealt = runs.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_beg") / width), F.floor(F.col("_end") / width))))
+    lo, hi = F.greatest("_beg", F.col("_bin") * width), F.least("_end", F.col("_bin") * width + width - 1)
+    pieces = dealt.select("ord", "chr", "_bin", lo.alias("_lo"), hi.alias("_hi"), F.substr("seq", (F.col("_q") + lo - F.col("_beg") + 1).cast("int"), (hi - lo + 1).cast("int")).alias("_bases"))
+    points = sites.select(F.col("chr").alias("_s_chr"), F.col("pos").alias("position"), F.floor(F.col("pos") / width).alias("_s_bin"))
+    on = (F.col("chr") == F.col("_s_chr")) & (F.col("_bin") == F.col("_s_bin")) & (F.col("position") >= F.col("_lo")) & (F.col("position") <= F.col("_hi"))
+    return pieces.join(points, on).select("ord", "chr", "position", F.substr("_bases", (F.col("position") - F.col("_lo") + 1).cast("int"), F.lit(1)).alias("base"))
+
+
 def _coverage(spans: DataFrame, counts: list[str]) -> DataFrame:
     """chr, position and the sum of each of ``counts`` over the spans (chr, lo, hi) that hold the
     position; the first of them is 1 in every span.

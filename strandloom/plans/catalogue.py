@@ -378,9 +378,7 @@ def aln_alignment_quality(spark, d):
 @query
 def genotype_likelihood(spark, d):
     """The ten genotypes at every site that reads cover, from all their bases there."""
-    bases = P.aligned_positions(D.alignments(spark, d)).where("kind = 'M'")
-    sites = D.raw_sites(spark, d).select(F.col("chr").alias("s_chr"), F.col("pos").alias("s_pos"))
-    at_sites = bases.join(sites, (F.col("chr") == F.col("s_chr")) & (F.col("position") == F.col("s_pos")))
+    at_sites = P.bases_at(D.alignments(spark, d), D.raw_sites(spark, d))
     column = at_sites.select("chr", "position", "base", (F.col("ord") % 40 + 2).cast("int").alias("q"), (F.col("ord") % 2 == 1).alias("reverse"))
     return L.genotype_likelihoods(column).select("chr", "position", "depth", "genotype", F.round("phred", 4).alias("phred"))
 

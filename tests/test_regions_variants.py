@@ -84,6 +84,46 @@ def test_sample_depths(spark):
     assert sorted(tuple(r) for r in P.sample_depths(aln, "sample", ["s1", "s2"]).collect()) == [("c", 1, 1, 0), ("c", 2, 1, 1), ("c", 3, 0, 1)]
 
 
+def test_bases_at_sites(spark):
+    """As the aligned positions joined with the sites, by every kind of run and over bin borders."""
+    rng = random.Random(9)
+    cigars = ["40M", "2S30M1I7M", "3M200D37M", "20M30000N20M", "*", "25=15X", "40I", "10M1P30M", "5H3S37M2H", "0M40M"]
+    rows = [(i, rng.choice([0, 16, 4, 1024]), rng.choice("cd"), rng.randrange(0, 400), rng.choice(cigars), "".join(rng.choices("ACGTN", k=40))) for i in range(150)]
+    aln = spark.createDataFrame(rows, "ord bigint, flag int, chr string, pos bigint, cigar string, seq string")
+    sites = spark.createDataFrame([(c, x) for c in "ce" for x in [*range(1, 700, 9), 64, 128, 30100]], "chr string, pos bigint").distinct()
+    at = {(r.chr, r.pos) for r in sites.collect()}
+    want = []
+    for o, flag, c, pos, cigar, seq in rows:
+        x, y = pos, 0
+        for n, op in re.findall(r"(\d+)([MIDNSHP=X])", "" if flag & 3844 else cigar):
+            if op in "M=X":
+                want += [(o, c, x + i + 1, seq[y + i]) for i in range(int(n)) if (c, x + i + 1) in at]
+            x, y = x + int(n) * (op in "MDN=X"), y + int(n) * (op in "MIS=X")
+    for width in (64, 7):
+        assert sorted(tuple(r) for r in P.bases_at(aln, sites, width).collect()) == sorted(want) and want
+
+
+def test_likelihoods_of_a_deep_column(spark):
+    """A column of many bases is never expanded to them again: as the sum base by base."""
+    from strandloom.operators import likelihood as L
+
+    rng = random.Random(3)
+    groups = [(b, q, r, rng.randint(1, 400)) for b in "ACGN" for q in (3, 10, 30, 70) for r in (False, True)]
+    rows = [(b, q, r) for b, q, r, m in groups for _ in range(m)]
+    got = likelihoods(spark, *zip(*rows))
+    n, spent = len(rows), dict.fromkeys("ACGT", 0.0)
+    for base in "ACG":
+        seen, strand = 0, {True: 0, False: 0}
+        for _, q, r, m in sorted((x for x in groups if x[0] == base), key=lambda x: (-x[1], not x[2])):
+            costs = L.error_costs(min(63, max(4, q)), n)
+            for _ in range(m):
+                spent[base] += (0.83 ** strand[r] * 0.97 + 0.03) * costs[seen]
+                seen, strand[r] = seen + 1, strand[r] + 1
+    assert all(math.isclose(got[b + b], sum(spent.values()) - spent[b], rel_tol=1e-9) for b in "ACGT")
+    column = spark.createDataFrame([("c", 1, "A", 30, True)], "chr string, position bigint, base string, q int, reverse boolean")
+    assert "explode(sequence" not in L.genotype_likelihoods(column)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sample_depths_expand_no_read(spark):
     """Against positions counted one by one, with long skips, unnamed samples and cut reads; the
     plan has no row for each base of a read."""
