@@ -2,8 +2,8 @@
 
 ``encode_payload`` stores bytes losslessly as the coefficients of a 4:2:0 colour image: 64
 bytes a block (the format's unit), blocks filling the Y, Cb and Cr planes in turn.  The
-stream is a spectral-selection and successive-approximation script: DC and the first AC band
-without their last bits, the second AC band, then the last bits of DC and of the first band.
+stream is a spectral-selection and successive-approximation script: DC and two AC bands
+without their last bits, then the last bits of DC and of all AC coefficients.
 
 ``Image`` reads any Huffman-coded progressive stream of one or three 8-bit components:
 scans are accumulated into coefficient arrays, multiplied by the quantisation table and
@@ -11,18 +11,16 @@ inverse-transformed in numpy, chroma is upsampled, and the result is a full-reso
 tensor.  Scans whose code table has one symbol only have a layout known in advance and are
 read as bytes or bit planes; all others go symbol by symbol.
 
-Every byte is a coefficient of its own.  DC is byte - 128.  In the first AC band a byte b is b
-itself from 128 on and below that the negative of 254 - b (256 - b if b is odd), so that
-without the last bit all have a magnitude of 64 to 127: one class with seven more bits, which
-behind a code of one bit fill a byte.  In the second band b is b itself from 128 on and b - 255
-below: one class with eight more bits behind a code of eight.  So coded bytes repeat where
-the text does, and the stored table compresses nearly as the text would.  The number of bytes
-stands in a comment segment.
+Every byte is a coefficient of its own.  DC is byte - 128.  In the AC bands a byte b is b itself
+from 128 on and below that the negative of 254 - b (256 - b if b is odd), so that without the
+last bit all have a magnitude of 64 to 127: one class with seven more bits, which behind a code of
+one bit fill a byte.  So coded bytes repeat where the text does, and the stored table compresses
+nearly as the text would, but for the last bits.  The number of bytes stands in a comment segment.
 
 ``media_digests`` writes the table of media, reads it back, and writes the table of RGB tensors
 with their figures, from which the digests are read.  A tensor has two bytes a byte of text
-(more for short ones, which fill one unit); the quantisation is coarse, which gives the images
-full contrast and lets the tensors compress to a sixth.
+(more for short ones, which fill one unit).  AC coefficients are quantised by one, the finest
+step, so pixels vary with the text and the tensors hardly compress: they are the larger table.
 
 Cases: a null or empty text is stored as one block of zeros; texts of any length up to
 6.4 GB fit one image; equal texts have equal images and features; rows that repeat are
@@ -44,7 +42,7 @@ from pyspark.sql import functions as F
 from ._shared import stored, tidy
 
 BLOCK = 64
-BANDS = ((1, 1), (2, 63))
+BANDS = ((1, 5), (6, 63))
 _ZIGZAG = np.asarray([i * 8 + j for i, j in sorted(((i, j) for i in range(8) for j in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))])
 DIGESTS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 #: Rows yielded together hold about so many bytes.
@@ -54,8 +52,7 @@ SLICE_BYTES = 4_000_000
 _DC_CODES = ([0, 0, 7, 1] + [0] * 12, [6, 5, 4, 3, 7, 2, 1, 0])
 _AC_FIRST = ([1] + [0] * 15, [0x07])
 _AC_REFINE = ([1] + [0] * 15, [0x00])
-_AC_FULL = ([0] * 7 + [1] + [0] * 8, [0x08])
-QUANTISATION = [8] + [255] * 63
+QUANTISATION = [8] + [1] * 63
 
 
 def _compressed(level: int) -> dict[str, str]:
@@ -162,26 +159,22 @@ def encode_payload(raw: bytes) -> bytes:
         _table(0, 0, _DC_CODES),
         _table(1, 0, _AC_FIRST),
         _table(1, 1, _AC_REFINE),
-        _table(1, 2, _AC_FULL),
     ]
     dc = [p[:, 0].astype(np.int64) - 128 for p in planes]
     order = _mcu_order(across, down)
     luma = (dc[0] >> 1)[order.reshape(-1)]
     steps = [np.diff(x, prepend=0) for x in (luma, dc[1] >> 1, dc[2] >> 1)]
     out.append(_scan([(1, 0), (2, 0), (3, 0)], 0, 0, 0, 1, _dc_bits(np.concatenate([steps[0].reshape(-1, 4), steps[1][:, None], steps[2][:, None]], axis=1).reshape(-1))))
-    (lo, hi), (full_lo, full_hi) = BANDS
     for c, plane in enumerate(planes, 1):
-        # code "0" and seven bits make a byte, never 0xFF
-        out.append(_scan([(c, 0)], lo, hi, 0, 1, (plane[:, lo : hi + 1] >> 1).tobytes()))
-        full = np.zeros((len(plane), full_hi - full_lo + 1, 2), np.uint8)  # the code, the byte
-        full[:, :, 1] = plane[:, full_lo : full_hi + 1]
-        out.append(_scan([(c, 2)], full_lo, full_hi, 0, 0, full.tobytes().replace(b"\xff", b"\xff\x00")))
+        for lo, hi in BANDS:
+            # code "0" and seven bits make a byte, never 0xFF
+            out.append(_scan([(c, 0)], lo, hi, 0, 1, (plane[:, lo : hi + 1] >> 1).tobytes()))
     last = [x & 1 for x in dc]
     out.append(_scan([(1, 0), (2, 0), (3, 0)], 0, 0, 1, 0, np.concatenate([last[0][order], last[1][:, None], last[2][:, None]], axis=1).reshape(-1).astype(np.uint8)))
     for c, plane in enumerate(planes, 1):
-        bits = plane[:, lo - 1 : hi + 1] & 1
+        bits = plane & 1
         bits[:, 0] = 0  # the code of "end of block"; the corrections follow it
-        out.append(_scan([(c, 1)], lo, hi, 1, 0, bits.reshape(-1)))
+        out.append(_scan([(c, 1)], 1, BLOCK - 1, 1, 0, bits.reshape(-1)))
     out.append(b"\xff\xd9")
     return b"".join(out)
 
@@ -503,11 +496,8 @@ def payload_of(image: Image) -> tuple[bytes, int]:
     n = int(image.comment.removeprefix(b"bytes="))
     size = max(1, -(-n // BLOCK)) * BLOCK
     data = np.concatenate([p["coefs"] for p in image.parts])[: size // BLOCK]
-    out = np.where(data > 0, data, data + 255).astype(np.uint8)
-    (lo, hi), _ = BANDS
-    first = data[:, lo : hi + 1]
-    size_of = np.abs(first)
-    out[:, lo : hi + 1] = np.where(first > 0, first, 254 - size_of + 2 * (size_of & 1))
+    size_of = np.abs(data)
+    out = np.where(data > 0, data, 254 - size_of + 2 * (size_of & 1)).astype(np.uint8)
     out[:, 0] = data[:, 0] + 128
     return out.tobytes(), n
 

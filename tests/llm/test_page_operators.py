@@ -393,6 +393,48 @@ def test_transform_is_the_inverse_of_the_cosines():
     assert media._ZIGZAG[:8].tolist() == [0, 1, 8, 16, 9, 2, 3, 10]
 
 
+def test_every_coefficient_is_refined_and_shown():
+    """No scan but the first ones of DC and of two bands and those of last bits: every coefficient
+    lacks its last bit before the latter, and pixels change with each byte of a text."""
+    rng = random.Random(2)
+    raw = bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=384))
+    stream = media.encode_payload(raw)
+    heads, at = [], 2
+    while stream[at + 1] != 0xD9:
+        size = int.from_bytes(stream[at + 2 : at + 4], "big")
+        body = stream[at + 4 : at + 2 + size]
+        if stream[at + 1] == 0xDA:
+            heads.append(tuple(body[-3:]))
+        found = media._NEXT.search(stream, at + 2 + size) if stream[at + 1] == 0xDA else None
+        at = found.start() if found else at + 2 + size
+    first = {z for lo, hi, bits in heads if bits == 0x01 for z in range(lo, hi + 1)}
+    again = {z for lo, hi, bits in heads if bits == 0x10 for z in range(lo, hi + 1)}
+    assert first == again == set(range(64)) and all(bits in (0x01, 0x10) for *_, bits in heads)
+    whole = media.Image(stream)
+    plain = whole.rgb()
+    assert ((plain == 0) | (plain == 255)).mean() < 0.5
+    # a byte one apart moves some pixel of the block
+    for at in range(0, 256):
+        other = bytearray(raw)
+        other[at] ^= 2
+        assert (media.Image(media.encode_payload(bytes(other))).rgb() != plain).any()
+
+
+def test_colours_as_pixel_by_pixel():
+    """The colour transform of subsampled chroma, also of two chroma planes sampled unlike."""
+    rng = np.random.default_rng(4)
+    for shapes in (((2, 2), (1, 1), (1, 1)), ((2, 1), (1, 1), (2, 1)), ((1, 1), (1, 1), (1, 1)), ((1, 1), (2, 2), (1, 2))):
+        image = media.Image.__new__(media.Image)
+        image.parts, image.quant, image.places = [], {0: np.ones(64, np.float32)}, {}
+        image._frame(bytes([8, 0, 21, 0, 35, 3]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(shapes)))
+        for p in image.parts:
+            p["coefs"][:] = rng.integers(-120, 121, p["coefs"].shape)
+        full = [image._plane(p).repeat(image.h // p["h"], axis=1).repeat(image.v // p["v"], axis=0)[:21, :35].astype(int) for p in image.parts]
+        y, cb, cr = full[0], full[1] - 128, full[2] - 128
+        want = [((y << 16) + v + 32768) >> 16 for v in (91881 * cr, -22554 * cb - 46802 * cr, 116130 * cb)]
+        assert (image.rgb() == np.clip(np.stack(want, axis=2), 0, 255)).all()
+
+
 def test_grey_image():
     image = media.Image.__new__(media.Image)
     image.parts, image.quant = [], {0: np.ones(64, np.float32)}
