@@ -32,7 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,12 @@ def _idct_basis() -> np.ndarray:
 _BASIS = _idct_basis()
 
 
+@lru_cache(16)
+def _scaled_basis(quant: bytes) -> np.ndarray:
+    """The basis times a quantisation table, both as 32-bit floats."""
+    return (np.frombuffer(quant, np.float32)[:, None] * _BASIS).astype(np.float32)
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
 
@@ -341,6 +347,29 @@ _NEXT = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
 
+def _lone(wide: int, tall: int, stride: int) -> np.ndarray:
+    """Indices of a lone component's blocks in scan order, rows of ``stride`` blocks."""
+    return (np.arange(tall)[:, None] * stride + np.arange(wide)[None, :]).reshape(-1, 1)
+
+
+def _interleaved(across: int, down: int, h: int, v: int) -> np.ndarray:
+    """Indices of the h x v blocks that a component has in each unit, in scan order."""
+    y, x = np.divmod(np.arange(across * down), across)
+    dy, dx = np.divmod(np.arange(h * v), h)
+    return (y[:, None] * v + dy) * (across * h) + x[:, None] * h + dx
+
+
+#: Places are kept for images of up to so many units.
+KEPT_MCUS = 1024
+_kept_lone, _kept_interleaved = lru_cache(128)(_lone), lru_cache(128)(_interleaved)
+
+
+@lru_cache(64)
+def _decoding(table: bytes) -> dict[tuple[int, int], int]:
+    """(length, code) -> symbol of a table: 16 counts, then the symbols."""
+    return {(length, code): s for s, (code, length) in _canonical((list(table[:16]), list(table[16:]))).items()}
+
+
 class Image:
     """A decoded stream: coefficient arrays, comment, and pixels on demand."""
 
@@ -367,9 +396,8 @@ class Image:
                     body = body[65 + 64 * wide :]
             elif marker == 0xC4:
                 while body:
-                    counts, n = body[1:17], sum(body[1:17])
-                    flat = _canonical((list(counts), list(body[17 : 17 + n])))
-                    codes[body[0]] = {(length, code): s for s, (code, length) in flat.items()}
+                    n = sum(body[1:17])
+                    codes[body[0]] = _decoding(bytes(body[1 : 17 + n]))
                     body = body[17 + n :]
             elif marker == 0xDD:
                 restart = int.from_bytes(body, "big")
@@ -403,16 +431,12 @@ class Image:
         return self.places[key]
 
     def _find_places(self, parts: list[dict]) -> list[np.ndarray]:
+        small = self.across * self.down <= KEPT_MCUS
         if len(parts) == 1:
             p = parts[0]
             wide, tall = -(-self.width * p["h"] // (8 * self.h)), -(-self.height * p["v"] // (8 * self.v))
-            return [(np.arange(tall)[:, None] * p["wide"] + np.arange(wide)[None, :]).reshape(-1, 1)]
-        y, x = np.divmod(np.arange(self.across * self.down), self.across)
-        out = []
-        for p in parts:
-            dy, dx = np.divmod(np.arange(p["h"] * p["v"]), p["h"])
-            out.append((y[:, None] * p["v"] + dy) * p["wide"] + x[:, None] * p["h"] + dx)
-        return out
+            return [(_kept_lone if small else _lone)(wide, tall, p["wide"])]
+        return [(_kept_interleaved if small else _interleaved)(self.across, self.down, p["h"], p["v"]) for p in parts]
 
     def _scan(self, head: bytes, data: bytes, codes: dict, restart: int) -> None:
         n = head[0]
@@ -461,35 +485,44 @@ class Image:
             p["coefs"][o.reshape(-1), 0] = np.cumsum(steps[:, a:b].reshape(-1)) << low
 
     def _plane(self, p: dict) -> np.ndarray:
-        basis = (self.quant[p["q"]][:, None] * _BASIS).astype(np.float32)
-        pixels = p["coefs"].astype(np.float32) @ basis
+        pixels = p["coefs"].astype(np.float32) @ _scaled_basis(self.quant[p["q"]].tobytes())
         pixels += np.float32(128.5)
-        np.clip(pixels, 0, 255, out=pixels)
+        np.maximum(pixels, 0, out=pixels)
+        np.minimum(pixels, 255, out=pixels)
         return pixels.astype(np.uint8).reshape(p["tall"], p["wide"], 8, 8).swapaxes(1, 2).reshape(p["tall"] * 8, p["wide"] * 8)
 
     def rgb(self) -> np.ndarray:
         """(height, width, 3) uint8."""
-        planes = []
-        for p in self.parts:
-            plane = self._plane(p)
-            if p["h"] < self.h:
-                plane = plane.repeat(self.h // p["h"], axis=1)
-            if p["v"] < self.v:
-                plane = plane.repeat(self.v // p["v"], axis=0)
-            planes.append(plane[: self.height, : self.width])
+        planes = [self._plane(p) for p in self.parts]
         if len(planes) == 1:
-            return np.repeat(planes[0][:, :, None], 3, axis=2)
-        y = planes[0].astype(np.int32) << 16
+            return np.repeat(self._full(planes[0], self.parts[0])[:, :, None], 3, axis=2)
+        y = self._full(planes[0], self.parts[0]).astype(np.int16)
+        part = self.parts[1]
+        if (part["h"], part["v"]) != (self.parts[2]["h"], self.parts[2]["v"]):
+            planes[1:] = [self._full(x, p) for x, p in zip(planes[1:], self.parts[1:])]
+            part = {"h": self.h, "v": self.v}
         cb, cr = planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
+        # the usual colour transform in 16-bit fixed point; what chroma adds is rounded before it is
+        # upsampled, as whole luma values do not change the rounding
+        added = np.stack([91881 * cr, -22554 * cb - 46802 * cr, 116130 * cb])
+        added += 32768
+        added >>= 16
+        both = np.stack([self._full(x, part) for x in added.astype(np.int16)])
+        both += y
+        np.maximum(both, 0, out=both)
+        np.minimum(both, 255, out=both)
         out = np.empty((self.height, self.width, 3), np.uint8)
-        # the usual colour transform in 16-bit fixed point
-        for c, v in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
-            v += 32768
-            v >>= 16
-            np.clip(v, 0, 255, out=v)
-            out[:, :, c] = v
+        out[:] = both.transpose(1, 2, 0)
         return out
 
+    def _full(self, plane: np.ndarray, part: dict) -> np.ndarray:
+        """A component's plane at the image's size."""
+        if part["h"] < self.h:
+            plane = plane.repeat(self.h // part["h"], axis=1)
+        if part["v"] < self.v:
+            plane = plane.repeat(self.v // part["v"], axis=0)
+        return plane[: self.height, : self.width]
+
 
 def payload_of(image: Image) -> tuple[bytes, int]:
     """The stored payload (padded to blocks) and the number of its own bytes."""
@@ -570,8 +603,8 @@ def decode_media(media: DataFrame, keep_tensor: bool = False) -> DataFrame:
 
 def tensors(docs: DataFrame) -> DataFrame:
     """The stored table of RGB tensors and figures, made from the stored table of media."""
-    media = stored(encode_media(docs), "media", **_compressed(11))
-    return stored(decode_media(media, keep_tensor=True), "tensors", **_compressed(9))
+    media = stored(encode_media(docs), "media", **_compressed(6))
+    return stored(decode_media(media, keep_tensor=True), "tensors", **_compressed(1))
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
