@@ -17,10 +17,13 @@ last bit all have a magnitude of 64 to 127: one class with seven more bits, whic
 one bit fill a byte.  So coded bytes repeat where the text does, and the stored table compresses
 nearly as the text would, but for the last bits.  The number of bytes stands in a comment segment.
 
-``media_digests`` writes the table of media, reads it back, and writes the table of RGB tensors
-with their figures, from which the digests are read.  A tensor has two bytes a byte of text
-(more for short ones, which fill one unit).  AC coefficients are quantised by one, the finest
-step, so pixels vary with the text and the tensors hardly compress: they are the larger table.
+``tensors`` writes the table of media, reads it back, and writes the table of RGB tensors with
+their figures.  A tensor has two bytes a byte of text (more for short ones, which fill one unit).
+AC coefficients are quantised by one, the finest step, so pixels vary with the text and the
+tensors hardly compress: they are the larger table.  ``media_digests`` needs their figures only.
+It stores the media whole and the tensors of one slice of them after another; a slice's tensors
+are deleted when its figures have been read from them and stored, before the next slice's are
+written.  The last slice's (of small tables: all) stay.
 
 Cases: a null or empty text is stored as one block of zeros; texts of any length up to
 6.4 GB fit one image; equal texts have equal images and features; rows that repeat are
@@ -32,14 +35,14 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored, tidy
+from ._shared import discard, stored, stored_files, tidy
 
 BLOCK = 64
 BANDS = ((1, 5), (6, 63))
@@ -47,6 +50,10 @@ _ZIGZAG = np.asarray([i * 8 + j for i, j in sorted(((i, j) for i in range(8) for
 DIGESTS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 #: Rows yielded together hold about so many bytes.
 SLICE_BYTES = 4_000_000
+#: Rows of a stored file of media.
+FILE_ROWS = 2048
+#: Tensors on disk at once are those of about one in SLICES bytes of media, or of LEAST_SLICE bytes.
+SLICES, LEAST_SLICE = 16, 8 << 20
 
 # code tables as (number of codes of each length, symbols)
 _DC_CODES = ([0, 0, 7, 1] + [0] * 12, [6, 5, 4, 3, 7, 2, 1, 0])
@@ -601,13 +608,43 @@ def decode_media(media: DataFrame, keep_tensor: bool = False) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, schema + ", height int, width int, rgb binary" * keep_tensor)
 
 
+def _stored_media(docs: DataFrame) -> DataFrame:
+    return stored(encode_media(docs), "media", maxRecordsPerFile=str(FILE_ROWS), **_compressed(6))
+
+
+def _stored_tensors(media: DataFrame) -> DataFrame:
+    return stored(decode_media(media, keep_tensor=True), "tensors", **_compressed(1))
+
+
 def tensors(docs: DataFrame) -> DataFrame:
     """The stored table of RGB tensors and figures, made from the stored table of media."""
-    media = stored(encode_media(docs), "media", **_compressed(6))
-    return stored(decode_media(media, keep_tensor=True), "tensors", **_compressed(1))
+    return _stored_tensors(_stored_media(docs))
+
+
+def _slices(media: DataFrame) -> list[DataFrame]:
+    """A stored table of media, dealt out by files; no slice but one of a single file is larger than
+    a SLICES-th of the table or LEAST_SLICE bytes."""
+    files = stored_files(media)
+    most = max(LEAST_SLICE, -(-sum(n for _, n in files) // SLICES))
+    groups, size = [[]], 0
+    for uri, n in files:
+        if groups[-1] and size + n > most:
+            groups.append([])
+            size = 0
+        groups[-1].append(uri)
+        size += n
+    if len(groups) == 1:
+        return [media]
+    return [media.sparkSession.read.schema(media.schema).parquet(*g) for g in groups]
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store every text in a table of media, read that back into a table of tensors; one row a
-    document."""
-    return tensors(docs).select(DIGESTS)
+    """Store every text in a table of media, read that back into tables of tensors, one slice at a
+    time; one row a document."""
+    *before, last = _slices(_stored_media(docs))
+    done = []
+    for part in before:
+        made = _stored_tensors(part)
+        done.append(stored(made.select(DIGESTS), "digests"))
+        discard(made)
+    return reduce(DataFrame.union, done, _stored_tensors(last).select(DIGESTS))

@@ -461,6 +461,41 @@ def test_media_are_stored(spark):
     assert table.columns == ["doc_id", "media"] and table.count() == 4 and sorted(map(str, media.decode_media(table).collect())) == got
 
 
+def test_tensors_lie_on_disk_one_slice_at_a_time(spark, monkeypatch):
+    """All rows go through a stored table of tensors, but never all of them at once; media stay whole."""
+    from pathlib import Path
+
+    from strandloom.llm._shared import _places, shared_dir
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "".join(rng.choices("abcdefgh ", k=rng.randint(0, 900)))) for i in range(90)] + [(None, None), (5, "again")], "doc_id bigint, text string").repartition(6)
+    docs = docs.persist()
+    want = sorted(map(str, media.media_digests(docs).collect()))  # small tables are one slice
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "strandloom"
+    before = set(folder.glob("media-*")) | set(folder.glob("tensors-*"))
+    stored, written, at_once = media.stored, [], []
+
+    def watched(df, label, **options):
+        table = stored(df, label, **options)
+        if label == "tensors":
+            written.append(spark.read.parquet(_places[id(table)][1]).count())
+            at_once.append(sum(spark.read.parquet(str(f)).count() for f in set(folder.glob("tensors-*")) - before))
+        return table
+
+    monkeypatch.setattr(media, "stored", watched)
+    monkeypatch.setattr(media, "LEAST_SLICE", 1)
+    monkeypatch.setattr(media, "SLICES", 4)
+    monkeypatch.setattr(media, "FILE_ROWS", 4)
+    got = media.media_digests(docs)
+    assert sorted(map(str, got.collect())) == want and len(want) == 92
+    assert len(written) >= 4 and sum(written) == 92 and max(at_once) < 46
+    (made,) = set(folder.glob("media-*")) - before
+    assert spark.read.parquet(str(made)).count() == 92
+    # the operator itself keeps every tensor
+    assert media.tensors(docs).where("length(rgb) = 3 * height * width").count() == 92
+    docs.unpersist()
+
+
 def test_media_round_trip(spark):
     rng = random.Random(1)
     texts = [None, "", "a", "é" * 32, "x" * 64, "y" * 65, "".join(chr(rng.randint(32, 900)) for _ in range(5000)), "\x00\x00", "ÿ" * 100_000]
